@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_mix_sources": "mixing",
     "op6_url_filter": "url_filter",
 }
 
