@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op5_mix_sources": "mixing",
     "op6_url_filter": "url_filter",
+    "op10_toxicity": "toxicity",
 }
 
 
