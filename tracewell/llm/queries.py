@@ -5,8 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op3_language_id": "language_id",
     "op5_mix_sources": "mixing",
     "op6_url_filter": "url_filter",
+    "op9_quality": "quality",
     "op10_toxicity": "toxicity",
 }
 
