@@ -62,3 +62,23 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     if n > 2 * most:  # keep about 1.2 x most by range first
         df = df.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.2 * most / n))))
     return df.orderBy(h, F.col(key)).limit(most)
+
+
+def map_texts(docs: DataFrame, column: str, ddl: str, make) -> DataFrame:
+    """docs' columns as a struct `row`, and new columns (ddl). make() is called once in each task and gives a function from
+    a list of texts to the new columns' values, a list each; a text is one row's whole `column`."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    new = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(new)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            values = work(pa.RecordBatch.from_struct_array(batch.column(0)).column(column).to_pylist() if batch.num_rows else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)]], names=["row", *arrow.names])
+
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, *new.fields]))

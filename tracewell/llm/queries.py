@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op3_language_id": "language_id",
+    "op4_decontaminate": "decontaminate",
     "op5_mix_sources": "mixing",
     "op6_url_filter": "url_filter",
     "op9_quality": "quality",
