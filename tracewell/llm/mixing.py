@@ -121,7 +121,8 @@ def shard_quotas(quotas: DataFrame, depth: int, seed: int = SEED) -> DataFrame:
         nodes = nodes.withColumn("left", split_node(F.col("node"), F.col("q"), seed))
         left = F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q"))
         right = F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q"))
-        nodes = nodes.select(F.explode(F.array(left, right)).alias("x")).select("x.*")
+        # A level at a time, as the plan of all levels would be large for the driver.
+        nodes = durable(nodes.select(F.explode(F.array(left, right)).alias("x")).select("x.*"), "nodes")
     return nodes.select((F.col("node") - 2**depth).alias("shard"), F.posexplode("q").alias("sidx", "quota")).withColumn("sidx", F.col("sidx").cast("long"))
 
 
