@@ -10,6 +10,8 @@ _MODULES = {
     "op4_decontaminate": "decontaminate",
     "op5_mix_sources": "mixing",
     "op6_url_filter": "url_filter",
+    "op7_suffix_dedup": "suffix_dedup",
+    "op8_neighbours": "neighbours",
     "op9_quality": "quality",
     "op10_toxicity": "toxicity",
 }
