@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_html_text": "html_text",
     "op2_simhash": "simhash",
     "op3_language_id": "language_id",
     "op4_decontaminate": "decontaminate",

@@ -86,6 +86,13 @@ def scored(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """docs' rows that the model doesn't find toxic, with their own columns. Texts without a letter are kept."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("text", F.col("row.text"))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return model(packed).where((F.col("score") < threshold) | wordless).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return scored(docs, fit(labelled_docs(docs, read_table(spark, sf_dir, "labels"))))
