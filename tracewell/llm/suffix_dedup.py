@@ -360,11 +360,13 @@ def _cut(docs: pa.Table, covered: pa.Table) -> pa.Table:
                 kept[i] = data[at : at + len(t)][~mine].tobytes()
             at += len(t)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    return pa.table({"row": docs.column("row"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "removed": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+    whole = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+    return pa.table({"row": docs.column("row"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "removed": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "kept_text": whole})
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """row (docs' columns but text), n_bytes, removed (stretches, start and stop in bytes), kept (the other bytes)."""
+    """row (docs' columns but text), n_bytes, removed (stretches, start and stop in bytes), kept (the other bytes), kept_text (their
+    text, without bytes that are left of a character that lost others)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     repeated = not ids.where("count > 1").isEmpty() or docs.where("doc_id is null").limit(2).count() > 1
@@ -379,7 +381,7 @@ def removals(docs: DataFrame) -> DataFrame:
     contexts = by_doc.select("ord", "tag", "text", "bucket").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_contexts, _BLOBS)
     compared = durable(contexts.groupBy("bucket").applyInArrow(_compare_contexts(doc_buckets), _BLOBS), "compared")
     covered = matched.where(F.col("kind") == COVERED).unionByName(compared)
-    schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept binary").fields])
+    schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept binary, kept_text string").fields])
     return by_doc.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut, schema)
 
 
@@ -397,7 +399,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with the kept part of their texts (n_chars, if there is one, anew). Bytes that are left of a character
     that lost others are dropped. A null text stays null."""
     out = removals(docs.withColumn("_null", F.col("text").isNull()))
-    text = F.when(F.col("row._null"), F.lit(None)).otherwise(F.decode(F.col("kept"), "UTF-8"))
+    text = F.when(~F.col("row._null"), F.col("kept_text"))
     found = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in found:
         kind = dict(docs.dtypes)["n_chars"]
