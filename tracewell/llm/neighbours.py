@@ -31,10 +31,10 @@ from tracewell.llm.common import durable, read_table
 
 DEGREE = 32
 REVERSE = 32
-BLOCK = 1024
-ORDERS = 4
+BLOCK = 2048
+ORDERS = 6
 ROUNDS = 4
-WIDTH = 64
+WIDTH = 96
 SEARCH_ROUNDS = 3
 
 
@@ -181,7 +181,7 @@ def _compare(take: int):
     return run
 
 
-def descend(nodes: DataFrame, graph: DataFrame, degree: int, reverse: int, take: int = 10) -> DataFrame:
+def descend(nodes: DataFrame, graph: DataFrame, degree: int, reverse: int, take: int = 16) -> DataFrame:
     """One round: the graph joined with itself through each node."""
     edges = graph.select(F.col("nid").alias("a"), F.explode("near").alias("x")).select("a", F.col("x.nid").alias("b"), F.col("x.d").alias("d"))
     edges = edges.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))).where(F.col("r") <= reverse)
