@@ -1,6 +1,6 @@
 """Queries: operators bound to tables, with equivalent SQL."""
 
-from tracewell.plans import event_queries  # noqa: F401  registers its queries
+from tracewell.plans import event_queries, scan_queries  # noqa: F401  register their queries
 from tracewell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
