@@ -14,7 +14,7 @@ a smaller doc_id. Texts are UTF-8 bytes, matches never cross documents, and stri
 5. Covered stretches go back to the documents.
 
 All exchanges are by hash of anchors or documents, with bucket counts that grow with the input, so that a task's share
-stays the same. Anchors with more than MANY contexts are split further by the bytes beside them (see _refined), which keeps
+stays the same. Anchors with more than MANY contexts are split further by the bytes beside them (see _split), which keeps
 each suffix array short without leaving anything out.
 
 Defined results: a null text is empty; a null doc_id comes after all others, and rows without one are not compared with each
@@ -38,11 +38,15 @@ from tracewell.llm.grouping_sort import _ranges, suffix_arrays
 
 SPAN = 50
 GRAM = 24
-MANY = 64
+MANY = 16
 #: Text bytes that are looked through at once, anchors in a bucket, text bytes in a bucket of documents: about so many.
 BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 DOCS_BYTES = 16 << 20
+#: Tasks that compare contexts, at most: the blobs are small for the work that is in them, so their number is set here.
+MOST_TASKS = 20_000
+#: Bytes of contexts whose suffix arrays are built together.
+COMPARE_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(99)
@@ -245,28 +249,45 @@ def _joined(docs: pa.Table):
     return np.frombuffer(b"".join(texts), np.uint8), place
 
 
-def _refined(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, key: np.ndarray, rows: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splits groups of over `many` contexts (rows, by key) until none is larger or all its windows are one string.
+def _split(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, key: np.ndarray, many: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Splits groups (by key) of over `many` different contexts until none is larger. Returns what is covered on the way, and
+    what is left to compare: context, bytes before and behind the anchor that count; and the group, for the latter.
 
     A window has some number j of bytes before the anchor, from 0 to SPAN - GRAM, and the rest behind it. Windows with j up to
     m share the least rest behind, those with more share m + 1 bytes before: a context goes into one group by the one and into
-    another by the other. Halving the range of j again and again ends where a window is wholly given."""
+    another by the other, and in each only the bytes that such windows can reach count. Halving the range of j again and again
+    ends where a window is wholly given. Contexts that are equal in what counts are one: the smallest document stays, the others
+    are covered."""
     hashes, side = Hashes(data), SPAN - GRAM
-    low, high, out = np.zeros(len(rows), np.int64), np.full(len(rows), side), []
-    number = 0
+    rows = np.arange(len(mid))
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), side)
+    covered, compare, number = [], [], 0
     while len(rows):
-        _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        done = (count[group] <= many) | (low == high)
-        out.append((group[done] + number, rows[done]))
-        number += len(count)
-        low, high, rows, group = low[~done], high[~done], rows[~done], group[~done]
+        l, r = np.minimum(left[rows], high), np.minimum(right[rows], side - low)
+        h = _mix(hashes(mid[rows] - l, mid[rows] + GRAM + r) + (l * 64 + r + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        sort = np.lexsort((who[rows], h, key))
+        rows, low, high, l, r, h, key = (x[sort] for x in (rows, low, high, l, r, h, key))
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        new = new_key | np.r_[True, h[1:] != h[:-1]]
+        over = who[rows] > who[rows][np.flatnonzero(new)][np.cumsum(new) - 1]
+        whole = over & (l + GRAM + r >= SPAN)
+        covered.append([rows[whole], l[whole], r[whole]])
+        group = np.cumsum(new_key) - 1
+        different = np.bincount(group[new])[group]
+        stay = ~over & (different > 1)
+        done = stay & (different <= many)
+        compare.append([rows[done], l[done], r[done], group[done] + number])
+        number += int(new_key.sum())
+        on = stay & ~done
+        rows, low, high, group = rows[on], low[on], high[on], group[on].astype(np.uint64)
         m = (low + high) // 2
         behind, ahead = right[rows] >= side - m, left[rows] >= m + 1
-        k1 = _mix(hashes(mid[rows] - low, mid[rows] + GRAM + np.minimum(right[rows], side - m)) + group.astype(np.uint64) * np.uint64(2))
-        k2 = _mix(hashes(mid[rows] - np.minimum(left[rows], m + 1), mid[rows] + GRAM + np.minimum(right[rows], side - high)) + group.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        k1 = _mix(hashes(mid[rows] - low, mid[rows] + GRAM + np.minimum(right[rows], side - m)) + group * np.uint64(2))
+        k2 = _mix(hashes(mid[rows] - np.minimum(left[rows], m + 1), mid[rows] + GRAM + np.minimum(right[rows], side - high)) + group * np.uint64(2) + np.uint64(1))
         key = np.r_[k1[behind], k2[ahead]]
         low, high, rows = np.r_[low[behind], m[ahead] + 1], np.r_[m[behind], high[ahead]], np.r_[rows[behind], rows[ahead]]
-    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+    empty = [[np.empty(0, np.int64)] * 4]
+    return [np.concatenate([x[i] for x in covered or empty]) for i in range(3)], [np.concatenate([x[i] for x in compare or empty]) for i in range(4)]
 
 
 def covered_contexts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,8 +310,11 @@ def covered_contexts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     same = np.zeros(len(whole), bool)
     live = np.flatnonzero(text[whole[1:]] == text[whole[:-1]])
-    for i in range(SPAN):
-        live = live[values[whole[live] + i] == values[whole[live + 1] + i]]
+    words = np.zeros(len(values) - 7, np.uint64)  # eight bytes from each place on
+    for i in range(8):
+        words |= (values[i : len(values) - 7 + i] & 0xFF).astype(np.uint64) << np.uint64(8 * i)
+    for i in (*range(0, SPAN - 8, 8), SPAN - 8):
+        live = live[words[whole[live] + i] == words[whole[live + 1] + i]]
     same[live + 1] = True
     new = np.flatnonzero(~same)
     least = np.minimum.reduceat(who_sorted[context[whole]], new)[np.cumsum(~same) - 1]
@@ -311,28 +335,33 @@ def _compare_contexts(doc_buckets: int):
         length = left + GRAM + right
         stop = np.cumsum(length)
         start = stop - length
-        group, rows = _refined(data, start + left, left, right, gram, np.arange(len(gram)), MANY)
-        order = np.argsort(group, kind="stable")
-        group, rows = group[order], rows[order]
-        found_who, found_at = [], []
+        done, rest = _split(data, start + left, left, right, who, gram, MANY)
+        found_who, found_at, found_size = [who[done[0]]], [at[done[0]] - done[1]], [done[1] + GRAM + done[2]]
+        rows, l, r, group = rest
+        order = np.lexsort((group, np.bincount(group)[group])) if len(group) else group  # groups of like size together
+        rows, l, r, group = rows[order], l[order], r[order], group[order]
+        begin, size = start[rows] + left[rows] - l, l + GRAM + r
         edges = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(group) else np.empty(0, np.int64)
-        # About a million bytes of contexts at a time.
-        total, a = np.cumsum(length[rows]), 0
+        total, a = np.cumsum(size), 0
         while a < len(rows):
-            b = np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), side="right")
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + COMPARE_BYTES, side="right"))
             b = int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]) if b < len(rows) and edges[-1] >= max(b, a + 1) else len(rows)
-            part = rows[a:b]
-            c, p = covered_contexts(data, start[part], stop[part], who[part], group[a:b])
-            found_who.append(who[part[c]])
-            found_at.append(at[part[c]] - left[part[c]] + p)
+            c, p = covered_contexts(data, begin[a:b], begin[a:b] + size[a:b], who[rows[a:b]], group[a:b])
+            found_who.append(who[rows[a:b]][c])
+            found_at.append(at[rows[a:b]][c] - l[a:b][c] + p)
+            found_size.append(np.full(len(c), SPAN))
             a = b
-        w, p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_who, found_at))
+        w, p, n = (np.concatenate(x) for x in (found_who, found_at, found_size))
         sort = np.lexsort((p, w))
-        w, p = w[sort], p[sort]
-        new = np.r_[True, (w[1:] != w[:-1]) | (p[1:] - p[:-1] > 1)][: len(w)]  # runs of neighbouring strings
+        w, p, n = w[sort], p[sort], n[sort]
+        # Stretches that overlap or touch are one. A text's ends only grow, and each text starts beyond the one before.
+        rank = np.cumsum(np.r_[0, (w[1:] != w[:-1]) | (p[1:] >> 40 != p[:-1] >> 40)])[: len(w)]
+        lift = rank * (1 << 42)
+        ends = np.maximum.accumulate(lift + (p & ((1 << 40) - 1)) + n) if len(w) else p
+        new = np.r_[True, lift[1:] + (p[1:] & ((1 << 40) - 1)) > ends[:-1]][: len(w)]
         head = np.flatnonzero(new)
         tail = np.r_[head[1:], len(w)].astype(np.int64) - 1 if len(head) else head
-        found = [w[head], p[head], p[tail] - p[head] + SPAN]
+        found = [w[head], p[head], ends[tail] - lift[tail] - (p[head] & ((1 << 40) - 1))]
         return pa.Table.from_batches([_blob_batch(COVERED, list(_by_bucket(_doc_bucket(found[0], doc_buckets), found, (found[1], found[0]))))])
 
     return run
@@ -379,7 +408,7 @@ def removals(docs: DataFrame) -> DataFrame:
     by_doc = _with_bucket(own, doc_buckets)
     wanted = matched.where(F.col("kind") == WANTED)
     contexts = by_doc.select("ord", "tag", "text", "bucket").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_contexts, _BLOBS)
-    compared = durable(contexts.groupBy("bucket").applyInArrow(_compare_contexts(doc_buckets), _BLOBS), "compared")
+    compared = durable(contexts.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_compare_contexts(doc_buckets), _BLOBS), "compared")
     covered = matched.where(F.col("kind") == COVERED).unionByName(compared)
     schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept binary, kept_text string").fields])
     return by_doc.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut, schema)
