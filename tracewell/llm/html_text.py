@@ -156,7 +156,7 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[str, list[int]]], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[str, list[int]]], rounds: int = 250, rate: float = 0.1, decay: float = 1e-5) -> Field:
     """The field of the greatest likelihood of pages' labels, one label for each block; by Adam, all pages at a time."""
     found = [(features(blocks(h)), np.array(y)) for h, y in pages]
     if any(len(f) != len(y) for f, y in found):
@@ -170,6 +170,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 150, rate: float = 0
             rows += [i * t + j] * len(f)
             cols += [field.index[x] for x in f]
     rows, cols = np.array(rows), np.array(cols)
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     size = np.array([len(y) for _, y in found])
     inside = np.arange(t)[None, :] < size[:, None]
     gold = np.zeros((n, t, 2))
@@ -180,7 +181,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 150, rate: float = 0
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for k in range(1, rounds + 1):
         e = np.zeros((n * t, 2))
-        np.add.at(e, rows, field.weights[cols])
+        e[rows[heads]] = np.add.reduceat(field.weights[cols], heads)
         e = e.reshape(n, t, 2)
         ahead, behind = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         ahead[:, 0] = field.start + e[:, 0]
@@ -194,8 +195,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 150, rate: float = 0
         p = np.exp(ahead + behind - whole[:, None, None]) * inside[..., None]
         pair = np.exp(ahead[:, :-1, :, None] + field.steps + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * inside[:, 1:, None, None]
         off = (gold - p).reshape(n * t, 2)
-        g = np.zeros_like(field.weights)
-        np.add.at(g, cols, off[rows])
+        g = np.stack([np.bincount(cols, off[rows, y], len(field.weights)) for y in (0, 1)], axis=1)
         grads = [g / n, (gold_steps - pair.sum(axis=(0, 1))) / n, (gold[:, 0] - p[:, 0]).mean(axis=0)]
         for i, (x, d) in enumerate(zip(w, grads, strict=True)):
             d = d - decay * x
@@ -219,7 +219,7 @@ MAIN = [
 ]
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages made from the templates, with a label for each of their blocks."""
     r = random.Random(seed)
 
@@ -249,7 +249,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             y += [0] * k
         a, b = r.choice(MAIN)
         html.append(a)
-        for tag in [*r.choice([["h1"], ["h2"], []]), *r.choices(["p", "p", "p", "p", "p", "h2", "h3", "blockquote", "pre", "li", "td", "div", "side", "open"], k=r.randint(1, 12))]:
+        for tag in [*r.choice([["h1"], ["h2"], []]), *r.choices(["p", "p", "p", "p", "p", "h2", "h3", "blockquote", "pre", "li", "td", "div", "side", "side", "open"], k=r.randint(1, 12))]:
             if tag == "side":
                 h, k = side()
                 html.append(h)

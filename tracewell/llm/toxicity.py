@@ -52,13 +52,13 @@ def vectorizer(spark: SparkSession, bins: list[int]) -> CountVectorizerModel:
     return model.setBinary(True).setMinTF(1.0)
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, factors: int = 4, seed: int = 3):
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, factors: int = 4, least_z: float = LEAST_Z, seed: int = 3):
     """labelled(doc_id, text, label) -> a function from a text column to a column of scores."""
     rows = bounded_sample(labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label")), "doc_id", max_train)
     rows = durable(rows.select(terms(F.col("text")).alias("terms"), "label"), "toxic-train")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     constant = 1.0 if counts and set(counts) == {1.0} else 0.0
-    bins = telling_bins(rows) if len(counts) > 1 else []
+    bins = telling_bins(rows, least_z=least_z) if len(counts) > 1 else []
     if not bins:
         rate = counts.get(1.0, 0) / sum(counts.values()) if len(counts) > 1 else constant
         return lambda df, text="text": df.withColumn("score", F.lit(float(rate)))
