@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import ml, scans, sessions, stores
-
 from tracewell.plans.registry import ORACLES, query
 
 _MID = 1_705_276_800_000

@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 #: The envelope. The payload stays text, as its shape depends on its kind.
-ENVELOPE = StructType.fromDDL("id long, session_id string, timestamp_unix_ms long, actor string, payload string")
-EV = StructType.fromDDL("id long, session_id string, ts long, daemon string, session string, kind string, payload string, fleet string")
+ENVELOPE = "id long, session_id string, timestamp_unix_ms long, actor string, payload string"
+EV = "id long, session_id string, ts long, daemon string, session string, kind string, payload string, fleet string"
 
 #: Payload fields that operators read, all nullable.
 PAYLOAD_FIELDS = {
@@ -52,7 +51,7 @@ def connect(spark: SparkSession, sources: dict[str, list[str] | str]) -> DataFra
 
 def typed(ev: DataFrame) -> DataFrame:
     """Events with their payload fields as columns: each payload is parsed once, here."""
-    schema = StructType.fromDDL(", ".join(f"{k} {v if v != 'bigint' else 'bigint'}" for k, v in PAYLOAD_FIELDS.items()))
+    schema = ", ".join(f"{k} {v}" for k, v in PAYLOAD_FIELDS.items())
     p = ev.withColumn("p", F.from_json("payload", schema))
     return p.select("id", "fleet", "daemon", "session_id", "session", "ts", "kind", "payload", "p.*")
 
