@@ -98,3 +98,13 @@ def test_daily_metrics_and_inactivity_stream(spark, tmp_path):
     assert {(r["n"], r["rate"]) for r in spark.table("daily").collect()} == {(2, 0.5), (1, None)}
     jobs.run_once(jobs.inactivity_sessions(jobs.event_stream(spark, f"{tmp_path}/in", "mu")), f"{tmp_path}/quiet", f"{tmp_path}/c")
     assert [(r["session_id"], r["events"]) for r in spark.read.parquet(f"{tmp_path}/quiet").collect()] == [("s1", 2)]
+
+
+def test_turns_stream(spark, tmp_path):
+    rows = [{"kind": "user_message"}, {"kind": "assistant_message_event"}, {"kind": "assistant_message_event"}, {"kind": "done"}, {"kind": "user_message"}, {"kind": "assistant_message_event"}, {"kind": "user_message"}]
+    log(tmp_path / "in" / "d", "s1.jsonl", rows)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    jobs.run_once(jobs.turns(jobs.event_stream(spark, f"{tmp_path}/in", "mu")), f"{tmp_path}/turns", f"{tmp_path}/c")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r["start_ms"] - BASE, r["end_ms"] - BASE, r["invocations"]) for r in spark.read.parquet(f"{tmp_path}/turns").collect())
+    assert got == [(0, 180_000, 2), (240_000, 300_000, 1)]
