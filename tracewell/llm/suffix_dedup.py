@@ -41,12 +41,12 @@ GRAM = 24
 MANY = 16
 #: Text bytes that are looked through at once, anchors in a bucket, text bytes in a bucket of documents: about so many.
 BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
-DOCS_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
+DOCS_BYTES = 8 << 20
 #: Tasks that compare contexts, at most: the blobs are small for the work that is in them, so their number is set here.
 MOST_TASKS = 20_000
 #: Bytes of contexts whose suffix arrays are built together.
-COMPARE_BYTES = 2 << 20
+COMPARE_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(99)
@@ -367,8 +367,8 @@ def _compare_contexts(doc_buckets: int):
     return run
 
 
-def _cut(docs: pa.Table, covered: pa.Table) -> pa.Table:
-    """A bucket of documents and what is covered in them -> removed stretches and kept bytes."""
+def _cut(docs: pa.Table, covered: pa.Table, as_text: bool) -> pa.Table:
+    """A bucket of documents and what is covered in them -> removed stretches and kept bytes, as text or as they are."""
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
     spans: list = [[] for _ in texts]
     kept = list(texts)
@@ -376,10 +376,11 @@ def _cut(docs: pa.Table, covered: pa.Table) -> pa.Table:
         data, place = _joined(docs)
         who, at, length = (x.astype(np.int64) for x in _gathered(covered.column("blob"), 3))
         begin = place(who, at)
-        edge = np.zeros(len(data) + 1, np.int64)
+        edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + length, -1)
-        inside = np.cumsum(edge[:-1]) > 0
+        inside = np.cumsum(edge[:-1], out=edge[:-1]) > 0
+        del edge, begin, who, length
         at = 0
         for i, t in enumerate(texts):
             mine = inside[at : at + len(t)]
@@ -389,13 +390,13 @@ def _cut(docs: pa.Table, covered: pa.Table) -> pa.Table:
                 kept[i] = data[at : at + len(t)][~mine].tobytes()
             at += len(t)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    whole = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-    return pa.table({"row": docs.column("row"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "removed": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "kept_text": whole})
+    left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    return pa.table({"row": docs.column("row"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "removed": pa.array(spans, kind), "kept": left})
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """row (docs' columns but text), n_bytes, removed (stretches, start and stop in bytes), kept (the other bytes), kept_text (their
-    text, without bytes that are left of a character that lost others)."""
+def removals(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """row (docs' columns but text), n_bytes, removed (stretches, start and stop in bytes), kept: the other bytes, or as_text their
+    text, without bytes that are left of a character that lost others."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     repeated = not ids.where("count > 1").isEmpty() or docs.where("doc_id is null").limit(2).count() > 1
@@ -410,8 +411,12 @@ def removals(docs: DataFrame) -> DataFrame:
     contexts = by_doc.select("ord", "tag", "text", "bucket").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_contexts, _BLOBS)
     compared = durable(contexts.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_compare_contexts(doc_buckets), _BLOBS), "compared")
     covered = matched.where(F.col("kind") == COVERED).unionByName(compared)
-    schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept binary, kept_text string").fields])
-    return by_doc.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(_cut, schema)
+    schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept " + ("string" if as_text else "binary")).fields])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cut(left, right, as_text)
+
+    return by_doc.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(cut, schema)
 
 
 def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
@@ -427,8 +432,8 @@ def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with the kept part of their texts (n_chars, if there is one, anew). Bytes that are left of a character
     that lost others are dropped. A null text stays null."""
-    out = removals(docs.withColumn("_null", F.col("text").isNull()))
-    text = F.when(~F.col("row._null"), F.col("kept_text"))
+    out = removals(docs.withColumn("_null", F.col("text").isNull()), as_text=True)
+    text = F.when(~F.col("row._null"), F.col("kept"))
     found = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
     if "n_chars" in found:
         kind = dict(docs.dtypes)["n_chars"]
