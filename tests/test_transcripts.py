@@ -1,0 +1,49 @@
+import json
+
+from tracewell.sources import transcripts
+
+
+def record(session, pos, kind, message, meta=False):
+    return (session, pos, kind, f"2026-01-01T00:00:{pos:02d}Z", meta, json.dumps(message))
+
+
+def test_a_tool_round_trip_keeps_everything(spark):
+    usage = lambda n: {"input_tokens": n, "output_tokens": 2 * n, "cache_read_input_tokens": 0}
+    rows = [
+        record("s", 0, "user", {"role": "user", "content": "do it"}),
+        record("s", 1, "assistant", {"id": "m1", "model": "x-1", "stop_reason": None, "content": [{"type": "text", "text": "let me"}], "usage": usage(1)}),
+        record("s", 2, "assistant", {"id": "m1", "model": "x-1", "stop_reason": "tool_use", "content": [{"type": "text", "text": "let me look"}, {"type": "tool_use", "id": "c1", "name": "Read", "input": {"path": "a"}}], "usage": usage(5)}),
+        record("s", 3, "user", {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "c1", "content": [{"type": "text", "text": "A"}, {"type": "text", "text": "B"}], "is_error": True}]}),
+        record("s", 4, "assistant", {"id": "m2", "model": "x-1", "stop_reason": "stop_sequence", "content": [{"type": "text", "text": "done"}, {"type": "image"}], "usage": usage(7)}),
+        record("s", 5, "summary", {}),
+        record("s", 6, "user", {"role": "user", "content": "<system-reminder>x"}),
+        record("t", 0, "user", {"role": "user", "content": "hello"}, True),
+    ]
+    df = spark.createDataFrame(rows, "session_id string, pos long, type string, timestamp string, isMeta boolean, message string")
+    got = [(r["session_id"], r["id"], r["kind"], r["content"], r["name"], r["stop_reason"]) for r in transcripts.normalised(df).orderBy("session_id", "id").collect()]
+    assert got == [
+        ("s", 1, "user_message", "do it", None, None), ("s", 2, "assistant_message_event", "let me look", None, "tool_use"), ("s", 3, "tool_call", None, "Read", None), ("s", 4, "tool_result", "A\nB", "Read", None),
+        ("s", 5, "assistant_message_event", "done", None, "end_turn"), ("s", 6, "done", None, None, "end_turn"), ("s", 7, "user_message", "<system-reminder>x", None, None), ("s", 8, "task_telemetry", None, None, None), ("t", 1, "user_message", "hello", None, None),
+    ]
+    last = transcripts.normalised(df).where("kind = 'task_telemetry'").first()
+    assert (last["prompt_tokens"], last["completion_tokens"], last["model"]) == (12, 24, "x-1")  # the streamed record counts once
+    assert {r["type"]: r["n"] for r in transcripts.skipped(df).collect()} == {"summary": 1}
+    assert {r["type"]: r["n"] for r in transcripts.unmapped(df).collect()} == {"image": 1}
+    assert [r["meta"] for r in transcripts.normalised(df).where("kind = 'user_message'").orderBy("session_id", "id").collect()] == [None, "true", "true"]
+
+
+def test_reports_of_files(spark):
+    from tracewell.operators import reports
+
+    files = spark.createDataFrame([("/x/incident-2026-01-02-slow.md", "# Slow\nmu:d1:s1 and mu:d1/s1, cc:01234567-89ab-cdef-0123-456789abcdef or mu:d2/s2."), ("/x/odd-2026-01-02-a.md", "# A"), ("/x/incident-undated.md", "# B")], "path string, text string")
+    got = reports.incidents(files, {"incident": "bad", "checkpoint": "good"}).collect()
+    assert [(r["title"], r["polarity"], r["slug"], r["session_refs"]) for r in got] == [("Slow", "bad", "slow", ["mu:d1:s1", "cc:01234567-89ab-cdef-0123-456789abcdef", "mu:d2:s2"])]
+
+
+def test_billed_usage(spark):
+    m = 10**6
+    day = spark.createDataFrame([("2026-01-01T00:00:00Z", [("opus-x", m, m, m, (m, m), "1234"), ("other", m, 0, 0, None, "x")])], "starting_at string, results array<struct<model string, uncached_input_tokens long, output_tokens long, cache_read_input_tokens long, cache_creation struct<ephemeral_5m_input_tokens long, ephemeral_1h_input_tokens long>, amount string>>")
+    from tracewell.operators import reports
+
+    got = {r["model"]: (round(r["list_usd"], 6), r["billed_usd"]) for r in reports.billed_usage(day).collect()}
+    assert got == {"opus-x": (46.75, 12.34), "other": (0.0, 0.0)}

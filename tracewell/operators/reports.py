@@ -12,7 +12,9 @@ from tracewell.operators.scans import operator_messages, window_label
 from tracewell.operators.sessions import KEY, session_ref
 
 #: List prices of billed usage by model family, USD per million tokens: input, output.
-FAMILY_PRICES = {"fable": (10.0, 50.0), "opus": (5.0, 25.0), "sonnet": (3.0, 15.0), "haiku": (1.0, 5.0)}
+FAMILY_PRICES = {"opus": (5.0, 25.0), "sonnet": (3.0, 15.0), "haiku": (1.0, 5.0)}
+#: Fixed value: how sessions are referred to.
+REFERENCE = r"\b(cc:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|mu:[A-Za-z0-9_]+[:/][A-Za-z0-9_.-]+)"
 FINDING = r"^\s*\[(\w+)\]\s+(\S+)\s+@event\s+(\d+):\s*(.*)$"
 
 
@@ -74,8 +76,7 @@ def incidents(files: DataFrame, polarity: dict[str, str]) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)\.md$", 1)
     part = lambda i: F.regexp_extract(name, r"^([a-z]+)-(\d{4}-\d{2}-\d{2})-(.+)$", i)
     kinds = F.create_map(*[F.lit(x) for kv in polarity.items() for x in kv])
-    refs = F.regexp_extract_all("text", F.lit(r"\b((?:mu|cc):[\w.:-]*\w|mu/[\w.-]+/[\w-]+)"), F.lit(1))
-    refs = F.array_distinct(F.transform(refs, lambda r: F.when(r.startswith("mu/"), F.translate(r, "/", ":")).otherwise(r)))
+    refs = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)), lambda r: F.when(r.startswith("mu:"), F.translate(F.rtrim(r, F.lit(".")), "/", ":")).otherwise(r)))
     out = files.select(part(2).try_cast("date").alias("day"), F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1).alias("title"), F.element_at(kinds, part(1)).alias("polarity"), part(1).alias("kind"), part(3).alias("slug"), refs.alias("session_refs"), "path")
     return out.where("day is not null and polarity is not null")
 

@@ -106,3 +106,28 @@ SELECT CASE WHEN first_ms BETWEEN {_INCIDENT[1]} AND {_INCIDENT[2]} THEN 'incide
 """)
 def _(t):
     return reports.explicit_windows(t.ev, [_INCIDENT])
+
+
+@query("S09_normalised", """
+WITH e AS (SELECT conv_id, turn AS pos, 0 AS rank, 'user_message' AS kind FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, 2, 'assistant_message_event' FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 4, 'done' FROM conversations WHERE role = 'assistant' AND turn % 3 <> 0
+  UNION ALL SELECT conv_id, 1000000000, 5, 'task_telemetry' FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, rank) AS id, kind FROM e
+""")
+def _(t):
+    """Conversations as raw transcript records, each assistant message streamed in two records."""
+    from tracewell.sources import transcripts
+
+    c = t.table("conversations")
+    part = F.explode(F.when(F.col("role") == "assistant", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    message = F.to_json(F.struct(F.format_string("m%d-%d", "conv_id", "turn").alias("id"), "role", F.lit("claude-opus-4-8").alias("model"), F.when((F.col("turn") % 3 == 0), "tool_use").otherwise("end_turn").alias("stop_reason"), F.concat(F.lit("t "), F.coalesce("text", F.lit(""))).alias("content")))
+    rows = c.withColumn("part", part).select(F.format_string("c%d", "conv_id").alias("session_id"), (F.col("turn") * 2 + F.col("part")).alias("pos"), F.col("role").alias("type"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit(False).alias("isMeta"), message.alias("message"))
+    return transcripts.normalised(rows).select("session_id", "id", "kind")
+
+
+@query("S08_skipped_records", "SELECT role AS type, count(*) AS n FROM conversations WHERE role NOT IN ('user', 'assistant') GROUP BY role")
+def _(t):
+    from tracewell.sources import transcripts
+
+    return transcripts.skipped(t.table("conversations").withColumnRenamed("role", "type"))

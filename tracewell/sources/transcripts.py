@@ -1,0 +1,98 @@
+"""Raw transcripts to events: streamed records are made one, content blocks become events in order, and each session ends in
+its telemetry. All of it is set operations; no file is walked by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Tags that open text which the harness put in, and how stop reasons are named.
+INJECTED = ("command-name", "command-message", "command-args", "local-command-stdout", "local-command-caveat", "system-reminder", "task-notification", "bash-input", "bash-stdout", "bash-stderr")
+STOPS = {"tool_use": "tool_use", "end_turn": "end_turn", "max_tokens": "max_tokens", "stop_sequence": "end_turn"}
+
+USAGE = "input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint"
+MESSAGE = f"id string, role string, model string, stop_reason string, content string, usage struct<{USAGE}>"
+BLOCKS = "array<struct<type string, text string, thinking string, id string, name string, input string, tool_use_id string, content string, is_error boolean>>"
+TOKENS = {"input_tokens": "prompt_tokens", "output_tokens": "completion_tokens", "cache_read_input_tokens": "cache_read_tokens", "cache_creation_input_tokens": "cache_write_tokens"}
+
+
+def iso_ms(c: Column) -> Column:
+    """An ISO time in milliseconds; 0 if it is none."""
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(c)), F.lit(0))
+
+
+def flat(content: Column) -> Column:
+    """A tool result's text: a string as it is, blocks by their texts."""
+    parts = F.from_json(content, "array<struct<text string>>")
+    joined = F.array_join(F.transform(parts, lambda b: b["text"]), "\n")
+    return F.when(content.startswith("["), F.coalesce(joined, content)).otherwise(content)
+
+
+def _blocks(content: Column) -> Column:
+    """Content as blocks; a string is one block of text."""
+    empty = F.lit(None)
+    kinds = ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "content")
+    one = F.struct(*[(F.lit("text") if k == "type" else content if k == "text" else empty.cast("string")).alias(k) for k in kinds], empty.cast("boolean").alias("is_error"))
+    return F.when(content.startswith("["), F.from_json(content, BLOCKS)).otherwise(F.array(one))
+
+
+def skipped(records: DataFrame) -> DataFrame:
+    """How many records of each type are no conversation: counted, never dropped in silence."""
+    return records.where(~F.col("type").isin("user", "assistant")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def unmapped(records: DataFrame) -> DataFrame:
+    """How many blocks of each type have no event."""
+    known = ("text", "thinking", "tool_use", "tool_result")
+    rows = _conversation(records).select(F.explode(_blocks(F.col("m.content"))).alias("b"))
+    return rows.where(~F.col("b.type").isin(*known)).groupBy(F.col("b.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+def _conversation(records: DataFrame) -> DataFrame:
+    """records(session_id, pos, type, timestamp, isMeta, message): user and assistant ones with their message parsed. Of an
+    assistant message that was streamed in several records the last one counts, at the first one's place."""
+    rows = records.where(F.col("type").isin("user", "assistant")).select("session_id", "pos", "type", iso_ms(F.col("timestamp")).alias("ts"), F.coalesce("isMeta", F.lit(False)).alias("meta"), F.from_json("message", MESSAGE).alias("m"))
+    key = F.coalesce(F.when(F.col("type") == "assistant", F.col("m.id")), F.concat(F.lit("#"), F.col("pos").cast("string")))
+    last = F.max_by(F.struct("type", "ts", "meta", "m"), "pos")
+    return rows.groupBy("session_id", key.alias("key")).agg(F.min("pos").alias("pos"), last.alias("r")).select("session_id", "pos", "r.*")
+
+
+def normalised(records: DataFrame) -> DataFrame:
+    """session_id, id (from 1), ts, kind, and the fields of the kinds."""
+    talk = _conversation(records)
+    blocks = talk.select("session_id", "pos", "ts", "type", "meta", "m", F.posexplode(_blocks(F.col("m.content"))).alias("at", "b"))
+    stop = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STOPS.items() for x in kv]), F.col("m.stop_reason")), F.lit("end_turn"))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def event(df: DataFrame, kind: str, at, rank: int, **fields: Column) -> DataFrame:
+        columns = {"content": "string", "meta": "string", "call_id": "string", "name": "string", "arguments": "string", "is_error": "boolean", "stop_reason": "string", "model": "string", **{v: "bigint" for v in TOKENS.values()}}
+        return df.select("session_id", "pos", at.alias("at"), F.lit(rank).alias("rank"), "ts", F.lit(kind).alias("kind"), *[fields.get(k, none(t)).cast(t).alias(k) for k, t in columns.items()])
+
+    said = blocks.where("b.type = 'text'")
+    user = said.where("type = 'user'")
+    injected = F.coalesce(F.col("b.text").rlike(rf"^\s*<({'|'.join(INJECTED)})\b"), F.lit(False))
+    assistants = talk.where("type = 'assistant'")
+    texts = F.filter(F.transform(_blocks(F.col("m.content")), lambda b: F.when(b["type"] == "text", b["text"])), lambda x: x.isNotNull())
+    parts = [
+        event(user, "user_message", F.col("at"), 0, content=F.col("b.text"), meta=F.when(F.col("meta") | injected, "true")),
+        event(blocks.where("type = 'user' and b.type = 'tool_result'"), "tool_result", F.col("at"), 1, call_id=F.col("b.tool_use_id"), content=flat(F.col("b.content")), is_error=F.coalesce("b.is_error", F.lit(False))),
+        event(assistants, "assistant_message_event", F.lit(-1), 2, content=F.array_join(texts, "\n"), stop_reason=stop, model=F.col("m.model"), **{v: F.coalesce(F.col(f"m.usage.{k}"), F.lit(0)) for k, v in TOKENS.items()}),
+        event(blocks.where("type = 'assistant' and b.type = 'tool_use'"), "tool_call", F.col("at"), 3, call_id=F.col("b.id"), name=F.col("b.name"), arguments=F.col("b.input")),
+        event(assistants.where(stop != "tool_use"), "done", F.lit(1 << 30), 4, stop_reason=stop),
+        event(telemetry(talk), "task_telemetry", F.lit(0), 5, model=F.col("model"), **{v: F.col(v) for v in TOKENS.values()}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("session_id").orderBy("pos", "at", "rank")
+    called = F.last(F.when(F.col("kind") == "tool_call", F.col("name")), True).over(Window.partitionBy("session_id", "call_id").orderBy("id"))
+    out = out.withColumn("id", F.row_number().over(order).cast("long"))
+    return out.withColumn("name", F.when(F.col("kind") == "tool_result", called).otherwise(F.col("name"))).drop("pos", "at", "rank")
+
+
+def telemetry(talk: DataFrame) -> DataFrame:
+    """One row for each session with assistant messages: token sums, and the most frequent model that is a real one."""
+    said = talk.where("type = 'assistant'")
+    real = F.when(~F.col("m.model").isin("<synthetic>", "unknown"), F.col("m.model"))
+    sums = [F.sum(F.coalesce(F.col(f"m.usage.{k}"), F.lit(0))).alias(v) for k, v in TOKENS.items()]
+    return said.groupBy("session_id").agg(F.max("ts").alias("ts"), F.mode(real, True).alias("model"), *sums).withColumn("pos", F.lit((1 << 62)).cast("long"))
