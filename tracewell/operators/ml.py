@@ -123,3 +123,31 @@ def residual_tails(predicted: DataFrame, k: int = 12) -> DataFrame:
     r = predicted.withColumn("residual", F.round(F.col("pred") - F.col("y"), 1))
     high = r.orderBy(F.desc("residual"), "session_ref").limit(k).withColumn("tail", F.lit("unnoticed"))
     return high.unionByName(r.orderBy("residual", "session_ref").limit(k).withColumn("tail", F.lit("overnoticed")))
+
+
+def _fitted(joined: DataFrame, seed: int):
+    return Pipeline(stages=[*feature_pipeline(), GBTRegressor(labelCol="y", maxIter=10, maxDepth=3, seed=seed)]).fit(joined.fillna(0, subset=list(NUMERIC)))
+
+
+def scored_unlabelled(joined: DataFrame, rest: DataFrame, seed: int = 42) -> DataFrame:
+    """Predictions for sessions that have no label, ranked from the lowest."""
+    out = _fitted(joined, seed).transform(rest.fillna(0, subset=list(NUMERIC))).select("session_ref", F.col("prediction").alias("pred"))
+    return out.orderBy("pred", "session_ref")
+
+
+def importance(joined: DataFrame, repeats: int = 3, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
+    """How much the squared error grows when one feature's values are shuffled: feature, importance. All features and repeats
+    are rows of one plan; values are shuffled within blocks of about block_rows sessions, so that no task orders them all."""
+    model = _fitted(joined, seed)
+    rows = joined.fillna(0, subset=list(NUMERIC)).select("session_ref", "provider", "model", "y", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    blocks = max(1, rows.count() // block_rows)
+    case = F.explode(F.expr(f"flatten(transform(array({', '.join(repr(c) for c in ('', *NUMERIC))}), f -> transform(sequence(1, {repeats}), r -> struct(f, r))))"))
+    long = rows.withColumn("x", case).select("*", "x.f", "x.r", F.pmod(F.xxhash64(F.lit(seed), "session_ref"), F.lit(blocks)).alias("block")).drop("x")
+    group = ["block", "f", "r"]
+    own = F.coalesce(*[F.when(F.col("f") == c, F.col(c)) for c in NUMERIC])
+    long = long.withColumns({"n": F.row_number().over(Window.partitionBy(*group).orderBy("session_ref")), "m": F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "r", "f", "session_ref"), "session_ref"))})
+    other = long.select(*group, F.col("m").alias("n"), own.alias("v"))
+    mixed = long.join(other, [*group, "n"]).withColumns({c: F.when(F.col("f") == c, F.col("v")).otherwise(F.col(c)) for c in NUMERIC})
+    error = model.transform(mixed).groupBy("f").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("e"))
+    plain = F.max(F.when(F.col("f") == "", F.col("e"))).over(Window.partitionBy())  # over one row a feature
+    return error.withColumn("importance", F.col("e") - plain).where("f <> ''").select(F.col("f").alias("feature"), "importance")

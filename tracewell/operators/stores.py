@@ -80,3 +80,8 @@ def judge_quality(votes: DataFrame) -> DataFrame:
     return per.groupBy("behavior").agg(
         F.count("*").alias("cases"), F.avg(F.when(F.col("truth") == 1, F.col("fired").cast("double"))).alias("recall"), F.avg(F.when(F.col("truth") == 0, F.col("fired").cast("double"))).alias("false_alarms"),
     )
+
+
+def store_summary(verdicts: DataFrame) -> DataFrame:
+    """Verdicts and how many fired, of each judging model."""
+    return verdicts.groupBy("model").agg(F.count("*").alias("verdicts"), F.count_if(F.col("occurred") == 1).alias("fired"))

@@ -58,3 +58,14 @@ def rate_lift(flags: DataFrame, language: DataFrame) -> DataFrame:
         return F.try_divide(F.sum(F.when(which, F.col("hits"))).cast("double"), F.sum(F.when(which, F.col("messages"))))
 
     return rows.groupBy("predicate").agg(F.count_if(with_).alias("n_with"), F.count_if(without).alias("n_without"), rate(with_).alias("rate_with"), rate(without).alias("rate_without"), F.try_divide(rate(with_), rate(without)).alias("lift"))
+
+
+def banded_lift(flags: DataFrame, language: DataFrame) -> DataFrame:
+    """rate_lift within bands of sessions by their number of tool calls."""
+    band = F.when(F.col("calls") < 2, "S").when(F.col("calls") < 5, "M").otherwise("L")
+    rows = unpivoted(flags).join(language, list(KEY)).withColumn("band", band)
+
+    def rate(which):
+        return F.try_divide(F.sum(F.when(which, F.col("hits"))).cast("double"), F.sum(F.when(which, F.col("messages"))))
+
+    return rows.groupBy("band", "predicate").agg(F.count_if("fired").alias("n_with"), F.count_if(~F.col("fired")).alias("n_without"), F.try_divide(rate(F.col("fired")), rate(~F.col("fired"))).alias("lift"))

@@ -138,12 +138,24 @@ ra AS (SELECT predicate, count(*) FILTER (fired) AS n_with, count(*) FILTER (NOT
 SELECT *, rate_with / nullif(rate_without, 0) AS lift FROM ra
 """)
 def _(t):
+    return toolstream.rate_lift(toolstream.violations(t.ev), _language(t))
+
+
+@query("A50_banded_lift", f"""
+WITH {_FLAGS}, {_UNPIVOT}, la AS (SELECT fleet, session, count(*) AS messages, sum(len(regexp_extract_all(coalesce(content, ''), {_any(NEGATIVE)}))) AS hits FROM ev WHERE kind = 'user_message' AND meta IS NULL GROUP BY ALL)
+SELECT CASE WHEN calls < 2 THEN 'S' WHEN calls < 5 THEN 'M' ELSE 'L' END AS band, predicate, count(*) FILTER (fired) AS n_with, count(*) FILTER (NOT fired) AS n_without,
+  (CAST(sum(hits) FILTER (fired) AS DOUBLE) / nullif(sum(messages) FILTER (fired), 0)) / nullif(CAST(sum(hits) FILTER (NOT fired) AS DOUBLE) / nullif(sum(messages) FILTER (NOT fired), 0), 0) AS lift FROM un JOIN la USING (fleet, session) GROUP BY ALL
+""")
+def _(t):
+    return toolstream.banded_lift(toolstream.violations(t.ev), _language(t))
+
+
+def _language(t):
     from pyspark.sql import functions as F
 
     from tracewell.functions.text import marks
 
-    language = scans.operator_messages(t.ev).groupBy("fleet", "session").agg(F.count("*").alias("messages"), F.sum(marks(F.coalesce("content", F.lit("")), NEGATIVE)).alias("hits"))
-    return toolstream.rate_lift(toolstream.violations(t.ev), language)
+    return scans.operator_messages(t.ev).groupBy("fleet", "session").agg(F.count("*").alias("messages"), F.sum(marks(F.coalesce("content", F.lit("")), NEGATIVE)).alias("hits"))
 
 
 def _invocations(fleet: str) -> str:

@@ -81,6 +81,11 @@ def _(t):
     return stores.complete_sessions(_verdicts(t))
 
 
+@query("A56_store_summary", f"WITH {_VERDICT_SQL} SELECT model, count(*) AS verdicts, count(*) FILTER (occurred = 1) AS fired FROM vl GROUP BY model")
+def _(t):
+    return stores.store_summary(_verdicts(t))
+
+
 _VOTES = """SELECT CAST(doc_id AS STRING) AS session_ref, b.behavior AS behavior, CASE WHEN b.behavior = 'quality' THEN quality ELSE toxic END AS truth,
   CASE WHEN (doc_id * 7 + r.r * 3) % 11 < 2 THEN 1 - (CASE WHEN b.behavior = 'quality' THEN quality ELSE toxic END) ELSE (CASE WHEN b.behavior = 'quality' THEN quality ELSE toxic END) END AS occurred
 FROM {labels}, (SELECT 'quality' AS behavior UNION ALL SELECT 'toxic') AS b, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2) AS r"""
@@ -148,3 +153,16 @@ def _(t):
 @query("W25_residual_tails")
 def _(t):
     return ml.residual_tails(ml.out_of_fold(_joined(t)))
+
+
+@query("M05_unlabelled_scores")
+def _(t):
+    """Sessions without a label, scored by a model of those with one; the worst first."""
+    joined = _joined(t)
+    rest = _features(t).join(joined.select("session_ref"), "session_ref", "left_anti")
+    return ml.scored_unlabelled(joined, rest)
+
+
+@query("M03_importance")
+def _(t):
+    return ml.importance(_joined(t))
