@@ -78,7 +78,7 @@ def _(t):
     return panels.stop_reasons(t.ev)
 
 
-@query("A09_degradation_by_day", f"SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, count(*) AS n, avg(CAST(stop_reason IN {_BAD} AS DOUBLE)) AS rate FROM ev WHERE kind = 'done' GROUP BY 1")
+@query("A09_degradation_by_day", f"SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, count(*) AS n, avg(CAST(stop_reason IN {_BAD} AS DOUBLE)) AS rate FROM ev WHERE kind = 'done' GROUP BY 1", dates=("day",))
 def _(t):
     return panels.degradation_by_day(t.ev)
 
@@ -197,7 +197,7 @@ def _(t):
     return sessions.first_events(t.ev)
 
 
-@query("S11_tasks", f"WITH {_TASKS} SELECT task_id, fleet, session, model, provider, exit_reason, outcome_class, tool_calls, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens, ts, is_priced, round(cost, 6) AS cost, cost_kind, day FROM tasks")
+@query("S11_tasks", f"WITH {_TASKS} SELECT task_id, fleet, session, model, provider, exit_reason, outcome_class, tool_calls, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens, ts, is_priced, round(cost, 6) AS cost, cost_kind, day FROM tasks", dates=("day",))
 def _(t):
     from pyspark.sql import functions as F
 
@@ -224,7 +224,7 @@ def _(t):
     return costs.hallucination(sessions.tasks(t.ev, t.rates))
 
 
-@query("A29_trend", f"WITH {_TASKS}, d AS (SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, avg(CAST(stop_reason IN {_BAD} AS DOUBLE)) AS rate FROM ev WHERE kind = 'done' GROUP BY 1) SELECT day, count(*) AS tasks, {_SUM} AS cost, coalesce(any_value(rate), 0.0) AS rate FROM tasks LEFT JOIN d USING (day) GROUP BY day")
+@query("A29_trend", f"WITH {_TASKS}, d AS (SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, avg(CAST(stop_reason IN {_BAD} AS DOUBLE)) AS rate FROM ev WHERE kind = 'done' GROUP BY 1) SELECT day, count(*) AS tasks, {_SUM} AS cost, coalesce(any_value(rate), 0.0) AS rate FROM tasks LEFT JOIN d USING (day) GROUP BY day", dates=("day",))
 def _(t):
     return costs.trend(sessions.tasks(t.ev, t.rates), panels.degradation_by_day(t.ev))
 

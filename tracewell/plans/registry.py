@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.dims import RATES, rates
 from tracewell.sources import adapters
@@ -39,16 +40,18 @@ class Tables:
 _RATES = "rates(rate_key, i, o) AS (VALUES " + ", ".join(f"('{k}', {i}, {o})" for k, (i, o) in RATES.items()) + ")"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
     """Registers a query over Tables. sql: DuckDB's equivalent, over ev, talk and rates (common table expressions put in
-    front of it) and the tables."""
+    front of it) and the tables. dates: columns that are given as text, as engines show dates differently."""
 
     def register(make: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in dates})
         if sql:
             body = sql.strip()
             joint = ", " + body[5:] if body.upper().startswith("WITH ") else " " + body
-            ORACLES[name] = f"WITH {adapters.DUCK_PREFIX}, {_RATES}{joint}"
+            whole = f"WITH {adapters.DUCK_PREFIX}, {_RATES}{joint}"
+            shown = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+            ORACLES[name] = f"SELECT * REPLACE ({shown}) FROM ({whole}) AS q" if dates else whole
         return make
 
     return register

@@ -59,7 +59,7 @@ def _(t):
     return reports.parsed_findings(t.ev.where("kind = 'done'").select(sessions.session_ref(F.col("fleet"), F.col("session")).alias("session_ref"), F.expr(_LINES).alias("line")))
 
 
-@query("A31_findings_by_day", "SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, count(*) FILTER (k % 3 = 0) AS high, count(*) FILTER (k % 3 = 1) AS med, count(*) FILTER (k % 3 = 2) AS low, CAST(0 AS BIGINT) AS other FROM ev WHERE kind = 'done' GROUP BY 1")
+@query("A31_findings_by_day", "SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, count(*) FILTER (k % 3 = 0) AS high, count(*) FILTER (k % 3 = 1) AS med, count(*) FILTER (k % 3 = 2) AS low, CAST(0 AS BIGINT) AS other FROM ev WHERE kind = 'done' GROUP BY 1", dates=("day",))
 def _(t):
     lines = t.ev.where("kind = 'done'").select(F.col("id").cast("string").alias("session_ref"), F.expr(_LINES).alias("line"), panels.day().alias("day"))
     found = reports.parsed_findings(lines)
@@ -92,7 +92,7 @@ def _(t):
 @query("A58_maturity", """
 WITH p AS (SELECT fleet, session, min(ts) AS f, bool_or(kind = 'compaction_assembly') AS c, bool_or(kind = 'worker_spawned') AS w, bool_or(kind = 'recall_provenance') AS r, bool_or(kind = 'operator_mark') AS m FROM ev GROUP BY ALL)
 SELECT CAST(date_trunc('week', make_timestamp(f * 1000)) AS DATE) AS week, count(*) AS sessions, count(*) FILTER (c) AS compaction, count(*) FILTER (w) AS workers, count(*) FILTER (r) AS recall, count(*) FILTER (m) AS marks FROM p GROUP BY 1
-""")
+""", dates=("week",))
 def _(t):
     return reports.maturity(t.ev)
 

@@ -192,7 +192,7 @@ def _(t):
 WITH {_invocations('mu')}, ok AS (SELECT *, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, CASE WHEN duration_ms - coalesce(ttft_ms, 0) > 1 THEN tokens * 1000.0 / (duration_ms - coalesce(ttft_ms, 0)) END AS speed FROM iv WHERE duration_ms BETWEEN 0 AND 1800000)
 SELECT fleet, day, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, min(start_ms) AS first_ms, max(end_ms) AS last_ms, round(quantile_cont(duration_ms, 0.5), 6) AS duration_p50, round(quantile_cont(duration_ms, 0.9), 6) AS duration_p90,
   round(quantile_cont(ttft_ms, 0.5), 6) AS ttft_p50, round(quantile_cont(ttft_ms, 0.9), 6) AS ttft_p90, round(quantile_cont(speed, 0.5), 6) AS speed_p50, round(quantile_cont(speed, 0.9), 6) AS speed_p90 FROM ok GROUP BY GROUPING SETS ((fleet), (fleet, day))
-""")
+""", dates=("day",))
 def _(t):
     return timings.timing_stats(timings.within(timings.invocations(t.ev, "mu")))
 
