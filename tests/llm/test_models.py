@@ -213,6 +213,18 @@ def test_neighbours_recall_and_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 8_000])
+def test_neighbours_recall_with_blocks_far_smaller_than_the_table(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 5, block=32, orders=2).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit[::20] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 20)] = -2
+    best = {(20 * q, int(v)) for q, vs in enumerate(np.argsort(-near, axis=1)[:, :5]) for v in vs}
+    assert len(got & best) >= 0.93 * len(best)
+
+
 def test_urls(spark):
     urls = [
         (1, "https://Blog.Example.ORG/es/1?x=1"), (2, "http://example.org/en/1x"), (3, "http://a.com/de/x"), (4, "http://a.com/fr/"), (5, "http://casino-win.example.net/a"), (6, "http://plain.example.net/b"),

@@ -5,10 +5,12 @@ projections, cut into blocks of BLOCK, and compared within their block. Then eac
 its neighbours, those that it points to and those that point to it, and compares these with each other: the neighbours of
 neighbours. A node keeps its DEGREE nearest. An edge that is not among the REVERSE nearest that point to its end is not used
 in that comparison, so no node meets more than DEGREE + REVERSE others in one place, however many point to it; it stays in
-the graph.
+the graph. Rounds end when one of them changes no more than a share DELTA of the edges.
 
-A query starts at a node, its own if its vector is in the index, and in each round looks at the neighbours of the best WIDTH
-nodes seen so far. Nearness there is that of float16 unit vectors; the result's order and scores are of the original vectors
+A query starts at a node, its own if its vector is in the index, and in each round looks at the neighbours of the best `width`
+nodes seen so far, until there is none among these that it hasn't looked from. For SAMPLE of the queries the nearest are also
+found by brute force, one pass over the nodes; while the search has less than RECALL of these, the width is doubled, from
+WIDTH on, and all queries go on from where they are. Nearness there is that of float16 unit vectors; the result's order and scores are of the original vectors
 in double precision.
 
 Defined results: a vector that is null, empty, zero, or has null or non-finite components takes no part, neither as query nor
@@ -27,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import durable, read_table
+from tracewell.llm.common import bounded_sample, durable, read_table
 
 DEGREE = 32
 REVERSE = 32
 BLOCK = 2048
 ORDERS = 6
-ROUNDS = 4
+DELTA = 0.001
 WIDTH = 96
-SEARCH_ROUNDS = 3
+RECALL = 0.95
+SAMPLE = 400
 
 
 @dataclass
@@ -192,15 +195,25 @@ def descend(nodes: DataFrame, graph: DataFrame, degree: int, reverse: int, take:
     return _merge(graph.union(around.select("around").mapInArrow(_compare(take), _NEAR)), degree)
 
 
-def build(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, block: int = BLOCK, orders: int = ORDERS, rounds: int = ROUNDS, seed: int = 8) -> Index:
+def _changed(last: DataFrame, graph: DataFrame) -> tuple[int, int]:
+    """Edges of the graph, and how many of them were not in the last one."""
+    was = last.select("nid", F.col("near.nid").alias("was"))
+    both = graph.select("nid", F.col("near.nid").alias("now")).join(was, "nid")
+    return tuple(both.agg(F.coalesce(F.sum(F.size("now")), F.lit(0)), F.coalesce(F.sum(F.size(F.array_except("now", "was"))), F.lit(0))).first())
+
+
+def build(vectors: DataFrame, degree: int = DEGREE, reverse: int = REVERSE, block: int = BLOCK, orders: int = ORDERS, delta: float = DELTA, seed: int = 8) -> Index:
     """vectors(vec_id, embedding) -> the index of every row."""
     own, members = nodes_of(vectors)
     nodes = durable(own.mapInArrow(_unit_rows, "nid long, unit binary"), "units")
     n = nodes.count()
     partitions = max(1, min(n // (4 * block), 100_000))
     graph = durable(first_graph(nodes, degree, block, orders, seed, partitions), "graph")
-    for _ in range(rounds):
-        graph = durable(descend(nodes, graph, degree, reverse), "graph")
+    while True:
+        last, graph = graph, durable(descend(nodes, graph, degree, reverse), "graph")
+        edges, new = _changed(last, graph)
+        if new <= delta * edges:
+            break
     return Index(nodes, own, members, graph)
 
 
@@ -218,19 +231,52 @@ def _both_ways(graph: DataFrame, reverse: int) -> DataFrame:
     return edges.select(F.col("a").alias("nid"), F.col("b").alias("to")).union(back.select(F.col("b").alias("nid"), F.col("a").alias("to"))).distinct()
 
 
-def search(index: Index, queries: DataFrame, width: int = WIDTH, rounds: int = SEARCH_ROUNDS, reverse: int = REVERSE) -> DataFrame:
-    """queries(qid, asked: unit bytes, entry: a node) -> qid, nid: the best `width` nodes that a greedy search finds."""
+def _brute_force(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """queries(qid, asked), few -> qid, far, many: the distance of the k-th nearest node besides the query's own, and how many
+    nodes that counts (fewer than k in a small table). One pass over the nodes; a task keeps the k nearest of its own."""
+    rows = queries.select("qid", "asked").collect()
+    ids = np.array([r["qid"] for r in rows], np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, _matrix([bytes(r["asked"]) for r in rows]) if rows else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = shared.value
+        best = np.empty((len(ids), 0), np.float32)
+        for b in batches:
+            if b.num_rows and len(ids):
+                d = 1 - asked @ _matrix(b.column("unit").to_pylist()).T
+                d[ids[:, None] == b.column("nid").to_numpy()[None, :]] = np.inf
+                best = np.sort(np.c_[best, d], axis=1)[:, :k]
+        q, _ = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(best[np.isfinite(best)], pa.float32())], names=["qid", "d"])
+
+    found = nodes.mapInArrow(run, "qid long, d float").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d"))).where(F.col("r") <= k)
+    return found.groupBy("qid").agg(F.max("d").alias("far"), F.count("*").alias("many"))
+
+
+def _recall(seen: DataFrame, truth: DataFrame) -> float:
+    """The share of the nearest that was seen. Nodes as near as the k-th count as well as it does."""
+    met = seen.where("nid <> qid").join(F.broadcast(truth), "qid").where(F.col("d") <= F.col("far") + 1e-6).groupBy("qid").agg(F.count("*").alias("met"))
+    share = truth.join(met, "qid", "left").agg(F.sum(F.least(F.coalesce("met", F.lit(0)), "many")) / F.sum("many")).first()[0]
+    return 1.0 if share is None else share
+
+
+def search(index: Index, queries: DataFrame, k: int, width: int = WIDTH, recall: float = RECALL, sample: int = SAMPLE, reverse: int = REVERSE) -> DataFrame:
+    """queries(qid, asked: unit bytes, entry: a node) -> qid, nid: the best nodes that a greedy search finds, as many as its width
+    came to be. Beyond the number of nodes the width doesn't grow: by then all that the graph reaches was seen."""
     queries, paths = durable(queries, "queries"), durable(_both_ways(index.graph, reverse).groupBy("nid").agg(F.collect_list("to").alias("to")), "paths")
-    seen = queries.select("qid", F.col("entry").alias("nid"), F.lit(-1.0).cast("float").alias("d"), F.lit(False).alias("open"), F.lit(True).alias("fresh"))
-    for _ in range(rounds):
-        step = seen.where("fresh").join(paths, "nid").select("qid", F.explode("to").alias("nid")).distinct()
-        step = step.join(seen.select("qid", "nid"), ["qid", "nid"], "left_anti")
-        met = step.join(index.nodes, "nid").join(queries.select("qid", "asked"), "qid").select("qid", "nid", "unit", "asked").mapInArrow(_score, "qid long, nid long, d float")
-        both = seen.select("qid", "nid", "d", F.lit(False).alias("fresh")).union(met.select("qid", "nid", "d", F.lit(True).alias("fresh")))
-        # All that was seen stays, so as not to be looked at again; only what is new and among the best is followed.
-        ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "nid")))
-        seen = durable(ranked.select("qid", "nid", "d", (F.col("fresh") & (F.col("r") <= width)).alias("fresh"), (F.col("r") <= width).alias("open")), "seen")
-    return seen.where("open").select("qid", "nid")
+    truth, most = durable(_brute_force(index.nodes, bounded_sample(queries, "qid", sample), k), "truth"), index.nodes.count()
+    seen = queries.select("qid", F.col("entry").alias("nid"), F.lit(-1.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(1).alias("r"))
+    while True:
+        while not (fresh := seen.where(~F.col("done") & (F.col("r") <= width))).isEmpty():
+            step = fresh.join(paths, "nid").select("qid", F.explode("to").alias("nid")).distinct()
+            step = step.join(seen.select("qid", "nid"), ["qid", "nid"], "left_anti")
+            met = step.join(index.nodes, "nid").join(queries.select("qid", "asked"), "qid").select("qid", "nid", "unit", "asked").mapInArrow(_score, "qid long, nid long, d float")
+            # All that was seen stays, so as not to be looked at again; only what is among the best is followed.
+            both = seen.select("qid", "nid", "d", (F.col("done") | (F.col("r") <= width)).alias("done")).union(met.select("qid", "nid", "d", F.lit(False).alias("done")))
+            seen = durable(both.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "nid"))), "seen")
+        if width >= most or _recall(seen, truth) >= recall:
+            return seen.where(F.col("r") <= width).select("qid", "nid")
+        width *= 2
 
 
 def nearest(vectors: DataFrame, asked: DataFrame, k: int, **params) -> DataFrame:
@@ -239,7 +285,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, **params) -> DataFrame
     rows = index.members.join(asked.select("vec_id").distinct(), "vec_id", "left_semi")
     # Ids that share a vector ask once.
     queries = rows.select("nid").distinct().join(index.nodes, "nid").select(F.col("nid").alias("qid"), F.col("unit").alias("asked"), F.col("nid").alias("entry"))
-    found = search(index, queries).union(queries.select("qid", F.col("qid").alias("nid"))).distinct()
+    found = search(index, queries, k).union(queries.select("qid", F.col("qid").alias("nid"))).distinct()
     exact = found.join(index.vectors.withColumnRenamed("embedding", "x"), "nid").join(index.vectors.select(F.col("nid").alias("qid"), F.col("embedding").alias("y")), "qid")
     exact = exact.select("qid", "nid", cosine(F.col("x"), F.col("y")).alias("score"))
     few = index.members.withColumn("r", F.row_number().over(Window.partitionBy("nid").orderBy("vec_id"))).where(F.col("r") <= k + 1).drop("r")
