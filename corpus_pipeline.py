@@ -6,7 +6,7 @@ those define for nulls, ties, repeated rows and empty tables holds here too. All
 documents; the last returns a row for each document with what the mix takes of it.
 
 A null or empty text is not toxic and is kept by the first stage, whatever the base rate; empty texts are near-duplicates of
-each other (fingerprint zero), so one of them stays.
+each other (no shingles), so one of them stays.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
+from tracewell.llm import decontaminate, mixing, near_copies, simhash, suffix_dedup, toxicity
 from tracewell.llm.common import read_table, shared_folder
 
 
@@ -28,7 +28,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    """Near copies have a Jaccard similarity of 0.8 or more in shingles of five words; op2's measure is that query's alone."""
+    return simhash.deduplicated(docs, near_copies.grouped)
 
 
 def repeats_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

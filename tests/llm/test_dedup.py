@@ -146,6 +146,37 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.grouped(df.limit(0)).count() == 0
 
 
+def test_pipeline_takes_out_near_copies_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    words = ["w%d" % i for i in range(900)]
+    rows, sets = [(1, None), (2, ""), (3, "one two"), (4, "One  TWO"), (None, "one two")], {}
+    for family in range(12):
+        base = [rng.choice(words) for _ in range(150)]
+        for copy in range(6):
+            t = list(base)
+            for k in rng.sample(range(150), 0 if not copy else rng.choice([1, 2, 3, 6])):
+                t[k] = rng.choice(words)
+            rows.append((100 + family * 10 + copy, " ".join(t)))
+    for d, t in rows[5:]:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    root = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if all(root[root[d]] == root[d] for d in sets):
+            break
+    far = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and (prints(dict(rows)[a]) ^ prints(dict(rows)[b])).bit_count() > 4]
+    assert far  # op2's measure doesn't link these
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([1, 3, None, *set(root.values())], key=str)
+
+
 def test_every_near_pair_is_a_link(spark):
     rng = random.Random(4)
     fps = sorted({x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for x in [rng.getrandbits(64) for _ in range(40)] for _ in range(8)})

@@ -33,18 +33,24 @@ WIDTHS = (13, 13, 13, 13, 12)
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint, as a signed integer."""
+def shingle_hashes(text: str | None, size: int = WORDS) -> list[int]:
+    """The hash of each shingle of `size` words, of all words if there are fewer; none without words."""
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return 0
+        return []
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1][: len(words) - WORDS + 1]
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[WORDS - 1 :].tolist(), strict=True)]
+    if len(words) <= size:
+        return [digest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1][: len(words) - size + 1]
+    return [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint, as a signed integer."""
+    hashes = shingle_hashes(text)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<i8")[0])
@@ -116,10 +122,10 @@ def grouped(docs: DataFrame) -> DataFrame:
     return prints.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, groups=grouped) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with its own columns; documents without an id stay, as
-    there is no telling which of a group they are. Of repeated rows with one id one stays."""
-    found = durable(grouped(docs), "grouped")
+    there is no telling which of a group they are. Of repeated rows with one id one stays. groups gives doc_id, component_id."""
+    found = durable(groups(docs), "grouped")
     kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
