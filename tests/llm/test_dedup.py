@@ -48,6 +48,22 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.removals(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_tells_rows_with_one_id_apart(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(70) for _ in range(40)]
+    rows = [(1, " ".join(shared)), (2, shared[0]), (2, shared[0]), (2, shared[0])]
+    for i in range(1200):
+        rows.append((5 if i % 2 else None, text(rng.randint(0, 90)) + (rng.choice(shared) if i % 3 else "") + text(20)))
+    assert measured(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == removed(rows)
+
+
+def test_stretches_of_very_many_rows_are_merged():
+    row = np.repeat(np.arange(1 << 22), 2)
+    got = suffix_dedup.merged(row, np.tile([10, 50], 1 << 22), np.full(len(row), 50))
+    assert (got[0] == np.arange(1 << 22)).all() and (got[1] == 10).all() and (got[2] == 90).all()
+
+
 def test_contexts_are_split_without_loss():
     """The comparing step with groups of any size, against brute force over windows."""
     rng = random.Random(5)

@@ -5,7 +5,8 @@ a smaller doc_id. Texts are UTF-8 bytes, matches never cross documents, and stri
    window's anchor. Equal windows have equal anchors at equal offsets. So it is enough to compare anchors of equal strings, with
    the SPAN - GRAM bytes on both sides, their context. A document has about one anchor in 14 bytes. They are dealt out by
    hash, packed: each row of the exchange holds all anchors of one bucket from one batch of documents. Within a batch only
-   the smallest document sends a context that several share; the others are known to be covered.
+   the smallest document sends a context that several share; the others are known to be covered. Rows have a number besides
+   their doc_id (the same where ids are unique), which tells rows with one id apart; what is sent is its difference, by bits.
 2. In a bucket, contexts that a smaller document has too are covered whole. What stays is the first document of each context
    whose anchor string also stands in other contexts.
 3. Those contexts' bytes are read from the documents, and dealt out by anchor.
@@ -139,44 +140,43 @@ ANCHOR, COVERED, WANTED, CONTEXT = range(4)
 
 
 def _send_anchors(buckets: int, doc_buckets: int):
-    def flush(ids, tags, texts):
+    def flush(ids, numbers, texts):
         size = np.array([len(t) for t in texts], np.int64)
         stop = np.cumsum(size)
         doc, at, gram, context, left, right = anchors(np.frombuffer(b"".join(texts), np.uint8), stop - size, stop)
-        ids, tags = np.array(ids, np.int64), np.array(tags, np.int64)
-        who = ids[doc] if len(doc) else doc
-        at = at | (tags[doc] << 40) if len(doc) else at
+        ids, numbers = np.array(ids, np.int64), np.array(numbers, np.int64)
+        who, number = (ids[doc], numbers[doc]) if len(doc) else (doc, doc)
         # The batch's smallest document with a context sends it, the others are covered.
         sort = np.lexsort((at, who, context, gram))
-        doc, who, at, gram, context, left, right = (x[sort] for x in (doc, who, at, gram, context, left, right))
+        who, number, at, gram, context, left, right = (x[sort] for x in (who, number, at, gram, context, left, right))
         head = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(gram)]
         first = who == who[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(who) else np.empty(0, bool)
         c = ~first
         out = []
         if c.any():
-            rows = [who[c], at[c] - left[c], left[c] + GRAM + right[c]]
-            out.append(_blob_batch(COVERED, list(_by_bucket(_doc_bucket(who[c], doc_buckets), rows, (rows[1], rows[0])))))
+            rows = [number[c], at[c] - left[c], left[c] + GRAM + right[c]]
+            out.append(_blob_batch(COVERED, list(_by_bucket(_doc_bucket(number[c], doc_buckets), rows, (rows[1], rows[0])))))
         bucket = (gram[first] % np.uint64(buckets)).astype(np.int64)
-        rows = [gram[first] >> np.uint64(24), context[first] >> np.uint64(16), who[first], at[first], left[first], right[first]]
+        rows = [gram[first] >> np.uint64(24), context[first] >> np.uint64(16), who[first], number[first] ^ who[first], at[first], left[first], right[first]]
         out.append(_blob_batch(ANCHOR, list(_by_bucket(bucket, rows, (rows[0],)))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tags, texts, size = [], [], [], 0
+        ids, numbers, texts, size = [], [], [], 0
         for b in batches:
-            for i, tag, text in zip(b.column("ord").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, number, text in zip(b.column("ord").to_pylist(), b.column("number").to_pylist(), b.column("text").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) < SPAN:
                     continue
                 ids.append(i)
-                tags.append(tag)
+                numbers.append(number)
                 texts.append(raw)
                 size += len(raw)
                 if size >= BATCH_BYTES:
-                    yield from flush(ids, tags, texts)
-                    ids, tags, texts, size = [], [], [], 0
+                    yield from flush(ids, numbers, texts)
+                    ids, numbers, texts, size = [], [], [], 0
         if texts:
-            yield from flush(ids, tags, texts)
+            yield from flush(ids, numbers, texts)
 
     return run
 
@@ -187,9 +187,9 @@ def _match_contexts(doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == COVERED:  # known already
             return table
-        gram, context, who, at, left, right = _gathered(table.column("blob"), 6)
+        gram, context, who, differ, at, left, right = _gathered(table.column("blob"), 7)
         sort = np.lexsort((at, who, context, gram))
-        gram, context, who, at, left, right = (x[sort] for x in (gram, context, who, at, left, right))
+        gram, context, who, differ, at, left, right = (x[sort] for x in (gram, context, who, differ, at, left, right))
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         new = new_gram | np.r_[True, context[1:] != context[:-1]]
         run_of, gram_of = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
@@ -198,11 +198,11 @@ def _match_contexts(doc_buckets: int):
         several = np.bincount(gram_of[new])[gram_of] > 1  # contexts of the anchor
         least_gram = np.minimum.reduceat(who, np.flatnonzero(new_gram))[gram_of]
         wanted = several & ~covered & (np.maximum.reduceat(who, np.flatnonzero(new_gram))[gram_of] > least_gram)
-        bucket = np.full(len(who), table.column("bucket")[0].as_py(), np.uint64)
+        number, bucket = who ^ differ, np.full(len(who), table.column("bucket")[0].as_py(), np.uint64)
         out = []
-        for kind, pick, rows in ((COVERED, covered, [who, at - left, left + GRAM + right]), (WANTED, wanted, [who, at, left, right, gram, bucket])):
+        for kind, pick, rows in ((COVERED, covered, [number, at - left, left + GRAM + right]), (WANTED, wanted, [number, differ, at, left, right, gram, bucket])):
             rows = [r[pick] for r in rows]
-            out.append(_blob_batch(kind, list(_by_bucket(_doc_bucket(who[pick], doc_buckets), rows, (rows[1], rows[0])))))
+            out.append(_blob_batch(kind, list(_by_bucket(_doc_bucket(number[pick], doc_buckets), rows, (rows[1], rows[0])))))
         return pa.Table.from_batches(out)
 
     return run
@@ -213,9 +213,9 @@ def _fetch_contexts(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
     empty = pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
     if not left_table.num_rows or not right_table.num_rows:
         return empty
-    who, at, left, right, gram, bucket = (x.astype(np.int64) for x in _gathered(right_table.column("blob"), 6))
+    number, differ, at, left, right, gram, bucket = (x.astype(np.int64) for x in _gathered(right_table.column("blob"), 7))
     data, place = _joined(left_table)
-    begin = place(who, at) - left
+    begin = place(number, at) - left
     length = left + GRAM + right
     flat = data[_ranges(begin, length)]
     sort = np.lexsort((gram, bucket))
@@ -223,28 +223,22 @@ def _fetch_contexts(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
     rows, head = [], np.flatnonzero(np.r_[True, np.diff(bucket[sort]) != 0])
     for a, b in zip(head, [*head[1:], len(sort)], strict=True):
         part = sort[a:b]
-        meta = pack(gram[part], who[part], at[part], left[part], right[part])
+        meta = pack(gram[part], number[part], differ[part], at[part], left[part], right[part])
         text = flat[_ranges(offset[part], length[part])].tobytes()
         rows.append((int(bucket[part[0]]), len(meta).to_bytes(8, "little") + meta + zstd.ZstdCompressor(level=1).compress(text)))
     return pa.Table.from_batches([_blob_batch(CONTEXT, rows)])
 
 
 def _joined(docs: pa.Table):
-    """The texts of a bucket of documents end to end, and a function from (ord, tagged place) to places in them."""
+    """The texts of a bucket of documents end to end, and a function from (row number, place in the text) to places in them."""
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
     size = np.array([len(t) for t in texts], np.int64)
-    who, tag = docs.column("ord").to_numpy().astype(np.int64), docs.column("tag").to_numpy().astype(np.int64)
-    order = np.lexsort((tag, who))
-    start, who, tag = (np.cumsum(size) - size)[order], who[order], tag[order]
-    group = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-
-    def place(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(who, ids)
-        if len(group) < len(who):  # repeated ids: the tag tells their texts apart
-            want = at >> 40
-            while (wrong := (tag[i] != want)).any():
-                i = i + wrong
-        return start[i] + (at & ((1 << 40) - 1))
+    number = docs.column("number").to_numpy().astype(np.int64)
+    order = np.argsort(number)
+    start, number = (np.cumsum(size) - size)[order], number[order]
+
+    def place(numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return start[np.searchsorted(number, numbers)] + at
 
     return np.frombuffer(b"".join(texts), np.uint8), place
 
@@ -322,21 +316,36 @@ def covered_contexts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who:
     return order[context[hit]], hit - at[context[hit]]
 
 
+def merged(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Stretches sorted by row and start -> row, start, size, those of a row that overlap or touch being one."""
+    if not len(row):
+        return [row, start, size]
+    first = np.r_[True, row[1:] != row[:-1]]
+    # Rows are laid one behind the other, each as long as its stretches reach, with a gap: ends only grow.
+    reach = np.maximum.reduceat(start + size, np.flatnonzero(first)) + 1
+    lift = (np.cumsum(reach) - reach)[np.cumsum(first) - 1]
+    ends = np.maximum.accumulate(lift + start + size)
+    head = np.flatnonzero(first | np.r_[True, lift[1:] + start[1:] > ends[:-1]])
+    tail = np.r_[head[1:], len(row)] - 1
+    return [row[head], start[head], ends[tail] - lift[tail] - start[head]]
+
+
 def _compare_contexts(doc_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         metas, texts = [], []
         for b in table.column("blob"):
             raw = b.as_py()
             n = int.from_bytes(raw[:8], "little")
-            metas.append([x.astype(np.int64) for x in unpack(raw[8 : 8 + n], 5)])
+            metas.append([x.astype(np.int64) for x in unpack(raw[8 : 8 + n], 6)])
             texts.append(zstd.ZstdDecompressor().decompress(raw[8 + n :]))
-        gram, who, at, left, right = (np.concatenate([m[i] for m in metas]) for i in range(5))
+        gram, number, differ, at, left, right = (np.concatenate([m[i] for m in metas]) for i in range(6))
+        who = number ^ differ
         data = np.frombuffer(b"".join(texts), np.uint8)
         length = left + GRAM + right
         stop = np.cumsum(length)
         start = stop - length
         done, rest = _split(data, start + left, left, right, who, gram, MANY)
-        found_who, found_at, found_size = [who[done[0]]], [at[done[0]] - done[1]], [done[1] + GRAM + done[2]]
+        found_in, found_at, found_size = [number[done[0]]], [at[done[0]] - done[1]], [done[1] + GRAM + done[2]]
         rows, l, r, group = rest
         order = np.lexsort((group, np.bincount(group)[group])) if len(group) else group  # groups of like size together
         rows, l, r, group = rows[order], l[order], r[order], group[order]
@@ -347,21 +356,14 @@ def _compare_contexts(doc_buckets: int):
             b = int(np.searchsorted(total, (total[a - 1] if a else 0) + COMPARE_BYTES, side="right"))
             b = int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]) if b < len(rows) and edges[-1] >= max(b, a + 1) else len(rows)
             c, p = covered_contexts(data, begin[a:b], begin[a:b] + size[a:b], who[rows[a:b]], group[a:b])
-            found_who.append(who[rows[a:b]][c])
+            found_in.append(number[rows[a:b]][c])
             found_at.append(at[rows[a:b]][c] - l[a:b][c] + p)
             found_size.append(np.full(len(c), SPAN))
             a = b
-        w, p, n = (np.concatenate(x) for x in (found_who, found_at, found_size))
+        w, p, n = (np.concatenate(x) for x in (found_in, found_at, found_size))
         sort = np.lexsort((p, w))
         w, p, n = w[sort], p[sort], n[sort]
-        # Stretches that overlap or touch are one. A text's ends only grow, and each text starts beyond the one before.
-        rank = np.cumsum(np.r_[0, (w[1:] != w[:-1]) | (p[1:] >> 40 != p[:-1] >> 40)])[: len(w)]
-        lift = rank * (1 << 42)
-        ends = np.maximum.accumulate(lift + (p & ((1 << 40) - 1)) + n) if len(w) else p
-        new = np.r_[True, lift[1:] + (p[1:] & ((1 << 40) - 1)) > ends[:-1]][: len(w)]
-        head = np.flatnonzero(new)
-        tail = np.r_[head[1:], len(w)].astype(np.int64) - 1 if len(head) else head
-        found = [w[head], p[head], ends[tail] - lift[tail] - (p[head] & ((1 << 40) - 1))]
+        found = merged(w, p, n)
         return pa.Table.from_batches([_blob_batch(COVERED, list(_by_bucket(_doc_bucket(found[0], doc_buckets), found, (found[1], found[0]))))])
 
     return run
@@ -374,13 +376,13 @@ def _cut(docs: pa.Table, covered: pa.Table, as_text: bool) -> pa.Table:
     kept = list(texts)
     if docs.num_rows and covered.num_rows:
         data, place = _joined(docs)
-        who, at, length = (x.astype(np.int64) for x in _gathered(covered.column("blob"), 3))
-        begin = place(who, at)
+        number, at, length = (x.astype(np.int64) for x in _gathered(covered.column("blob"), 3))
+        begin = place(number, at)
         edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + length, -1)
         inside = np.cumsum(edge[:-1], out=edge[:-1]) > 0
-        del edge, begin, who, length
+        del edge, begin, number, length
         at = 0
         for i, t in enumerate(texts):
             mine = inside[at : at + len(t)]
@@ -400,15 +402,16 @@ def removals(docs: DataFrame, as_text: bool = False) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     repeated = not ids.where("count > 1").isEmpty() or docs.where("doc_id is null").limit(2).count() > 1
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)) if repeated else F.lit(0).cast("long")
-    own = docs.select(F.struct(*others).alias("row"), F.coalesce("doc_id", F.lit(int(LAST))).alias("ord"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", tag)
+    own = docs.select(F.struct(*others).alias("row"), F.coalesce("doc_id", F.lit(int(LAST))).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    # The number of a row, by which it is found again: the id where that tells rows apart, else a new one, written down.
+    own = durable(own.withColumn("number", F.monotonically_increasing_id()), "rows") if repeated else own.withColumn("number", F.col("ord"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, doc_buckets = max(12, total // BUCKET_BYTES), max(12, total // DOCS_BYTES)
-    sent = own.select("ord", "tag", "text").mapInArrow(_send_anchors(buckets, doc_buckets), _BLOBS)
+    sent = own.select("ord", "number", "text").mapInArrow(_send_anchors(buckets, doc_buckets), _BLOBS)
     matched = durable(sent.groupBy("kind", "bucket").applyInArrow(_match_contexts(doc_buckets), _BLOBS), "matched")
     by_doc = _with_bucket(own, doc_buckets)
     wanted = matched.where(F.col("kind") == WANTED)
-    contexts = by_doc.select("ord", "tag", "text", "bucket").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_contexts, _BLOBS)
+    contexts = by_doc.select("number", "text", "bucket").groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_contexts, _BLOBS)
     compared = durable(contexts.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_compare_contexts(doc_buckets), _BLOBS), "compared")
     covered = matched.where(F.col("kind") == COVERED).unionByName(compared)
     schema = StructType([*by_doc.select("row").schema.fields, *StructType.fromDDL("n_bytes long, removed array<struct<start: long, stop: long>>, kept " + ("string" if as_text else "binary")).fields])
@@ -424,7 +427,7 @@ def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_doc_bucket(b.column("ord").to_numpy(), buckets), pa.int64())], names=[*b.schema.names, "bucket"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_doc_bucket(b.column("number").to_numpy(), buckets), pa.int64())], names=[*b.schema.names, "bucket"])
 
     return own.mapInArrow(run, StructType([*own.schema.fields, StructField("bucket", LongType())]))
 
