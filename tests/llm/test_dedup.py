@@ -64,47 +64,63 @@ def test_stretches_of_very_many_rows_are_merged():
     assert (got[0] == np.arange(1 << 22)).all() and (got[1] == 10).all() and (got[2] == 90).all()
 
 
+def test_hot_anchors_lose_nothing(spark):
+    """A passage that most documents quote, dealt out by windows."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(90)
+    rows = [(i, text(rng.randint(0, 60)) + passage[rng.choice([0, 0, 15]) :] + text(30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = df.selectExpr("doc_id AS number", "text")
+    assert len(suffix_dedup.hot_anchors(own, 1, 20)) > 0 and len(suffix_dedup.hot_anchors(own, 1, 10**6)) == 0
+    out = suffix_dedup.removals(df, sampled=1, hot=20)
+    got = sorted(((r["row"]["doc_id"], r["n_bytes"], sum(x["stop"] - x["start"] for x in r["removed"]), len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out.collect()), key=str)
+    assert got == removed(rows)
+
+
+def test_nothing_is_removed_but_by_suffix_arrays(spark, monkeypatch):
+    """Equal contexts are told apart from others by bytes, and covered by what the suffix arrays say."""
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(5)] * 3
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.full(15, 100)
+    stop = np.cumsum(size)
+    doc, mid, gram, context, left, right = suffix_dedup.anchors(data, stop - size, stop)
+    row, before, runs = suffix_dedup.covered(data, mid, left, right, doc, gram)
+    whole = runs == left[row] + right[row] - suffix_dedup.SIDE + 1
+    assert set(doc[row[whole]]) == set(range(5, 15))
+    # Every hash the same: bytes decide alone.
+    monkeypatch.setattr(suffix_dedup, "_context_hash", lambda hashes, mid, left, right: np.zeros(len(mid), np.uint64))
+    same = suffix_dedup.covered(data, mid, left, right, doc, np.zeros(len(mid), np.uint64))
+    key = lambda x: sorted(zip(*map(list, x), strict=True))
+    assert {r for r, *_ in key(same)} >= {r for r, *_ in key((row, before, runs))}
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_dedup, "least_documents", lambda data, start, stop, who, group: [np.empty(0, np.int64)] * 3)
+    assert len(suffix_dedup.covered(data, mid, left, right, doc, gram)[0]) == 0
+
+
 def test_contexts_are_split_without_loss():
     """The comparing step with groups of any size, against brute force over windows."""
     rng = random.Random(5)
-    side, n = suffix_dedup.SPAN - suffix_dedup.GRAM, 60
+    side, n = suffix_dedup.SIDE, 60
     anchor = bytes(rng.choice(b"abc") for _ in range(suffix_dedup.GRAM))
-    texts = []
-    for _ in range(n):
-        left, right = bytes(rng.choice(b"ab") if rng.random() < 0.1 else 97 for _ in range(rng.choice([side, side, 10]))), bytes(rng.choice(b"ab") if rng.random() < 0.1 else 97 for _ in range(rng.choice([side, 20])))
-        texts.append((left, right))
+    pick = lambda: bytes(rng.choice(b"ab") if rng.random() < 0.1 else 97 for _ in range(rng.choice([side, side, 20])))
+    texts = [(pick(), pick()) for _ in range(n)]
     who = np.array([rng.randrange(20) for _ in range(n)])
     data = np.frombuffer(b"".join(a + anchor + b for a, b in texts), np.uint8)
     left, right = np.array([len(a) for a, _ in texts]), np.array([len(b) for _, b in texts])
-    size = left + suffix_dedup.GRAM + right
-    start = np.cumsum(size) - size
-    whole = [a + anchor + b for a, b in texts]
+    mid = np.cumsum(left + suffix_dedup.GRAM + right) - suffix_dedup.GRAM - right
+    window = lambda i, j: bytes(data[mid[i] - j : mid[i] - j + 50]) if side - right[i] <= j <= left[i] else None
     least = {}
-    for w, t in zip(who, whole, strict=True):
-        for i in range(len(t) - 49):
-            if i <= t.find(anchor) <= i + 26:
-                least[t[i : i + 50]] = min(least.get(t[i : i + 50], 99), w)
-    expected = [set() for _ in texts]
-    for i, t in enumerate(whole):
-        for j in range(len(t) - 49):
-            if least.get(t[j : j + 50], 99) < who[i]:
-                expected[i].update(range(j, j + 50))
+    for i in range(n):
+        for j in range(side + 1):
+            if w := window(i, j):
+                least[j, w] = min(least.get((j, w), 99), who[i])
+    expected = {(i, j) for i in range(n) for j in range(side + 1) if (w := window(i, j)) and least[j, w] < who[i]}
     for many in (1, 2, 5, 1000):
-        done, rest = suffix_dedup._split(data, start + left, left, right, who, np.zeros(n, np.uint64), many)
-        got = [set() for _ in texts]
-        for row, a, b in zip(*done, strict=True):
-            got[row].update(range(left[row] - a, left[row] + suffix_dedup.GRAM + b))
-        if len(rest[0]):
-            rows, a, b, group = rest
-            begin = start[rows] + left[rows] - a
-            c, p = suffix_dedup.covered_contexts(data, begin, begin + a + suffix_dedup.GRAM + b, who[rows], group)
-            for k, q in zip(c, p, strict=True):
-                at = begin[k] - start[rows[k]] + q
-                got[rows[k]].update(range(at, at + 50))
-        # The brute force looks at windows that hold the anchor at its first place; a context may hold it again.
-        full = [{j for j in range(len(t)) if any(t[i : i + 50] in {x[k : k + 50] for x, w in zip(whole, who, strict=True) if w < who[n_] for k in range(len(x) - 49)} for i in range(max(0, j - 49), min(j, len(t) - 50) + 1))} for n_, t in enumerate(whole)]
-        for e, g, f in zip(expected, got, full, strict=True):
-            assert e <= g <= f
+        got = {(int(r), int(b - k)) for r, b, m in zip(*suffix_dedup.covered(data, mid, left, right, who, np.zeros(n, np.uint64), many), strict=True) for k in range(m)}
+        # A string that holds the anchor twice may stand at two places of it: an array of several contexts finds it at both.
+        anywhere = {(i, j) for i in range(n) for j in range(side + 1) if (w := window(i, j)) and min((v for (_, x), v in least.items() if x == w)) < who[i]}
+        assert expected <= got <= anywhere
 
 
 @pytest.mark.parametrize("letters", [2, 3, 5])

@@ -2,21 +2,26 @@
 a smaller doc_id. Texts are UTF-8 bytes, matches never cross documents, and strings are judged on the input.
 
 1. Anchors. Of the GRAM-byte strings in each SPAN-byte window the one with the least hash (the leftmost, if equal) is the
-   window's anchor. Equal windows have equal anchors at equal offsets. So it is enough to compare anchors of equal strings, with
-   the SPAN - GRAM bytes on both sides, their context. A document has about one anchor in 14 bytes. They are dealt out by
-   hash, packed: each row of the exchange holds all anchors of one bucket from one batch of documents. Within a batch only
-   the smallest document sends a context that several share; the others are known to be covered. Rows have a number besides
-   their doc_id (the same where ids are unique), which tells rows with one id apart; what is sent is its difference, by bits.
-2. In a bucket, contexts that a smaller document has too are covered whole. What stays is the first document of each context
-   whose anchor string also stands in other contexts.
-3. Those contexts' bytes are read from the documents, and dealt out by anchor.
-4. The contexts of an anchor are one text, whose suffix array is built by linear grouping (grouping_sort.py). Neighbours in
-   it that share SPAN bytes are one string; places whose document isn't the string's smallest are covered.
+   window's anchor. Equal windows have equal anchors at equal offsets. So windows are compared anchor by anchor: an anchor's
+   context is the text of all windows that it is the anchor of. A document has about one anchor in 14 bytes.
+2. Within a batch of documents, contexts that several documents hold are compared (see 4). Those whose every window stands in
+   a smaller document of the batch go no further, which is the aggregation before the shuffle. The others' hashes are dealt
+   out by anchor, packed: each row of the exchange holds all anchors of one bucket from one batch.
+3. In a bucket, anchors that only one document has are dropped. The contexts of the others are read from the documents, and
+   dealt out by anchor again, now with their bytes.
+4. An anchor's contexts are sorted by suffix arrays, built by linear grouping (grouping_sort.py). Contexts of equal bytes are
+   one text of the array, which stands for all documents that hold it. The suffixes that share SPAN bytes are one string; its
+   least document keeps it, and in every other document that holds it its place is covered.
 5. Covered stretches go back to the documents.
 
-All exchanges are by hash of anchors or documents, with bucket counts that grow with the input, so that a task's share
-stays the same. Anchors with more than MANY contexts are split further by the bytes beside them (see _split), which keeps
-each suffix array short without leaving anything out.
+Hashes only bring together what may be equal; what is equal is told by bytes. All exchanges are by hash of anchors or
+documents, with bucket counts that grow with the input, so that a task's share stays the same. Anchors in very many contexts
+(a passage that a third of all documents quote has some at its ends) are found in a sample of the documents; their windows are
+dealt out one by one, by the hash of all their bytes, so that no bucket holds them all. Other anchors with more than MANY
+contexts are split inside their bucket (_split), which keeps each suffix array short. Neither leaves anything out.
+
+Rows have a number besides their doc_id (the same where ids are unique), which tells rows with one id apart; what is sent is
+its difference, by bits.
 
 Defined results: a null text is empty; a null doc_id comes after all others, and rows without one are not compared with each
 other; rows that share a doc_id are not compared with each other either, each being judged against smaller ids; texts of under
@@ -26,6 +31,7 @@ SPAN bytes lose nothing; an empty table gives an empty result. Other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +53,11 @@ DOCS_BYTES = 8 << 20
 #: Tasks that compare contexts, at most: the blobs are small for the work that is in them, so their number is set here.
 MOST_TASKS = 20_000
 #: Bytes of contexts whose suffix arrays are built together.
-COMPARE_BYTES = 1 << 20
+COMPARE_BYTES = 1 << 18
+#: One document in SAMPLED is looked through for anchors that are in about HOT contexts or more; at most MOST_HOT of them, the
+#: most frequent, are dealt out by windows.
+SAMPLED, HOT, MOST_HOT = 64, 16_384, 100_000
+SIDE = SPAN - GRAM
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(99)
@@ -65,13 +75,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2^bits powers of the base, and of its inverse."""
+    return tuple(np.r_[np.uint64(1), np.cumprod(np.full((1 << bits) - 1, x, np.uint64))] for x in (_BASE, _BACK))
+
+
 class Hashes:
     """Hashes of any substrings of a buffer, from running sums."""
 
     def __init__(self, data: np.ndarray):
-        up = np.cumprod(np.full(len(data), _BASE, np.uint64)) if len(data) else np.empty(0, np.uint64)
-        self.sums = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * up)]
-        self.down = np.r_[np.uint64(1), np.cumprod(np.full(len(data), _BACK, np.uint64))]
+        up, self.down = _powers(max(16, len(data).bit_length()))
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(_BYTE.take(data) * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.down[start]
@@ -94,11 +111,12 @@ def _gathered(blobs: pa.ChunkedArray, columns: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) for i in range(columns)]
 
 
-def anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-    """Of documents data[start:stop]: document number, place in the document, hash of the anchor, hash of its context, bytes
-    of the context before and behind the anchor."""
+def anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray, hot: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of documents data[start:stop]: document number, place in data, hash of the anchor, hash of its context, bytes of the
+    context before and behind the anchor. An anchor in `hot` gives each of its windows as a context, with the hash of the
+    window's bytes in place of its own."""
     none = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)] * 2
-    n, w = len(data), SPAN - GRAM + 1
+    n, w = len(data), SIDE + 1
     if n < SPAN:
         return none
     hashes = Hashes(data)
@@ -111,12 +129,24 @@ def anchors(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.nd
     if not len(windows):
         return none
     at = (least[windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = at[np.r_[True, at[1:] != at[:-1]]]
+    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    at, left = at[head], at[head] - windows[head]
+    right = windows[np.r_[head[1:], len(windows)] - 1] + SIDE - at
+    gram = gram[at]
+    if hot is not None and len(hot):
+        split = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+        times = np.where(split, left + right - SIDE + 1, 1)
+        first, row = SIDE - right, np.repeat(np.arange(len(at)), times)
+        before = _ranges(np.where(split, first, left), times)
+        at, split = at[row], split[row]
+        left, right = before, np.where(split, SIDE - before, right[row])
+        gram = np.where(split, _mix(hashes(at - left, at + GRAM + right) + np.uint64(3)), gram[row])
     doc = np.searchsorted(stop, at, side="right")
-    side = SPAN - GRAM
-    left, right = np.minimum(side, at - start[doc]), np.minimum(side, stop[doc] - at - GRAM)
-    context = _mix(hashes(at - left, at + GRAM + right) + (left * 64 + right + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return [doc, at - start[doc], gram[at], context, left, right]
+    return [doc, at, gram, _context_hash(hashes, at, left, right), left, right]
+
+
+def _context_hash(hashes: Hashes, mid: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return _mix(hashes(mid - left, mid + GRAM + right) + (left * 64 + right + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray], order: tuple) -> Iterator[tuple[int, bytes]]:
@@ -139,71 +169,90 @@ _BLOBS = "kind int, bucket long, blob binary"
 ANCHOR, COVERED, WANTED, CONTEXT = range(4)
 
 
-def _send_anchors(buckets: int, doc_buckets: int):
-    def flush(ids, numbers, texts):
-        size = np.array([len(t) for t in texts], np.int64)
-        stop = np.cumsum(size)
-        doc, at, gram, context, left, right = anchors(np.frombuffer(b"".join(texts), np.uint8), stop - size, stop)
-        ids, numbers = np.array(ids, np.int64), np.array(numbers, np.int64)
-        who, number = (ids[doc], numbers[doc]) if len(doc) else (doc, doc)
-        # The batch's smallest document with a context sends it, the others are covered.
-        sort = np.lexsort((at, who, context, gram))
-        who, number, at, gram, context, left, right = (x[sort] for x in (who, number, at, gram, context, left, right))
-        head = np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(gram)]
-        first = who == who[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(who) else np.empty(0, bool)
-        c = ~first
-        out = []
-        if c.any():
-            rows = [number[c], at[c] - left[c], left[c] + GRAM + right[c]]
-            out.append(_blob_batch(COVERED, list(_by_bucket(_doc_bucket(number[c], doc_buckets), rows, (rows[1], rows[0])))))
-        bucket = (gram[first] % np.uint64(buckets)).astype(np.int64)
-        rows = [gram[first] >> np.uint64(24), context[first] >> np.uint64(16), who[first], number[first] ^ who[first], at[first], left[first], right[first]]
-        out.append(_blob_batch(ANCHOR, list(_by_bucket(bucket, rows, (rows[0],)))))
-        return out
+def _covered_batch(number: np.ndarray, at: np.ndarray, size: np.ndarray, doc_buckets: int) -> pa.RecordBatch:
+    """Covered stretches, those that touch joined, by bucket of documents."""
+    sort = np.lexsort((at, number))
+    found = merged(number[sort], at[sort], size[sort])
+    return _blob_batch(COVERED, list(_by_bucket(_doc_bucket(found[0], doc_buckets), found, (found[1], found[0]))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, numbers, texts, size = [], [], [], 0
-        for b in batches:
-            for i, number, text in zip(b.column("ord").to_pylist(), b.column("number").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) < SPAN:
-                    continue
-                ids.append(i)
-                numbers.append(number)
-                texts.append(raw)
+
+def _batches(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
+    """Rows with texts of SPAN bytes or more, about BATCH_BYTES of text at once: the columns `names`, and the texts' bytes."""
+    rows, size = [], 0
+    for b in batches:
+        for *row, text in zip(*[b.column(c).to_pylist() for c in names], b.column("text"), strict=True):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            if len(raw) >= SPAN:
+                rows.append((*row, raw))
                 size += len(raw)
-                if size >= BATCH_BYTES:
-                    yield from flush(ids, numbers, texts)
-                    ids, numbers, texts, size = [], [], [], 0
-        if texts:
-            yield from flush(ids, numbers, texts)
+            if size >= BATCH_BYTES:
+                yield list(zip(*rows, strict=True))
+                rows, size = [], 0
+    if rows:
+        yield list(zip(*rows, strict=True))
+
+
+def _several(*keys: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """For rows sorted by keys and who: whether other documents share the keys."""
+    head = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    run = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(who)]))
+    return (who[head] < who[np.r_[head[1:], len(who)] - 1])[run]
+
+
+def hot_anchors(own: DataFrame, sampled: int = SAMPLED, hot: int = HOT) -> np.ndarray:
+    """Anchors in about `hot` contexts or more, as far as one document in `sampled` tells, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in _batches(batches, ()):
+            size = np.array([len(t) for t in texts], np.int64)
+            stop = np.cumsum(size)
+            _, _, gram, context, _, _ = anchors(np.frombuffer(b"".join(texts), np.uint8), stop - size, stop)
+            sort = np.lexsort((context, gram))
+            gram, context = gram[sort], context[sort]
+            found, n = np.unique(gram[np.r_[True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])][: len(gram)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["gram", "n"])
+
+    part = own.where(F.pmod(F.xxhash64("number"), F.lit(sampled)) == 0).select("text")
+    counts = part.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, hot // sampled))
+    return np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(MOST_HOT).collect()], np.int64).view(np.uint64))
+
+
+def _send_anchors(buckets: int, doc_buckets: int, hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, numbers, texts in _batches(batches, ("ord", "number")):
+            size = np.array([len(t) for t in texts], np.int64)
+            stop, data = np.cumsum(size), np.frombuffer(b"".join(texts), np.uint8)
+            doc, mid, gram, context, left, right = anchors(data, stop - size, stop, hot.value)
+            who, number = np.array(ids, np.int64)[doc], np.array(numbers, np.int64)[doc]
+            at = mid - (stop - size)[doc]
+            sort = np.lexsort((at, who, context, gram))
+            who, number, mid, at, gram, context, left, right = (x[sort] for x in (who, number, mid, at, gram, context, left, right))
+            shared = np.flatnonzero(_several(gram, context, who=who))
+            left_out = np.zeros(len(who), bool)
+            if len(shared):
+                row, before, runs = covered(data, mid[shared], left[shared], right[shared], who[shared], gram[shared])
+                row = shared[row]
+                yield _covered_batch(number[row], at[row] - before, runs + SPAN - 1, doc_buckets)
+                left_out[row[runs == left[row] + right[row] - SIDE + 1]] = True
+            rows = [x[~left_out] for x in (gram >> np.uint64(24), who, number ^ who, at, left, right)]
+            yield _blob_batch(ANCHOR, list(_by_bucket((gram[~left_out] % np.uint64(buckets)).astype(np.int64), rows, (rows[0],))))
 
     return run
 
 
 def _match_contexts(doc_buckets: int):
-    """Of one bucket's anchors: what is covered, and which contexts have to be compared byte by byte."""
+    """Of one bucket's anchors: those that several documents have, by bucket of documents."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == COVERED:  # known already
             return table
-        gram, context, who, differ, at, left, right = _gathered(table.column("blob"), 7)
-        sort = np.lexsort((at, who, context, gram))
-        gram, context, who, differ, at, left, right = (x[sort] for x in (gram, context, who, differ, at, left, right))
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, context[1:] != context[:-1]]
-        run_of, gram_of = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
-        least = who[np.flatnonzero(new)][run_of]
-        covered = who > least
-        several = np.bincount(gram_of[new])[gram_of] > 1  # contexts of the anchor
-        least_gram = np.minimum.reduceat(who, np.flatnonzero(new_gram))[gram_of]
-        wanted = several & ~covered & (np.maximum.reduceat(who, np.flatnonzero(new_gram))[gram_of] > least_gram)
-        number, bucket = who ^ differ, np.full(len(who), table.column("bucket")[0].as_py(), np.uint64)
-        out = []
-        for kind, pick, rows in ((COVERED, covered, [number, at - left, left + GRAM + right]), (WANTED, wanted, [number, differ, at, left, right, gram, bucket])):
-            rows = [r[pick] for r in rows]
-            out.append(_blob_batch(kind, list(_by_bucket(_doc_bucket(number[pick], doc_buckets), rows, (rows[1], rows[0])))))
-        return pa.Table.from_batches(out)
+        gram, who, differ, at, left, right = _gathered(table.column("blob"), 6)
+        sort = np.lexsort((who, gram))
+        gram, who, differ, at, left, right = (x[sort] for x in (gram, who, differ, at, left, right))
+        pick = _several(gram, who=who)
+        number, bucket = (who ^ differ)[pick], np.full(int(pick.sum()), table.column("bucket")[0].as_py(), np.uint64)
+        rows = [number, *[x[pick] for x in (differ, at, left, right, gram)], bucket]
+        return pa.Table.from_batches([_blob_batch(WANTED, list(_by_bucket(_doc_bucket(number, doc_buckets), rows, (rows[2], rows[0]))))])
 
     return run
 
@@ -243,50 +292,62 @@ def _joined(docs: pa.Table):
     return np.frombuffer(b"".join(texts), np.uint8), place
 
 
-def _split(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, key: np.ndarray, many: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Splits groups (by key) of over `many` different contexts until none is larger. Returns what is covered on the way, and
-    what is left to compare: context, bytes before and behind the anchor that count; and the group, for the latter.
-
-    A window has some number j of bytes before the anchor, from 0 to SPAN - GRAM, and the rest behind it. Windows with j up to
-    m share the least rest behind, those with more share m + 1 bytes before: a context goes into one group by the one and into
-    another by the other, and in each only the bytes that such windows can reach count. Halving the range of j again and again
-    ends where a window is wholly given. Contexts that are equal in what counts are one: the smallest document stays, the others
-    are covered."""
-    hashes, side = Hashes(data), SPAN - GRAM
-    rows = np.arange(len(mid))
-    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), side)
-    covered, compare, number = [], [], 0
+def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes data[a:a+size] and data[b:b+size] are equal, for each."""
+    if not len(a):
+        return np.zeros(0, bool)
+    differ = data[_ranges(a, size)] != data[_ranges(b, size)]
+    return ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+
+
+def _heads(data: np.ndarray, hashes: Hashes, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each context the one that stands for it: that of the least document among those of its group with equal bytes."""
+    h = _context_hash(hashes, mid, left, right)
+    sort = np.lexsort((who, h, group))
+    new = np.r_[True, (group[sort][1:] != group[sort][:-1]) | (h[sort][1:] != h[sort][:-1])][: len(mid)]
+    head = np.empty(len(mid), np.int64)
+    head[sort] = sort[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(mid) else sort
+    other = np.flatnonzero((head != np.arange(len(head))) & (left == left[head]) & (right == right[head]))
+    same = np.arange(len(head)) == head
+    same[other] = _alike(data, mid[other] - left[other], mid[head[other]] - left[other], left[other] + GRAM + right[other])
+    return np.where(same, head, np.arange(len(head)))  # equal hashes of other bytes: it stands for itself
+
+
+def _split(hashes: Hashes, mid: np.ndarray, left: np.ndarray, right: np.ndarray, key: np.ndarray, many: int) -> list[np.ndarray]:
+    """Splits groups (by key) of over `many` different contexts until none is larger: contexts, bytes before and behind the
+    anchor that count, group.
+
+    A window has some number j of bytes before the anchor, from 0 to SIDE, and the rest behind it. Windows with j up to m share
+    the least rest behind, those with more share m + 1 bytes before: a context goes into one group by the one and into another
+    by the other, and in each only the bytes that such windows can reach count. Halving the range of j again and again ends
+    where a window is wholly given."""
+    rows, number = np.arange(len(mid)), 0
+    low, high = np.zeros(len(rows), np.int64), np.full(len(rows), SIDE)
+    out = []
     while len(rows):
-        l, r = np.minimum(left[rows], high), np.minimum(right[rows], side - low)
-        h = _mix(hashes(mid[rows] - l, mid[rows] + GRAM + r) + (l * 64 + r + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        sort = np.lexsort((who[rows], h, key))
+        l, r = np.minimum(left[rows], high), np.minimum(right[rows], SIDE - low)
+        h = _context_hash(hashes, mid[rows], l, r)
+        sort = np.lexsort((h, key))
         rows, low, high, l, r, h, key = (x[sort] for x in (rows, low, high, l, r, h, key))
         new_key = np.r_[True, key[1:] != key[:-1]]
         new = new_key | np.r_[True, h[1:] != h[:-1]]
-        over = who[rows] > who[rows][np.flatnonzero(new)][np.cumsum(new) - 1]
-        whole = over & (l + GRAM + r >= SPAN)
-        covered.append([rows[whole], l[whole], r[whole]])
         group = np.cumsum(new_key) - 1
-        different = np.bincount(group[new])[group]
-        stay = ~over & (different > 1)
-        done = stay & (different <= many)
-        compare.append([rows[done], l[done], r[done], group[done] + number])
+        done = (np.bincount(group[new])[group] <= many) | (low == high)
+        out.append([rows[done], l[done], r[done], group[done] + number])
         number += int(new_key.sum())
-        on = stay & ~done
-        rows, low, high, group = rows[on], low[on], high[on], group[on].astype(np.uint64)
+        rows, low, high, group = rows[~done], low[~done], high[~done], group[~done].astype(np.uint64)
         m = (low + high) // 2
-        behind, ahead = right[rows] >= side - m, left[rows] >= m + 1
-        k1 = _mix(hashes(mid[rows] - low, mid[rows] + GRAM + np.minimum(right[rows], side - m)) + group * np.uint64(2))
-        k2 = _mix(hashes(mid[rows] - np.minimum(left[rows], m + 1), mid[rows] + GRAM + np.minimum(right[rows], side - high)) + group * np.uint64(2) + np.uint64(1))
+        behind, ahead = right[rows] >= SIDE - m, left[rows] >= m + 1
+        k1 = _mix(hashes(mid[rows] - low, mid[rows] + GRAM + np.minimum(right[rows], SIDE - m)) + group * np.uint64(2))
+        k2 = _mix(hashes(mid[rows] - np.minimum(left[rows], m + 1), mid[rows] + GRAM + np.minimum(right[rows], SIDE - high)) + group * np.uint64(2) + np.uint64(1))
         key = np.r_[k1[behind], k2[ahead]]
         low, high, rows = np.r_[low[behind], m[ahead] + 1], np.r_[m[behind], high[ahead]], np.r_[rows[behind], rows[ahead]]
-    empty = [[np.empty(0, np.int64)] * 4]
-    return [np.concatenate([x[i] for x in covered or empty]) for i in range(3)], [np.concatenate([x[i] for x in compare or empty]) for i in range(4)]
+    return [np.concatenate([x[i] for x in out or [[np.empty(0, np.int64)] * 4]]) for i in range(4)]
 
 
-def covered_contexts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts data[start:stop] of documents `who`, in groups: (contexts, places in them) of all SPAN-byte strings that also
-    stand in a context of the same group with a smaller document. By the groups' suffix arrays."""
+def least_documents(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """Contexts data[start:stop] of documents `who`, in groups: context, place, least document for each SPAN-byte string in
+    them, the document being that of the group's contexts that hold the string. By the groups' suffix arrays."""
     order = np.argsort(group, kind="stable")
     start, stop, who_sorted = start[order], stop[order], who[order]
     head = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
@@ -300,20 +361,59 @@ def covered_contexts(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who:
     context = np.repeat(np.arange(len(order)), size)
     suffixes = suffix_arrays(values, lengths)
     whole = suffixes[(at + size - 1)[context[suffixes]] - suffixes >= SPAN]  # with SPAN bytes to go
-    if not len(whole):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     same = np.zeros(len(whole), bool)
     live = np.flatnonzero(text[whole[1:]] == text[whole[:-1]])
     words = np.zeros(len(values) - 7, np.uint64)  # eight bytes from each place on
     for i in range(8):
-        words |= (values[i : len(values) - 7 + i] & 0xFF).astype(np.uint64) << np.uint64(8 * i)
+        words |= (values[i : len(values) - 7 + i] - 2 & 0xFF).astype(np.uint64) << np.uint64(8 * i)
     for i in (*range(0, SPAN - 8, 8), SPAN - 8):
         live = live[words[whole[live] + i] == words[whole[live + 1] + i]]
     same[live + 1] = True
-    new = np.flatnonzero(~same)
-    least = np.minimum.reduceat(who_sorted[context[whole]], new)[np.cumsum(~same) - 1]
-    hit = whole[who_sorted[context[whole]] > least]
-    return order[context[hit]], hit - at[context[hit]]
+    least = np.minimum.reduceat(who_sorted[context[whole]], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    return [order[context[whole]], whole - at[context[whole]], least]
+
+
+def covered(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, group: np.ndarray, many: int = MANY) -> list[np.ndarray]:
+    """Contexts around anchors at data[mid], of documents `who`, in groups -> context, bytes before the anchor, number of
+    windows: each run of windows from there on that also stand in a context of the group with a smaller document."""
+    hashes = Hashes(data)
+    sort = np.lexsort((who, group))
+    use = np.empty(len(mid), bool)
+    use[sort] = _several(group[sort], who=who[sort]) if len(mid) else use
+    rows = np.flatnonzero(use)
+    head = rows[_heads(data, hashes, mid[rows], left[rows], right[rows], who[rows], group[rows])] if len(rows) else rows
+    texts, text = np.unique(head, return_inverse=True)
+    piece, l, r, part = _split(hashes, mid[texts], left[texts], right[texts], group[texts], many)
+    at = mid[texts][piece]
+    stands = _heads(data, hashes, at, l, r, who[texts][piece], part)
+    kept, kept_of = np.unique(stands, return_inverse=True)
+    kept = kept[np.lexsort((part[kept], np.bincount(part[kept])[part[kept]]))] if len(kept) else kept  # groups of like size together
+    place = np.empty(len(piece), np.int64)
+    place[kept] = np.arange(len(kept))
+    begin, size, own = (at - l)[kept], (l + GRAM + r)[kept], part[kept]
+    least = np.full((len(kept), SIDE + 1), LAST)  # of a piece, by bytes before the anchor
+    edges = np.flatnonzero(np.r_[True, np.diff(own) != 0]) if len(own) else np.empty(0, np.int64)
+    total, a = np.cumsum(size), 0
+    while a < len(kept):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + COMPARE_BYTES, side="right"))
+        b = int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]) if b < len(kept) and edges[-1] >= max(b, a + 1) else len(kept)
+        c, p, n = least_documents(data, begin[a:b], begin[a:b] + size[a:b], who[texts][piece][kept[a:b]], own[a:b])
+        least[a + c, l[kept[a:b]][c] - p] = n
+        a = b
+    of_text = np.full((len(texts), SIDE + 1), LAST)
+    for i in range(0, len(piece), 1 << 16):  # each window of a text is in one of its pieces
+        part_least = least[place[stands[i : i + (1 << 16)]]]
+        x, j = np.nonzero(part_least < LAST)
+        of_text[piece[i : i + (1 << 16)][x], j] = part_least[x, j]
+    out = []
+    for i in range(0, len(rows), 1 << 16):
+        mine = rows[i : i + (1 << 16)]
+        hit = np.zeros((len(mine), SIDE + 3), bool)  # in the order of places: bytes before the anchor go down
+        hit[:, 1:-1] = (who[mine][:, None] > of_text[text[i : i + (1 << 16)]])[:, ::-1]
+        x, first = np.nonzero(hit[:, 1:] & ~hit[:, :-1])
+        _, last = np.nonzero(hit[:, :-1] & ~hit[:, 1:])
+        out.append([mine[x], SIDE - first, last - first])
+    return [np.concatenate([x[i] for x in out or [[np.empty(0, np.int64)] * 3]]) for i in range(3)]
 
 
 def merged(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -339,32 +439,9 @@ def _compare_contexts(doc_buckets: int):
             metas.append([x.astype(np.int64) for x in unpack(raw[8 : 8 + n], 6)])
             texts.append(zstd.ZstdDecompressor().decompress(raw[8 + n :]))
         gram, number, differ, at, left, right = (np.concatenate([m[i] for m in metas]) for i in range(6))
-        who = number ^ differ
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        length = left + GRAM + right
-        stop = np.cumsum(length)
-        start = stop - length
-        done, rest = _split(data, start + left, left, right, who, gram, MANY)
-        found_in, found_at, found_size = [number[done[0]]], [at[done[0]] - done[1]], [done[1] + GRAM + done[2]]
-        rows, l, r, group = rest
-        order = np.lexsort((group, np.bincount(group)[group])) if len(group) else group  # groups of like size together
-        rows, l, r, group = rows[order], l[order], r[order], group[order]
-        begin, size = start[rows] + left[rows] - l, l + GRAM + r
-        edges = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(group) else np.empty(0, np.int64)
-        total, a = np.cumsum(size), 0
-        while a < len(rows):
-            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + COMPARE_BYTES, side="right"))
-            b = int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]) if b < len(rows) and edges[-1] >= max(b, a + 1) else len(rows)
-            c, p = covered_contexts(data, begin[a:b], begin[a:b] + size[a:b], who[rows[a:b]], group[a:b])
-            found_in.append(number[rows[a:b]][c])
-            found_at.append(at[rows[a:b]][c] - l[a:b][c] + p)
-            found_size.append(np.full(len(c), SPAN))
-            a = b
-        w, p, n = (np.concatenate(x) for x in (found_in, found_at, found_size))
-        sort = np.lexsort((p, w))
-        w, p, n = w[sort], p[sort], n[sort]
-        found = merged(w, p, n)
-        return pa.Table.from_batches([_blob_batch(COVERED, list(_by_bucket(_doc_bucket(found[0], doc_buckets), found, (found[1], found[0]))))])
+        stop = np.cumsum(left + GRAM + right)
+        row, before, runs = covered(np.frombuffer(b"".join(texts), np.uint8), stop - GRAM - right, left, right, number ^ differ, gram)
+        return pa.Table.from_batches([_covered_batch(number[row], at[row] - before, runs + SPAN - 1, doc_buckets)])
 
     return run
 
@@ -392,22 +469,26 @@ def _cut(docs: pa.Table, covered: pa.Table, as_text: bool) -> pa.Table:
                 kept[i] = data[at : at + len(t)][~mine].tobytes()
             at += len(t)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    if as_text:
+        left = pa.array([None if null else k.decode("utf-8", "ignore") for k, null in zip(kept, docs.column("text").is_null().to_pylist(), strict=True)], pa.string())
+    else:
+        left = pa.array(kept, pa.binary())
     return pa.table({"row": docs.column("row"), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "removed": pa.array(spans, kind), "kept": left})
 
 
-def removals(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def removals(docs: DataFrame, as_text: bool = False, sampled: int = SAMPLED, hot: int = HOT) -> DataFrame:
     """row (docs' columns but text), n_bytes, removed (stretches, start and stop in bytes), kept: the other bytes, or as_text their
-    text, without bytes that are left of a character that lost others."""
+    text, without bytes that are left of a character that lost others (null where the text is)."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     ids = docs.where("doc_id is not null").groupBy("doc_id").count()
     repeated = not ids.where("count > 1").isEmpty() or docs.where("doc_id is null").limit(2).count() > 1
-    own = docs.select(F.struct(*others).alias("row"), F.coalesce("doc_id", F.lit(int(LAST))).alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    own = docs.select(F.struct(*others).alias("row"), F.coalesce("doc_id", F.lit(int(LAST))).alias("ord"), "text")
     # The number of a row, by which it is found again: the id where that tells rows apart, else a new one, written down.
     own = durable(own.withColumn("number", F.monotonically_increasing_id()), "rows") if repeated else own.withColumn("number", F.col("ord"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets, doc_buckets = max(12, total // BUCKET_BYTES), max(12, total // DOCS_BYTES)
-    sent = own.select("ord", "number", "text").mapInArrow(_send_anchors(buckets, doc_buckets), _BLOBS)
+    split = docs.sparkSession.sparkContext.broadcast(hot_anchors(own, sampled, hot))
+    sent = own.select("ord", "number", "text").mapInArrow(_send_anchors(buckets, doc_buckets, split), _BLOBS)
     matched = durable(sent.groupBy("kind", "bucket").applyInArrow(_match_contexts(doc_buckets), _BLOBS), "matched")
     by_doc = _with_bucket(own, doc_buckets)
     wanted = matched.where(F.col("kind") == WANTED)
@@ -435,12 +516,11 @@ def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with the kept part of their texts (n_chars, if there is one, anew). Bytes that are left of a character
     that lost others are dropped. A null text stays null."""
-    out = removals(docs.withColumn("_null", F.col("text").isNull()), as_text=True)
-    text = F.when(~F.col("row._null"), F.col("kept"))
-    found = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": text}
+    out = removals(docs, as_text=True)
+    found = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in found:
         kind = dict(docs.dtypes)["n_chars"]
-        found["n_chars"] = F.when(F.size("removed") > 0, F.length(text).cast(kind)).otherwise(found["n_chars"])
+        found["n_chars"] = F.when(F.size("removed") > 0, F.length("kept").cast(kind)).otherwise(found["n_chars"])
     return out.select(*[found[c].alias(c) for c in docs.columns])
 
 
