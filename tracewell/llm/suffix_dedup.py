@@ -54,6 +54,8 @@ DOCS_BYTES = 8 << 20
 MOST_TASKS = 20_000
 #: Bytes of contexts whose suffix arrays are built together.
 COMPARE_BYTES = 1 << 18
+#: Bytes of contexts that are looked at together.
+CHUNK_BYTES = 2 << 20
 #: One document in SAMPLED is looked through for anchors that are in about HOT contexts or more; at most MOST_HOT of them, the
 #: most frequent, are dealt out by windows.
 SAMPLED, HOT, MOST_HOT = 64, 16_384, 100_000
@@ -439,9 +441,17 @@ def _compare_contexts(doc_buckets: int):
             metas.append([x.astype(np.int64) for x in unpack(raw[8 : 8 + n], 6)])
             texts.append(zstd.ZstdDecompressor().decompress(raw[8 + n :]))
         gram, number, differ, at, left, right = (np.concatenate([m[i] for m in metas]) for i in range(6))
-        stop = np.cumsum(left + GRAM + right)
-        row, before, runs = covered(np.frombuffer(b"".join(texts), np.uint8), stop - GRAM - right, left, right, number ^ differ, gram)
-        return pa.Table.from_batches([_covered_batch(number[row], at[row] - before, runs + SPAN - 1, doc_buckets)])
+        data, size = np.frombuffer(b"".join(texts), np.uint8), left + GRAM + right
+        start, order, found = np.cumsum(size) - size, np.argsort(gram, kind="stable"), []
+        edges, total, a = np.flatnonzero(np.r_[True, np.diff(gram[order]) != 0, True]), np.cumsum(size[order]), 0
+        while a < len(order):  # some anchors at a time
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK_BYTES, side="right"))
+            rows = order[a : (b := int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]))]
+            stop = np.cumsum(size[rows])
+            row, before, runs = covered(data[_ranges(start[rows], size[rows])], stop - GRAM - right[rows], left[rows], right[rows], (number ^ differ)[rows], gram[rows])
+            found.append([number[rows][row], at[rows][row] - before, runs + SPAN - 1])
+            a = b
+        return pa.Table.from_batches([_covered_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), doc_buckets)])
 
     return run
 
