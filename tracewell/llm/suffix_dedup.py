@@ -47,9 +47,9 @@ SPAN = 50
 GRAM = 24
 MANY = 16
 #: Text bytes that are looked through at once, anchors in a bucket, text bytes in a bucket of documents: about so many.
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
-DOCS_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
+DOCS_BYTES = 6 << 20
 #: Tasks that compare contexts, at most: the blobs are small for the work that is in them, so their number is set here.
 MOST_TASKS = 20_000
 #: Bytes of contexts whose suffix arrays are built together.
@@ -77,17 +77,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """2^bits powers of the base, and of its inverse."""
-    return tuple(np.r_[np.uint64(1), np.cumprod(np.full((1 << bits) - 1, x, np.uint64))] for x in (_BASE, _BACK))
+@lru_cache(1)
+def _powers(blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base, and of its inverse: `blocks` times 2^18."""
+    return tuple(np.r_[np.uint64(1), np.cumprod(np.full((blocks << 18) - 1, x, np.uint64))] for x in (_BASE, _BACK))
 
 
 class Hashes:
     """Hashes of any substrings of a buffer, from running sums."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(max(16, len(data).bit_length()))
+        up, self.down = _powers((len(data) >> 18) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
         np.cumsum(_BYTE.take(data) * up[: len(data)], out=self.sums[1:])
