@@ -55,13 +55,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """At most `most` rows, those with the least hash of `key`: for fitting classifiers on labelled rows only.
-    A first pass counts, so that only a hash range and not the whole table is sorted."""
-    n = df.count()
-    h = F.xxhash64(F.col(key), F.lit(17))
-    if n > 2 * most:  # keep about 1.2 x most by range first
-        df = df.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.2 * most / n))))
-    return df.orderBy(h, F.col(key)).limit(most)
+    """At most `most` rows, those with the least hash of `key`: for fitting classifiers on labelled rows only. Only hashes are
+    sorted, and only those of a range that holds enough of them; the rows themselves pass through no one task."""
+    n, h = df.count(), F.xxhash64(F.col(key), F.lit(17))
+    if n <= most:
+        return df
+    hashes, share = df.select(h.alias("h")), min(1.0, 1.2 * most / n)
+    found = hashes.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * share))) if share < 0.6 else hashes
+    least = [r["h"] for r in found.orderBy("h").limit(most).collect()]
+    if len(least) < most:  # few keys, of many rows each: the range held too few
+        least = [r["h"] for r in hashes.orderBy("h").limit(most).collect()]
+    border = least[-1]
+    return df.where(h < border).unionByName(df.where(h == border).limit(least.count(border)))
 
 
 def map_texts(docs: DataFrame, column: str, ddl: str, make) -> DataFrame:

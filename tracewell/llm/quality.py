@@ -1,49 +1,69 @@
 """Quality: a compression classifier.
 
-Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is compressed in pieces of
+Two zstandard dictionaries are trained, one on good and one on bad labelled texts. A text is compressed in pieces of
 PIECE bytes with either, and the difference of the two sizes, over the text's length, tells which kind it is nearer to:
 pieces keep the dictionaries in play over the whole of a long text. A logistic curve fitted on labelled rows turns the
 difference into a calibrated score. Scoring is one pass over whole texts without a shuffle.
 
+Fitting uses a sample of at most MAX_TRAIN labelled rows, half of them of each label. One half of the sample gives pieces from
+anywhere in its whole texts, at most MAX_PIECES of each label, those of the least hash; a dictionary is DICTIONARY bytes, or a
+tenth of its pieces' bytes if that is less (LEAST at least). The other half's whole texts are compressed in Spark tasks, and the curve is fitted
+on their differences: the quantity that scoring works out too.
+
 Defined results: a null or empty text has difference 0 and gets the curve's value there; repeated rows get equal scores; a
 null doc_id is not held out and not learned from; null labels are not learned; with labels of one class only the score is
-that class's for all (0.5 with no labels); an empty table gives an empty result.
+that class's for all (0.5 with no labels), and the share of label 1 where a class has too little text to train on; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_sample, held_out, learnable, read_table
+from tracewell.llm.common import bounded_sample, durable, held_out, learnable, map_texts, read_table
 
 PIECE = 1024
 DICTIONARY = 64 * 1024
 LEVEL = 3
-#: Labelled documents that dictionaries and curve are fitted on, at most, and bytes of each document for a dictionary.
+#: The smallest dictionary that is trained, in bytes.
+LEAST = 256
+#: Labelled documents that dictionaries and curve are fitted on, at most, and pieces of text for a dictionary, at most.
 MAX_TRAIN = 4_000
-SAMPLE_BYTES = 8 * 1024
+MAX_PIECES = 8_192
+
+
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def pieces(raw: bytes, piece: int = PIECE) -> list[bytes]:
     return [raw[i : i + piece] for i in range(0, len(raw), piece)]
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A dictionary of pieces of the texts. With too little text to train on, the text itself is the dictionary."""
-    samples = [p for t in texts for p in pieces(t[:SAMPLE_BYTES])]
+def drawn_pieces(rows: DataFrame, most: int = MAX_PIECES) -> list[bytes]:
+    """Of the pieces of rows' whole texts those of the least hash, at most `most`, in order of hash."""
+
+    def run(batches):
+        for b in batches:
+            found = [p for t in b.column("text") for p in pieces(as_bytes(t.as_py()))]
+            hashes = [xxhash.xxh3_64_intdigest(p) >> 1 for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], names=["h", "piece"])
+
+    found = rows.select("text").mapInArrow(run, "h long, piece binary").orderBy("h", "piece").limit(most)
+    return [bytes(r["piece"]) for r in found.collect()]
+
+
+def dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes | None:
+    """A dictionary trained on the samples; None if there is too little text for one."""
     try:
-        if sum(map(len, samples)) > 20 * size:
-            return zstd.train_dictionary(size, samples).as_bytes()
-    except zstd.ZstdError:
-        pass
-    step = max(1, sum(map(len, samples)) // size + 1)
-    return b"".join(samples[::step])[:size]
+        return zstd.train_dictionary(max(LEAST, min(size, sum(map(len, samples)) // 10)), samples).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        return None
 
 
 class Difference:
@@ -53,13 +73,23 @@ class Difference:
         self.by = [zstd.ZstdCompressor(level=LEVEL, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (good, bad)]
 
     def __call__(self, text: str | None) -> float:
-        raw = (text or "").encode("utf-8", "replace")
+        raw = as_bytes(text)
         if not raw:
             return 0.0
         good, bad = (sum(len(c.compress(p)) for p in pieces(raw)) for c in self.by)
         return (bad - good) / len(raw)
 
 
+def differences(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
+    """rows' columns as a struct `row`, and each whole text's difference."""
+
+    def make():
+        diff = Difference(good, bad)
+        return lambda texts: [[diff(t) for t in texts]]
+
+    return map_texts(rows, "text", "difference double", make)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float, float]:
     """(scale, slope, intercept) of a curve fitted by Newton's method, with a weak prior on the slope."""
     scale = float(x.std()) or 1.0
@@ -73,39 +103,37 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> dict:
-    """labelled(doc_id, text, label 0/1) -> the two dictionaries and the curve. Even rows (by order of hash) make the
-    dictionaries, odd ones the curve, so that the curve is fitted on texts that no dictionary has seen."""
-    rows = labelled.where("label is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    bad = bounded_sample(rows.where("label = 0"), "doc_id", max_train // 2)
-    good = bounded_sample(rows.where("label <> 0"), "doc_id", max_train // 2)
-    n = {bool(r["y"]): r["n"] for r in rows.groupBy((F.col("label") != 0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    """labelled(doc_id, text, label 0/1) -> the two dictionaries and the curve. The dictionaries and the curve learn from
+    different rows, told apart by a hash of the id, so that the curve is fitted on texts that no dictionary has seen."""
+    rows = labelled.where("label is not null").select("doc_id", "text", (F.col("label") != 0).cast("int").alias("label"))
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return {"constant": 0.5 if not n else float(True in n)}
-    texts = {kind: [r["text"] for r in part.select(F.substring("text", 1, 4 * SAMPLE_BYTES).alias("text")).collect()] for kind, part in ((True, good), (False, bad))}
-    made = {kind: dictionary([t.encode("utf-8", "replace") for t in texts[kind][::2]]) for kind in texts}
-    diff = Difference(made[True], made[False])
-    x, y = [], []
-    for kind in texts:
-        rest = texts[kind][1::2] or texts[kind]
-        x += [diff(t) for t in rest]
-        y += [float(kind)] * len(rest)
+        return {"constant": 0.5 if not n else float(1 in n)}
+    constant = {"constant": n[1] / (n[0] + n[1])}
+    sample = bounded_sample(rows.where("label = 0"), "doc_id", max_train // 2).unionByName(bounded_sample(rows.where("label = 1"), "doc_id", max_train // 2))
+    for_curve = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 1
+    sample = durable(sample.withColumn("for_curve", for_curve), "quality-train")
+    bad, good = (dictionary(drawn_pieces(sample.where(~F.col("for_curve") & (F.col("label") == y)))) for y in (0, 1))
+    if not bad or not good:
+        return constant
+    points = differences(sample.where("for_curve").select("text", "label"), good, bad).select("row.label", "difference").collect()
+    x, y = np.array([p["difference"] for p in points]), np.array([float(p["label"]) for p in points])
+    if len(set(y)) < 2:
+        return constant
     # Both classes were sampled alike: the intercept is moved to the classes' true shares.
-    scale, slope, intercept = logistic(np.array(x), np.array(y))
-    drawn = sum(y) / max(1, len(y) - sum(y))
-    return {"good": made[True], "bad": made[False], "scale": scale, "slope": slope, "intercept": intercept + float(np.log(n[True] / n[False] / drawn))}
+    scale, slope, intercept = logistic(x, y)
+    drawn = y.sum() / (len(y) - y.sum())
+    return {"good": good, "bad": bad, "scale": scale, "slope": slope, "intercept": intercept + float(np.log(n[1] / n[0] / drawn))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text) -> doc_id, score, difference, from the whole text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        diff = Difference(model["good"], model["bad"]) if "good" in model else None
-        for pdf in batches:
-            x = np.array([diff(t) if diff else 0.0 for t in pdf["text"]], float)
-            p = 1 / (1 + np.exp(-np.clip(model["slope"] * x / model["scale"] + model["intercept"], -30, 30))) if diff else np.full(len(x), model["constant"])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "difference": x})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, difference double")
+    rows = docs.select("doc_id", "text")
+    if "good" not in model:
+        return rows.select("doc_id", F.lit(float(model["constant"])).alias("score"), F.lit(0.0).alias("difference"))
+    out = differences(rows, model["good"], model["bad"]).select("row.doc_id", "difference")
+    z = F.col("difference") / model["scale"] * model["slope"] + model["intercept"]
+    return out.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"), "difference")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
