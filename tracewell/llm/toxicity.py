@@ -1,14 +1,18 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its words (runs of letters, lower-cased), hashed into 2^18 bins; each pair of bins has a learned
+A document is the set of its words (runs of letters, lower-cased), hashed into BINS bins; each pair of bins has a learned
 interaction, the product of two short vectors, so that an insult together with a mention of a group counts beyond the sum
-of both. Bins that tell nothing of the label in the training rows are left out, as each costs a vector. The machine is
-Spark ML's, trained over a bounded sample of labelled rows; scoring is one pass without a shuffle.
+of both. The machine is Spark ML's, trained over a bounded sample of labelled rows; scoring is one pass without a shuffle.
+
+A bin is a feature if its label counts are far from chance, among all training rows (an insult), or among those that have, or
+lack, a bin that tells of label 1 (a group's name, which tells in company only). If no bin tells anything in this way, all bins
+that LEAST_DOCS rows have are features, so that pairs of words that tell nothing each are learned too. With all bins as
+features always, noise is learned: on sf0.1 27 of 728 clean held-out texts were taken for toxic and 64 of 97 toxic ones found.
 
 Defined results: a null or empty text, or one without letters, has no terms and gets the machine's bias as its score;
 repeated rows get equal scores; a null doc_id is not held out and not learned from; labels that are null are not learned
-from; with no labels, or labels of one class, every score is that class's (0 if there are none); an empty table gives an
-empty result. Labels given twice for a document count twice.
+from; with no labels, or labels of one class, every score is that class's (0 if there are none), and with no feature at all
+the share of label 1; an empty table gives an empty result. Labels given twice for a document count twice.
 """
 
 from __future__ import annotations
@@ -24,45 +28,56 @@ from tracewell.llm.common import bounded_sample, durable, held_out, learnable, r
 BINS = 1 << 18
 #: Labelled documents that the machine is fitted on, at most.
 MAX_TRAIN = 20_000
-#: Bins that are kept as features, at most: those whose label counts are the least likely by chance.
-MAX_FEATURES = 1024
-#: How many standard deviations from chance a bin must be.
-LEAST_Z = 5.0
+#: How many standard deviations from chance a bin must be; rows that must have it where none is.
+LEAST_Z, LEAST_DOCS = 5.0, 5
 WORD = r"\p{L}+"
 
 
 def terms(text: Column) -> Column:
     """The distinct hashed words of a text."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    return F.transform(F.array_distinct(words), lambda w: F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int"))
+    return F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")))
 
 
-def telling_bins(train: DataFrame, most: int = MAX_FEATURES, least_z: float = LEAST_Z) -> list[int]:
-    """Bins of train(terms, label) whose share of label 1 is far from the mean, the farthest first."""
-    n, ones = train.agg(F.count("*"), F.sum("label")).first()
+def _far(rows: DataFrame, least_z: float) -> dict[int, float]:
+    """How far from chance (signed) the label counts of bins of rows(terms, label) are, where that is least_z or more."""
+    n, ones = rows.agg(F.count("*"), F.sum("label")).first()
+    if not n or ones in (0, n):
+        return {}
     p = ones / n
-    bins = train.select("label", F.explode(F.array_distinct("terms")).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
-    z = F.abs(F.col("ones") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1)
-    return sorted(r["bin"] for r in bins.withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "bin").limit(most).collect())
+    bins = rows.select("label", F.explode("terms").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("ones"))
+    z = (F.col("ones") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1)
+    return {r["bin"]: r["z"] for r in bins.select("bin", z.alias("z")).where(F.abs("z") >= least_z).collect()}
+
+
+def telling_bins(train: DataFrame, least_z: float = LEAST_Z, least_docs: int = LEAST_DOCS) -> list[int]:
+    """The bins of train(terms, label) that are features; BINS bounds their number."""
+    alone = _far(train, least_z)
+    if toxic := [b for b, z in alone.items() if z > 0]:
+        has = F.arrays_overlap("terms", F.array(*map(F.lit, toxic)))
+        return sorted({*alone, *_far(train.where(has), least_z), *_far(train.where(~has), least_z)})
+    if alone:
+        return sorted(alone)
+    bins = train.select(F.explode("terms").alias("bin")).groupBy("bin").count()
+    return sorted(r["bin"] for r in bins.where(F.col("count") >= least_docs).collect())
 
 
-def vectorizer(spark: SparkSession, bins: list[int]) -> CountVectorizerModel:
+def vectorizer(bins: list[int]) -> CountVectorizerModel:
     """From array<string> bins to a sparse 0/1 vector over the chosen ones; others count for nothing."""
     model = CountVectorizerModel.from_vocabulary([str(b) for b in bins], inputCol="bins", outputCol="features")
     return model.setBinary(True).setMinTF(1.0)
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, factors: int = 4, least_z: float = LEAST_Z, seed: int = 3):
+def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, factors: int = 4, seed: int = 3):
     """labelled(doc_id, text, label) -> a function from a text column to a column of scores."""
     rows = bounded_sample(labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label")), "doc_id", max_train)
     rows = durable(rows.select(terms(F.col("text")).alias("terms"), "label"), "toxic-train")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    constant = 1.0 if counts and set(counts) == {1.0} else 0.0
-    bins = telling_bins(rows, least_z=least_z) if len(counts) > 1 else []
+    bins = telling_bins(rows) if len(counts) > 1 else []
     if not bins:
-        rate = counts.get(1.0, 0) / sum(counts.values()) if len(counts) > 1 else constant
+        rate = counts.get(1.0, 0) / max(1, sum(counts.values()))
         return lambda df, text="text": df.withColumn("score", F.lit(float(rate)))
-    vectors = vectorizer(labelled.sparkSession, bins)
+    vectors = vectorizer(bins)
     train = vectors.transform(rows.select(F.col("terms").cast("array<string>").alias("bins"), "label").coalesce(2)).select("features", "label").persist()
     model = FMClassifier(factorSize=factors, maxIter=100, stepSize=0.05, regParam=1e-4, initStd=0.05, solver="adamW", seed=seed).fit(train)
     train.unpersist()
