@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import UPPER, bounded_sample, durable, read_table
@@ -89,47 +89,51 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in f.items()}
 
 
-def suffix_stats(train: DataFrame, mean: float, levels: int = 2, most: int = 5_000) -> DataFrame:
-    """How often a URL of each host suffix (the last label, the last two) is to be blocked, smoothed towards the mean.
-    Only the `most` frequent suffixes are kept, which bounds what is broadcast; the others get the mean."""
-    parts = F.split("host", r"\.")
-    keys = F.array(*[F.concat_ws(".", F.slice(parts, -F.least(F.lit(k), F.size(parts)), k)) for k in range(1, levels + 1)])
-    rows = train.select("label", F.explode(F.array_distinct(keys)).alias("suffix"))
-    return (
-        rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-        .orderBy(F.desc("n"), "suffix").limit(most)
-        .select("suffix", ((F.col("blocked") + 10 * mean) / (F.col("n") + 10)).alias("rate"))
-    )
+def _suffix(host: Column, labels: int) -> Column:
+    """The last labels of a host name."""
+    parts = F.split(host, r"\.")
+    return F.concat_ws(".", F.slice(parts, -F.least(F.lit(labels), F.size(parts)), labels))
 
 
-def with_features(urls: DataFrame, stats: dict[str, float], mean: float) -> DataFrame:
-    """urls(id, url, host, path, ...) with the columns of features."""
-    table = F.create_map(*[F.lit(x) for kv in stats.items() for x in kv]) if stats else None
-    parts = F.split("host", r"\.")
+def suffix_stats(train: DataFrame, mean: float) -> DataFrame:
+    """train(host, label, fold) -> suffix, fold, rate, all_rate: how often a URL of each host suffix (the last label, the last two)
+    is to be blocked, smoothed towards the mean, as the rows of other folds tell, and as all rows do."""
+    keys = F.array_distinct(F.array(_suffix(F.col("host"), 1), _suffix(F.col("host"), 2)))
+    rows = train.select("fold", "label", F.explode(keys).alias("suffix"))
+    own = rows.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    every = Window.partitionBy("suffix")
+    n, blocked = F.sum("n").over(every), F.sum("blocked").over(every)
 
-    def rate(k):
-        if table is None:
-            return F.lit(mean)
-        return F.coalesce(F.element_at(table, F.concat_ws(".", F.slice(parts, -F.least(F.lit(k), F.size(parts)), k))), F.lit(mean))
+    def rate(hits: Column, of: Column) -> Column:
+        return (hits + 10 * mean) / (of + 10)
 
-    cols = lexical(F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path"))
-    return urls.withColumns(cols | {"suffix1": rate(1), "suffix2": rate(2)})
+    return own.select("suffix", "fold", rate(blocked - F.col("blocked"), n - F.col("n")).alias("rate"), rate(blocked, n).alias("all_rate"))
 
 
+def with_features(urls: DataFrame, stats: DataFrame, mean: float, *on: str) -> DataFrame:
+    """urls(id, url, host, path, ...) with the columns of features. stats has two suffixes for each training URL at most, which
+    bounds what is broadcast; a suffix that isn't in it has the mean."""
+    for k in (1, 2):
+        table = F.broadcast(stats.select(F.col("suffix").alias("_suffix"), *on, F.col("rate").alias(f"suffix{k}")))
+        urls = urls.withColumn("_suffix", _suffix(F.col("host"), k)).join(table, ["_suffix", *on], "left").drop("_suffix")
+    urls = urls.withColumns({f"suffix{k}": F.coalesce(f"suffix{k}", F.lit(mean)) for k in (1, 2)})
+    return urls.withColumns(lexical(F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")))
+
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, seed: int = 7):
     """labelled(url, label 0/1; 1 is block) -> a function that scores a table with url, host and path.
-    Fitted on at most max_train URLs."""
-    urls = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null")
+    Fitted on at most max_train different URLs. The trees see suffix rates that come from the other half of the rows."""
+    urls = labelled.select("url", F.col("label").cast("double").alias("label")).where("label is not null").distinct()
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    urls = durable(bounded_sample(urls, "url", max_train).coalesce(1), "urls")
+    urls = durable(bounded_sample(urls, "url", max_train).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(41)), F.lit(2)).cast("int")), "urls")
     counts = {r["label"]: r["n"] for r in urls.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         constant = 1.0 if counts.get(1.0) else 0.0
         return lambda df: df.withColumn("score", F.lit(constant))
     mean = counts[1.0] / sum(counts.values())
-    stats = {r["suffix"]: r["rate"] for r in suffix_stats(urls, mean).collect()}
-    train = with_features(urls, stats, mean)
+    folds = durable(suffix_stats(urls, mean), "suffixes")
+    stats = folds.select("suffix", F.col("all_rate").alias("rate")).distinct()
+    train = with_features(urls, folds, mean, "fold").drop("fold")
     names = [c for c in train.columns if c not in ("url", "label", "host", "path")]
     model = Pipeline(stages=[
         VectorAssembler(inputCols=names, outputCol="features"),
