@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out, learnable, read_table
+from tracewell.llm.common import held_out, learnable, map_texts, read_table
 
 PROFILE = 400
 #: Documents that a language's profile is counted over, at most.
@@ -99,12 +99,12 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PRO
         best = int(np.argmin(away))
         return names[best], 1.0 - float(away[best]) / (profile * len(own))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [one(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    def work(texts: list[str | None]) -> list[list]:
+        found = [one(t) for t in texts]
+        return [[x[0] for x in found], [x[1] for x in found]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    out = map_texts(docs.select("doc_id", "text"), "text", "lang_pred string, score double", lambda: work)
+    return out.select("row.doc_id", "lang_pred", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
