@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+
 from tracewell.llm import html_text, language_id, mixing, neighbours, quality, toxicity, url_filter
+from tracewell.llm.common import bounded_sample
 
 ODD = [(1, None), (2, ""), (3, "1234 !!"), (None, "some text here"), (5, "x" * 50_000), (6, "same"), (6, "same")]
 DOCS = "doc_id long, text string"
@@ -37,11 +39,50 @@ def test_toxicity_learns_pairs(spark):
     texts = {"red house": 0, "red door": 1, "blue house": 1, "blue door": 0}
     rows = [(i, f"{t} w{i % 7}", y) for i, (t, y) in enumerate(list(texts.items()) * 60)]
     df = spark.createDataFrame(rows, DOCS + ", label int")
-    model = toxicity.fit(df, least_z=0.0)
+    model = toxicity.fit(df)
     got = {r["text"]: r["score"] for r in model(spark.createDataFrame([(1, t) for t in texts], DOCS)).collect()}
     assert all((got[t] > 0.5) == bool(y) for t, y in texts.items())
 
 
+def test_toxicity_keeps_words_that_tell_in_company(spark):
+    """An insult is toxic together with a group's name only, which is as common in clean texts."""
+    rows = []
+    for i in range(600):
+        insult, group = i % 3 == 0, i % 2 == 0
+        rows.append((i, f"w{i % 11} {'idiot' if insult else 'fellow'} {'martians' if group else 'people'}".replace("w", "abcdefghijk"[i % 11]), int(insult and group)))
+    bins = toxicity.telling_bins(spark.createDataFrame(rows, DOCS + ", label int").select(toxicity.terms(F.col("text")).alias("terms"), "label"))
+    words = spark.createDataFrame([(1, "idiot"), (2, "martians"), (3, "a")], DOCS).select("text", toxicity.terms(F.col("text"))[0].alias("b")).collect()
+    assert {r["text"] for r in words if r["b"] in bins} == {"idiot", "martians"}
+
+
+def test_sample_is_bounded_whatever_the_key(spark):
+    df = spark.createDataFrame([(i if i % 3 else 7, str(i)) for i in range(3000)], DOCS)
+    for most in (1, 100, 1500):
+        assert bounded_sample(df, "doc_id", most).count() == most
+    assert bounded_sample(df, "doc_id", 5000).count() == 3000 and bounded_sample(df.limit(0), "doc_id", 5).count() == 0
+
+
+def test_ids_beside_null_ids_stay_whole(spark):
+    docs = spark.createDataFrame([(9007199254740993, "the house"), (None, "the tree"), (3, None)], DOCS)
+    model = {"good": None, "constant": 0.5}
+    assert {r["doc_id"] for r in quality.score(docs, {"constant": 0.5}).collect()} == {9007199254740993, None, 3}
+    assert {r["doc_id"] for r in language_id.predict(docs, {}).collect()} == {9007199254740993, None, 3}
+
+
+def test_differences_are_of_whole_texts(spark):
+    """The difference of a long text is that of compressing all its pieces."""
+    import zstandard as zstd
+
+    good, bad = b"the house of the river and a tree in the garden " * 20, b"##### buy%%% now%%% cheap$$$ " * 20
+    text = "the house of the river " * 3000 + "buy%%% now%%% " * 3000
+    got = quality.differences(spark.createDataFrame([(1, text)], DOCS), good, bad).first()["difference"]
+    sizes = []
+    for d in (good, bad):
+        c = zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+        sizes.append(sum(len(c.compress(text.encode()[i : i + 1024])) for i in range(0, len(text), 1024)))
+    assert got == (sizes[1] - sizes[0]) / len(text)
+
+
 def test_quality(spark, labelled):
     model = quality.fit(labelled.withColumn("label", F.col("quality")))
     got = {(r["doc_id"]): r["score"] for r in quality.score(spark.createDataFrame([*ODD[:5], (20, "the garden of the house and the tree"), (21, "cheap$$$ now%%% buy%%% #####")], DOCS), model).collect()}
@@ -242,3 +283,18 @@ def test_urls(spark):
     assert pick(None)["rule"] == "org/" and pick(12)["rule"] is None and pick(13)["path"] == "" and pick(10)["host"] == "h"
     empty = url_filter.fit(url_filter.labelled_urls(train.limit(0)))
     assert {r["verdict"] for r in url_filter.judge(df.where("page_id = 6").select("page_id", "url"), empty).collect()} == {"allow"}
+
+
+def test_scripts_do_not_leak():
+    page = "<article><p>a b c.</p><script src=https://cdn.x/>alert(1)</script><p>d e f.</p></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["a b c.", "d e f."]
+    assert [b.text for b in html_text.blocks("<p>one<object>two</p><p>three</p>")][-1] == "three"
+
+
+def test_suffix_rates_do_not_see_their_own_labels(spark):
+    rows = [(f"http://h{i}.example.org/x{i}", float(i % 2), i % 2) for i in range(40)]
+    urls = spark.createDataFrame(rows, "url string, label double, fold int").withColumn("host", url_filter.host_of(F.col("url")))
+    stats = url_filter.suffix_stats(urls, 0.5).collect()
+    assert len(stats) == 4  # two suffixes, each seen from either fold
+    rates = {(r["suffix"], r["fold"]): r["rate"] for r in stats}
+    assert rates[("org", 0)] > 0.5 > rates[("org", 1)] and {r["all_rate"] for r in stats} == {0.5}

@@ -31,6 +31,9 @@ from tracewell.llm.common import map_texts, read_table
 BREAKING = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = ("script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "audio", "video", "canvas", "xmp", "noembed", "noframes")
+#: Of those, the ones whose content is raw up to their end tag, and those that may close themselves.
+RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -89,9 +92,9 @@ def blocks(html: str | None) -> list[Block]:
                     break
             continue
         if tag in SILENT:
-            if not rest.endswith("/"):
+            if not (rest.endswith("/") and tag in FOREIGN):
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else len(html)
+                at = close.end() if close else len(html) if tag in RAW else at
             continue
         if tag in VOID:
             continue
