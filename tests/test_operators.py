@@ -36,13 +36,13 @@ def test_logs_of_two_fleets_are_one_relation(ev):
 def test_payloads_become_columns(spark, ev):
     wide = events.typed(ev).withColumnsRenamed({"provider_kind": "provider", "token_count_estimate": "token_count"})
     assert {r["stop_reason"]: r["n"] for r in panels.stop_reasons(wide).collect()} == {"end_turn": 2, "aborted": 1}
-    row = sessions.session_features(wide, dims.rates(spark)).collect()
+    row = sessions.session_features(wide).collect()
     assert len(row) == 1 and row[0]["latency_p50"] == 3000 and row[0]["cost"] == 5.0 and row[0]["cost_kind"] == "billed" and row[0]["session_ref"] == "mu:d1:s1"
 
 
 def test_prices(spark):
     rows = [("anthropic/claude-haiku-4-5-x", 10**6, 10**6, 10**6, 10**6), ("nobody", 1, 1, 1, 1), (None, 1, 1, 1, 1), ("GPT-5.4-mini", 10**6, 0, 0, 0)]
-    df = dims.priced(spark.createDataFrame(rows, "model string, prompt_tokens long, completion_tokens long, cache_read_tokens long, cache_write_tokens long"), dims.rates(spark))
+    df = dims.priced(spark.createDataFrame(rows, "model string, prompt_tokens long, completion_tokens long, cache_read_tokens long, cache_write_tokens long"))
     got = {r["model"]: (r["rate_key"], r["cost"]) for r in df.collect()}
     assert got["anthropic/claude-haiku-4-5-x"] == ("claude-haiku-4-5", pytest.approx(1 + 5 + 0.1 + 1.25)) and got["nobody"] == (None, 0.0) and got[None] == (None, 0.0) and got["GPT-5.4-mini"] == ("gpt-5.4-mini", 0.75)
 

@@ -50,12 +50,24 @@ def rate_keys(models: DataFrame, rate_table: DataFrame, column: str = "model") -
     return found.groupBy("model").agg(best.alias("r")).select("model", "r.*")
 
 
-def priced(df: DataFrame, rate_table: DataFrame, model: str = "model") -> DataFrame:
+def with_rates(df: DataFrame, model: str = "model") -> DataFrame:
+    """df with rate_key, input_rate, output_rate of the longest rate key that each row's model starts with (null without one): one
+    expression over the few rates, no join and no second pass over df."""
+    bare = bare_model(F.col(model))
+    longest_first = sorted(RATES, key=lambda k: (-len(k), k))
+    found = F.coalesce(*[F.when(bare.startswith(k), F.struct(F.lit(k).alias("rate_key"), F.lit(RATES[k][0]).alias("input_rate"), F.lit(RATES[k][1]).alias("output_rate"))) for k in longest_first])
+    return df.withColumn("_rate", found).select(*df.columns, "_rate.rate_key", "_rate.input_rate", "_rate.output_rate")
+
+
+def priced(df: DataFrame, model: str = "model") -> DataFrame:
     """df(model, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens) with rate_key and cost (USD at list
     prices; 0 where the model has no rate)."""
-    keys = rate_keys(df, rate_table, model).withColumnRenamed("model", "_model")
-    out = df.join(F.broadcast(keys), F.col(model) == F.col("_model"), "left")
-    return out.withColumn("cost", F.coalesce(list_price(), F.lit(0.0))).drop("_model", "input_rate", "output_rate")
+    return with_rates(df, model).withColumn("cost", F.coalesce(list_price(), F.lit(0.0))).drop("input_rate", "output_rate")
+
+
+def to_grid(usd: Column) -> Column:
+    """USD in whole units of 1e-10: engines round decimal places of binary numbers differently, but not these."""
+    return F.round(usd * 1e10).cast("long") / 1e10
 
 
 def list_price() -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.dims import READ, WRITE_1H, WRITE_5M, list_price, rate_keys
+from tracewell.dims import READ, WRITE_1H, WRITE_5M, list_price, to_grid, with_rates
+from tracewell.operators.costs import cost_sum
 from tracewell.functions.text import tool_family
 from tracewell.operators.sessions import KEY
 
@@ -100,23 +101,22 @@ def cache_econ(ev: DataFrame) -> DataFrame:
     return out.withColumns({"save_pct": saving(F.col("median_gap_min")), "save_pct_p90": saving(F.col("p90_gap_min"))})
 
 
-def per_ask(ev: DataFrame, rate_table: DataFrame, asks: int = 30) -> DataFrame:
+def per_ask(ev: DataFrame, asks: int = 30) -> DataFrame:
     """The first asks of each session with telemetry: gap since the one before, cost, and what writing the cache again costs."""
     order = Window.partitionBy("fleet", "daemon", "session_id").orderBy("ts", "id")
     rows = ev.where("kind = 'task_telemetry'").withColumns({"n": F.row_number().over(order), "gap_min": F.round((F.col("ts") - F.lag("ts").over(order)) / 60000.0, 2)}).where(F.col("n") <= asks)
-    keys = rate_keys(rows, rate_table)
-    out = rows.join(F.broadcast(keys), "model", "left")
+    out = with_rates(rows)
     rewrite = F.col("cache_read_tokens") * F.col("input_rate") * WRITE_5M / 1e6
     return out.select(
-        "fleet", "daemon", "session_id", F.col("n").cast("long").alias("ask"), "model", "gap_min", F.round(F.coalesce(list_price(), F.lit(0.0)), 4).alias("cost"),
-        F.round(F.coalesce(rewrite, F.lit(0.0)), 4).alias("rewrite_5m"), F.coalesce(F.col("gap_min") > 5, F.lit(False)).alias("expired_5m"),
+        "fleet", "daemon", "session_id", F.col("n").cast("long").alias("ask"), "model", "gap_min", to_grid(F.coalesce(list_price(), F.lit(0.0))).alias("cost"),
+        to_grid(F.coalesce(rewrite, F.lit(0.0))).alias("rewrite_5m"), F.coalesce(F.col("gap_min") > 5, F.lit(False)).alias("expired_5m"),
     )
 
 
-def per_ask_sessions(ev: DataFrame, rate_table: DataFrame, sessions: int = 12) -> DataFrame:
+def per_ask_sessions(ev: DataFrame, sessions: int = 12) -> DataFrame:
     """The costliest sessions by the sum of their asks' costs."""
-    asks = per_ask(ev, rate_table)
-    out = asks.groupBy("fleet", "daemon", "session_id").agg(F.count("*").alias("asks"), F.round(F.sum("cost"), 4).alias("cost"), F.count_if("expired_5m").alias("expired"))
+    asks = per_ask(ev)
+    out = asks.groupBy("fleet", "daemon", "session_id").agg(F.count("*").alias("asks"), cost_sum(), F.count_if("expired_5m").alias("expired"))
     return out.where("cost > 0").orderBy(F.desc("cost"), "fleet", "daemon", "session_id").limit(sessions)
 
 
@@ -144,7 +144,7 @@ def flagged_queue(ev: DataFrame, fleet: str = "mu", limit: int = 12) -> DataFram
     confidence = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("reason"))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("reason")).cast("long")
     turn = F.row_number().over(Window.partitionBy("reason").orderBy("daemon", "session_id")).cast("long")
-    return found.select("daemon", "session_id", "reason", "why", "model", confidence.alias("confidence"), rank.alias("severity"), turn.alias("turn")).orderBy("turn", "severity").limit(limit)
+    return found.select("daemon", "session_id", "reason", "why", "model", confidence.alias("confidence"), rank.alias("severity"), turn.alias("turn")).where(F.col("turn") <= limit).orderBy("turn", "severity").limit(limit)
 
 
 def context_trajectory(ev: DataFrame, cap: int = 80) -> DataFrame:

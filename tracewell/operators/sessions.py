@@ -23,7 +23,7 @@ def total(kind: str, column: str) -> Column:
     return F.sum(F.coalesce(when_kind(kind, F.col(column)), F.lit(0))).cast("long")
 
 
-def session_features(ev: DataFrame, rate_table: DataFrame) -> DataFrame:
+def session_features(ev: DataFrame) -> DataFrame:
     """One row for each session with telemetry: token sums, latency, tools, gaps, context depth, price and time of week.
 
     The gap needs the events of a session in order, the rest are aggregates over the same key: one exchange serves both."""
@@ -42,7 +42,7 @@ def session_features(ev: DataFrame, rate_table: DataFrame) -> DataFrame:
             F.max(context).alias("max_context"), F.min_by(context, F.when(context.isNotNull(), F.col("id"))).alias("first_context"),
         ).where("n_tasks > 0")
     )
-    out = priced(per, rate_table)
+    out = priced(per)
     at = F.timestamp_millis("started_ms")
     return out.where(~is_noise(F.col("model"))).select(
         session_ref(F.col("fleet"), F.col("session")).alias("session_ref"), "fleet", "session", "n_tasks", "prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_write_tokens",
@@ -74,13 +74,13 @@ def first_events(ev: DataFrame) -> DataFrame:
     return ev.groupBy(*KEY).agg(F.min_by(F.struct("ts", "kind"), F.struct("ts", "id")).alias("first")).select(*KEY, F.col("first.ts").alias("first_ms"), F.col("first.kind").alias("first_kind"))
 
 
-def tasks(ev: DataFrame, rate_table: DataFrame) -> DataFrame:
+def tasks(ev: DataFrame) -> DataFrame:
     """The task table: one row for each task, the latest telemetry of it, with price, cost kind and its session's tool calls."""
     tel = ev.where("kind = 'task_telemetry'")
     last = Window.partitionBy("task_id").orderBy(F.desc("ts"), F.desc("id"))
     tel = tel.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     tools = ev.where("kind = 'tool_call'").groupBy(*KEY).agg(F.count("*").alias("tool_calls"))
-    out = priced(tel.join(tools, list(KEY), "left"), rate_table)
+    out = priced(tel.join(tools, list(KEY), "left"))
     return out.select(
         "task_id", *KEY, "model", "provider", "exit_reason", F.coalesce("outcome_class", F.lit("unclassified")).alias("outcome_class"), F.coalesce("tool_calls", F.lit(0)).alias("tool_calls"),
         "prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_write_tokens", "ts", F.col("rate_key").isNotNull().alias("is_priced"), "cost", cost_kind(F.col("provider"), F.col("model")).alias("cost_kind"),

@@ -104,7 +104,7 @@ SELECT fleet || ':' || session AS session_ref, fleet, session, n_tasks, prompt_t
 FROM s JOIN modal USING (fleet, session) LEFT JOIN keyed USING (model) LEFT JOIN rates USING (rate_key) WHERE n_tasks > 0 AND lower(model) <> 'faux'
 """)
 def _(t):
-    return sessions.session_features(t.ev, t.rates)
+    return sessions.session_features(t.ev)
 
 
 @query("A16_cache_econ", """
@@ -121,18 +121,18 @@ def _(t):
 
 
 _ASKS = f"""{_KEYED}, q AS (SELECT *, row_number() OVER w AS n, round((ts - lag(ts) OVER w) / 60000.0, 2) AS gap_min FROM ev WHERE kind = 'task_telemetry' WINDOW w AS (PARTITION BY fleet, daemon, session_id ORDER BY ts, id)),
-asks AS (SELECT fleet, daemon, session_id, n AS ask, model, gap_min, round(coalesce({_PRICE}, 0.0), 4) AS cost, round(coalesce(cache_read_tokens * i * 1.25 / 1e6, 0.0), 4) AS rewrite_5m, coalesce(gap_min > 5, false) AS expired_5m
+asks AS (SELECT fleet, daemon, session_id, n AS ask, model, gap_min, CAST(round(coalesce({_PRICE}, 0.0) * 1e10) AS BIGINT) / 1e10 AS cost, CAST(round(coalesce(cache_read_tokens * i * 1.25 / 1e6, 0.0) * 1e10) AS BIGINT) / 1e10 AS rewrite_5m, coalesce(gap_min > 5, false) AS expired_5m
   FROM q LEFT JOIN keyed USING (model) LEFT JOIN rates USING (rate_key) WHERE n <= 30)"""
 
 
 @query("A62_per_ask", f"WITH {_ASKS} SELECT * FROM asks")
 def _(t):
-    return panels.per_ask(t.ev, t.rates)
+    return panels.per_ask(t.ev)
 
 
-@query("A63_per_ask_sessions", f"WITH {_ASKS} SELECT fleet, daemon, session_id, count(*) AS asks, round(sum(cost), 4) AS cost, count(*) FILTER (expired_5m) AS expired FROM asks GROUP BY ALL HAVING round(sum(cost), 4) > 0 ORDER BY cost DESC, fleet, daemon, session_id LIMIT 12")
+@query("A63_per_ask_sessions", f"WITH {_ASKS} SELECT fleet, daemon, session_id, count(*) AS asks, {_SUM} AS cost, count(*) FILTER (expired_5m) AS expired FROM asks GROUP BY ALL HAVING {_SUM} > 0 ORDER BY cost DESC, fleet, daemon, session_id LIMIT 12")
 def _(t):
-    return panels.per_ask_sessions(t.ev, t.rates)
+    return panels.per_ask_sessions(t.ev)
 
 
 @query("A64_flagged_queue", """
@@ -197,46 +197,48 @@ def _(t):
     return sessions.first_events(t.ev)
 
 
-@query("S11_tasks", f"WITH {_TASKS} SELECT task_id, fleet, session, model, provider, exit_reason, outcome_class, tool_calls, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens, ts, is_priced, round(cost, 6) AS cost, cost_kind, day FROM tasks", dates=("day",))
+@query("S11_tasks", f"WITH {_TASKS} SELECT task_id, fleet, session, model, provider, exit_reason, outcome_class, tool_calls, prompt_tokens, completion_tokens, cache_read_tokens, cache_write_tokens, ts, is_priced, CAST(round(cost * 1e10) AS BIGINT) / 1e10 AS cost, cost_kind, day FROM tasks", dates=("day",))
 def _(t):
     from pyspark.sql import functions as F
 
-    return sessions.tasks(t.ev, t.rates).withColumn("cost", F.round("cost", 6))
+    from tracewell.dims import to_grid
+
+    return sessions.tasks(t.ev).withColumn("cost", to_grid(F.col("cost")))
 
 
 @query("A25_cost_rollups", f"WITH {_TASKS} SELECT cost_kind, fleet, model, grouping(cost_kind) * 4 + grouping(fleet) * 2 + grouping(model) AS grain, count(*) AS tasks, {_SUM} AS cost FROM tasks GROUP BY GROUPING SETS ((cost_kind), (fleet), (fleet, model))")
 def _(t):
-    return costs.rollups(sessions.tasks(t.ev, t.rates))
+    return costs.rollups(sessions.tasks(t.ev))
 
 
 @query("A26_cost_totals", f"WITH {_TASKS} SELECT count(*) AS tasks, {_SUM} AS cost, count(*) FILTER (is_priced) AS priced FROM tasks")
 def _(t):
-    return costs.totals(sessions.tasks(t.ev, t.rates))
+    return costs.totals(sessions.tasks(t.ev))
 
 
 @query("A27_outcomes", f"WITH {_TASKS} SELECT outcome_class, count(*) AS n FROM tasks GROUP BY 1")
 def _(t):
-    return costs.outcomes(sessions.tasks(t.ev, t.rates))
+    return costs.outcomes(sessions.tasks(t.ev))
 
 
 @query("A28_hallucination", f"WITH {_TASKS} SELECT fleet, model, count(*) FILTER (outcome_class IN ('narrative_no_action', 'hollow_commit', 'lying_state')) AS flagged, count(*) AS n, count(*) FILTER (outcome_class IN ('narrative_no_action', 'hollow_commit', 'lying_state')) / count(*) AS rate FROM tasks WHERE tool_calls > 0 GROUP BY ALL HAVING count(*) >= 3 ORDER BY rate DESC, n DESC, fleet, model LIMIT 10")
 def _(t):
-    return costs.hallucination(sessions.tasks(t.ev, t.rates))
+    return costs.hallucination(sessions.tasks(t.ev))
 
 
 @query("A29_trend", f"WITH {_TASKS}, d AS (SELECT CAST(make_timestamp(ts * 1000) AS DATE) AS day, avg(CAST(stop_reason IN {_BAD} AS DOUBLE)) AS rate FROM ev WHERE kind = 'done' GROUP BY 1) SELECT day, count(*) AS tasks, {_SUM} AS cost, coalesce(any_value(rate), 0.0) AS rate FROM tasks LEFT JOIN d USING (day) GROUP BY day", dates=("day",))
 def _(t):
-    return costs.trend(sessions.tasks(t.ev, t.rates), panels.degradation_by_day(t.ev))
+    return costs.trend(sessions.tasks(t.ev), panels.degradation_by_day(t.ev))
 
 
 @query("S26_unpriced", f"WITH {_TASKS} SELECT provider, model, count(*) AS tasks, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM tasks WHERE NOT is_priced GROUP BY ALL")
 def _(t):
-    return costs.unpriced(sessions.tasks(t.ev, t.rates))
+    return costs.unpriced(sessions.tasks(t.ev))
 
 
 @query("T05_costliest", f"WITH {_TASKS} SELECT fleet, session, count(*) AS tasks, {_SUM} AS cost FROM tasks GROUP BY ALL ORDER BY cost DESC, fleet, session LIMIT 8")
 def _(t):
-    return costs.costliest(sessions.tasks(t.ev, t.rates))
+    return costs.costliest(sessions.tasks(t.ev))
 
 
 @query("J10_rate_keys", f"WITH {_KEYED} SELECT model, rate_key, i AS input_rate, o AS output_rate FROM keyed JOIN rates USING (rate_key)")

@@ -37,7 +37,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-_RATES = "rates(rate_key, i, o) AS (VALUES " + ", ".join(f"('{k}', {i}, {o})" for k, (i, o) in RATES.items()) + ")"
+_RATES = "rates(rate_key, i, o) AS (VALUES " + ", ".join(f"('{k}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for k, (i, o) in RATES.items()) + ")"
 
 
 def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):

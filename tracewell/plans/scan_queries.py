@@ -201,7 +201,7 @@ def _(t):
 def _(t):
     from tracewell.operators.sessions import tasks
 
-    return timings.by_family(tasks(t.ev, t.rates))
+    return timings.by_family(tasks(t.ev))
 
 
 _SINCE, _UNTIL = 1_705_276_800_000, 1_705_881_600_000  # a week in the middle of the events' month

@@ -100,7 +100,7 @@ def _(t):
 
 
 def _features(t):
-    return sessions.session_features(t.ev, t.rates)
+    return sessions.session_features(t.ev)
 
 
 _FEATURES = ORACLES["A11_session_features"]
