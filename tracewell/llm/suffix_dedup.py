@@ -56,6 +56,8 @@ MOST_TASKS = 20_000
 COMPARE_BYTES = 1 << 18
 #: Bytes of contexts that are looked at together.
 CHUNK_BYTES = 2 << 20
+#: Contexts whose bytes are fetched or compared in one step: each byte takes a few numbers of eight bytes for as long.
+CHUNK_ROWS = 1 << 15
 #: One document in SAMPLED is looked through for anchors that are in about HOT contexts or more; at most MOST_HOT of them, the
 #: most frequent, are dealt out by windows.
 SAMPLED, HOT, MOST_HOT = 64, 16_384, 100_000
@@ -232,8 +234,12 @@ def _send_anchors(buckets: int, doc_buckets: int, hot):
             shared = np.flatnonzero(_several(gram, context, who=who))
             left_out = np.zeros(len(who), bool)
             if len(shared):
-                row, before, runs = covered(data, mid[shared], left[shared], right[shared], who[shared], gram[shared])
-                row = shared[row]
+                hashes, found = Hashes(data), []
+                for part in _by_groups(gram[shared], left[shared] + GRAM + right[shared]):
+                    part = shared[part]
+                    row, before, runs = covered(data, mid[part], left[part], right[part], who[part], gram[part], hashes=hashes)
+                    found.append([part[row], before, runs])
+                row, before, runs = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _covered_batch(number[row], at[row] - before, runs + SPAN - 1, doc_buckets)
                 left_out[row[runs == left[row] + right[row] - SIDE + 1]] = True
             rows = [x[~left_out] for x in (gram >> np.uint64(24), who, number ^ who, at, left, right)]
@@ -268,14 +274,12 @@ def _fetch_contexts(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
     data, place = _joined(left_table)
     begin = place(number, at) - left
     length = left + GRAM + right
-    flat = data[_ranges(begin, length)]
     sort = np.lexsort((gram, bucket))
-    offset = np.cumsum(length) - length
     rows, head = [], np.flatnonzero(np.r_[True, np.diff(bucket[sort]) != 0])
     for a, b in zip(head, [*head[1:], len(sort)], strict=True):
         part = sort[a:b]
         meta = pack(gram[part], number[part], differ[part], at[part], left[part], right[part])
-        text = flat[_ranges(offset[part], length[part])].tobytes()
+        text = b"".join(data[_ranges(begin[p], length[p])].tobytes() for p in (part[i : i + CHUNK_ROWS] for i in range(0, len(part), CHUNK_ROWS)))
         rows.append((int(bucket[part[0]]), len(meta).to_bytes(8, "little") + meta + zstd.ZstdCompressor(level=1).compress(text)))
     return pa.Table.from_batches([_blob_batch(CONTEXT, rows)])
 
@@ -296,10 +300,12 @@ def _joined(docs: pa.Table):
 
 def _alike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes data[a:a+size] and data[b:b+size] are equal, for each."""
-    if not len(a):
-        return np.zeros(0, bool)
-    differ = data[_ranges(a, size)] != data[_ranges(b, size)]
-    return ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), CHUNK_ROWS):
+        x, y, n = (v[i : i + CHUNK_ROWS] for v in (a, b, size))
+        differ = data[_ranges(x, n)] != data[_ranges(y, n)]
+        out[i : i + CHUNK_ROWS] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
 
 
 def _heads(data: np.ndarray, hashes: Hashes, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -375,10 +381,10 @@ def least_documents(data: np.ndarray, start: np.ndarray, stop: np.ndarray, who:
     return [order[context[whole]], whole - at[context[whole]], least]
 
 
-def covered(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, group: np.ndarray, many: int = MANY) -> list[np.ndarray]:
+def covered(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarray, who: np.ndarray, group: np.ndarray, many: int = MANY, hashes: Hashes | None = None) -> list[np.ndarray]:
     """Contexts around anchors at data[mid], of documents `who`, in groups -> context, bytes before the anchor, number of
     windows: each run of windows from there on that also stand in a context of the group with a smaller document."""
-    hashes = Hashes(data)
+    hashes = hashes or Hashes(data)
     sort = np.lexsort((who, group))
     use = np.empty(len(mid), bool)
     use[sort] = _several(group[sort], who=who[sort]) if len(mid) else use
@@ -418,6 +424,16 @@ def covered(data: np.ndarray, mid: np.ndarray, left: np.ndarray, right: np.ndarr
     return [np.concatenate([x[i] for x in out or [[np.empty(0, np.int64)] * 3]]) for i in range(3)]
 
 
+def _by_groups(group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of some whole groups at a time, of about CHUNK_BYTES, where equal groups stand together."""
+    edges, total, a = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]), np.cumsum(size), 0
+    while a < len(group):
+        b = int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK_BYTES, side="right"))
+        b = int(edges[np.searchsorted(edges, max(b, a + 1), side="left")])
+        yield np.arange(a, b)
+        a = b
+
+
 def merged(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Stretches sorted by row and start -> row, start, size, those of a row that overlap or touch being one."""
     if not len(row):
@@ -442,15 +458,13 @@ def _compare_contexts(doc_buckets: int):
             texts.append(zstd.ZstdDecompressor().decompress(raw[8 + n :]))
         gram, number, differ, at, left, right = (np.concatenate([m[i] for m in metas]) for i in range(6))
         data, size = np.frombuffer(b"".join(texts), np.uint8), left + GRAM + right
+        del metas, texts
         start, order, found = np.cumsum(size) - size, np.argsort(gram, kind="stable"), []
-        edges, total, a = np.flatnonzero(np.r_[True, np.diff(gram[order]) != 0, True]), np.cumsum(size[order]), 0
-        while a < len(order):  # some anchors at a time
-            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK_BYTES, side="right"))
-            rows = order[a : (b := int(edges[np.searchsorted(edges, max(b, a + 1), side="left")]))]
+        for part in _by_groups(gram[order], size[order]):
+            rows = order[part]
             stop = np.cumsum(size[rows])
             row, before, runs = covered(data[_ranges(start[rows], size[rows])], stop - GRAM - right[rows], left[rows], right[rows], (number ^ differ)[rows], gram[rows])
             found.append([number[rows][row], at[rows][row] - before, runs + SPAN - 1])
-            a = b
         return pa.Table.from_batches([_covered_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), doc_buckets)])
 
     return run
