@@ -129,6 +129,7 @@ def flags(ev: DataFrame) -> DataFrame:
         tel.where(F.col("exit_reason").isin("error", "cancelled")).select("daemon", "session_id", F.lit("err").alias("reason"), F.concat(F.lit("exit_reason="), "exit_reason").alias("why")),
         errors.select("daemon", "session_id", F.lit("err").alias("reason"), F.concat(F.col("n").cast("string"), F.lit(" tool_result.is_error in session")).alias("why")),
         ev.where("kind = 'callout'").select("daemon", "session_id", F.lit("callout").alias("reason"), F.concat(F.lit("self-flag: "), F.coalesce("content", F.lit("(callout)"))).alias("why")),
+        ev.where("kind = 'autonomous_terminated'").select("daemon", "session_id", F.lit("deg").alias("reason"), F.concat(F.lit("autonomous_terminated: "), F.coalesce("content", F.lit("?"))).alias("why")),
     ]
     out = parts[0]
     for p in parts[1:]:

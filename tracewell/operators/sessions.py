@@ -53,7 +53,7 @@ def session_features(ev: DataFrame) -> DataFrame:
 
 def feature_coverage(features: DataFrame) -> DataFrame:
     """Sessions, priced sessions and cost of each fleet."""
-    return features.groupBy("fleet").agg(F.count("*").alias("sessions"), F.count_if(F.col("cost") > 0).alias("priced"), F.round(F.sum("cost"), 4).alias("cost"))
+    return features.groupBy("fleet").agg(F.count("*").alias("sessions"), F.count_if(F.col("cost") > 0).alias("priced"), (F.sum(F.round(F.col("cost") * 1e4).cast("long")) / 1e4).alias("cost"))
 
 
 def session_map(ev: DataFrame, fleet: str = "mu") -> DataFrame:

@@ -140,7 +140,8 @@ WITH m AS (SELECT * FROM ev WHERE fleet = 'mu'),
 f AS (SELECT daemon, session_id, 'deg' AS reason, 'stop_reason=' || stop_reason || ' mid-task' AS why FROM m WHERE kind = 'done' AND stop_reason IN ('degraded_eof', 'max_tokens', 'iteration_cap', 'aborted')
   UNION ALL SELECT daemon, session_id, 'err', 'exit_reason=' || exit_reason FROM m WHERE kind = 'task_telemetry' AND exit_reason IN ('error', 'cancelled')
   UNION ALL SELECT daemon, session_id, 'err', CAST(count(*) AS VARCHAR) || ' tool_result.is_error in session' FROM m WHERE kind = 'tool_result' AND is_error GROUP BY ALL HAVING count(*) >= 5
-  UNION ALL SELECT daemon, session_id, 'callout', 'self-flag: ' || coalesce(content, '(callout)') FROM m WHERE kind = 'callout'),
+  UNION ALL SELECT daemon, session_id, 'callout', 'self-flag: ' || coalesce(content, '(callout)') FROM m WHERE kind = 'callout'
+  UNION ALL SELECT daemon, session_id, 'deg', 'autonomous_terminated: ' || coalesce(content, '?') FROM m WHERE kind = 'autonomous_terminated'),
 g AS (SELECT daemon, session_id, reason, min(why) AS why FROM f GROUP BY ALL),
 l AS (SELECT daemon, session_id, max_by(model, ts * 1000000 + id) AS model FROM m WHERE kind = 'task_telemetry' AND model IS NOT NULL GROUP BY ALL)
 SELECT daemon, session_id, reason, why, model, CASE reason WHEN 'deg' THEN 'Probable 0.62' WHEN 'err' THEN 'Probable 0.70' ELSE 'Definite 0.88' END AS confidence,

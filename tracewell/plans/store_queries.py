@@ -32,11 +32,11 @@ def _(t):
     return stores.upsert(first, _marks(t, F.col("ts") >= _MID), ["session_ref"], "created_ms")
 
 
-_LEDGER = f"cu AS (SELECT fleet || ':' || session AS path, max(ts) AS mtime FROM ev WHERE id % 7 <> 0 GROUP BY 1), le AS (SELECT fleet || ':' || session AS path, max(ts) AS mtime FROM ev WHERE ts < {_MID} GROUP BY 1)"
+_LEDGER = f"cu AS (SELECT fleet || ':' || session AS path, max(ts) AS mtime FROM ev WHERE id % 7 <> 0 AND daemon <> 'd3' GROUP BY 1), le AS (SELECT fleet || ':' || session AS path, max(ts) AS mtime FROM ev WHERE ts < {_MID} GROUP BY 1)"
 
 
 def _current(t):
-    return t.ev.where("id % 7 <> 0").groupBy(sessions.session_ref(F.col("fleet"), F.col("session")).alias("path")).agg(F.max("ts").alias("mtime"))
+    return t.ev.where("id % 7 <> 0 and daemon <> 'd3'").groupBy(sessions.session_ref(F.col("fleet"), F.col("session")).alias("path")).agg(F.max("ts").alias("mtime"))
 
 
 def _ledger(t):

@@ -54,7 +54,7 @@ SELECT id, fleet, daemon, session_id, CASE WHEN fleet = 'mu' THEN daemon || ':'
   CASE WHEN {call} AND k % 8 IN (1, 6) THEN {_pick(COMMANDS, "v")} END AS command,
   CASE WHEN {call} AND k % 8 IN (0, 2, 4, 5) THEN {_pick(FILES, "v")} END AS file_path,
   CASE WHEN kind = 'tool_result' THEN k % 3 = 0 END AS is_error,
-  CASE WHEN kind = 'user_message' THEN {_pick(PHRASES, "k + v")} WHEN kind = 'callout' THEN 'flag ' || CAST(k AS STRING) END AS content,
+  CASE WHEN kind = 'user_message' THEN {_pick(PHRASES, "k + v")} WHEN kind IN ('callout', 'autonomous_terminated') THEN 'flag ' || CAST(k AS STRING) END AS content,
   CASE WHEN kind = 'user_message' AND k % 10 = 0 THEN 'true' END AS meta,
   CASE WHEN kind IN ('assistant_message_event', 'context_assembly') THEN 1000 + v * 4 END AS token_count,
   CASE WHEN kind = 'assistant_message_event' THEN v END AS output_tokens,
@@ -85,6 +85,7 @@ FROM (
          WHEN event_type = 'error' AND k % 20 = 14 THEN 'worker_failed'
          WHEN event_type = 'error' AND k % 20 = 13 THEN 'mailbox_message_posted'
          WHEN event_type = 'error' AND k % 20 = 12 THEN 'mailbox_message_consumed'
+         WHEN event_type = 'error' AND k % 20 = 11 THEN 'autonomous_terminated'
          WHEN event_type = 'error' THEN 'done'
          ELSE 'task_telemetry' END AS kind
   FROM (
