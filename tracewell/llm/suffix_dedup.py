@@ -47,7 +47,7 @@ SPAN = 50
 GRAM = 24
 MANY = 16
 #: Text bytes that are looked through at once, anchors in a bucket, text bytes in a bucket of documents: about so many.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 DOCS_BYTES = 6 << 20
 #: Tasks that compare contexts, at most: the blobs are small for the work that is in them, so their number is set here.
