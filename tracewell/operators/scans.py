@@ -120,6 +120,14 @@ def marker_rates(ev: DataFrame) -> DataFrame:
     return per.groupBy("fleet", band.alias("band")).agg(F.count("*").alias("sessions"), F.count_if(F.col("hits") > 0).alias("present"), (1000 * F.sum("hits") / F.sum("n")).alias("per_1000"))
 
 
+def overall_rates(ev: DataFrame) -> DataFrame:
+    """Markers per thousand operator messages of each fleet, and of all (a fleet of null)."""
+    per = _talk(ev).groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("neg").alias("hits"))
+    return per.rollup("fleet").agg(
+        F.count("*").alias("sessions"), F.count_if(F.col("hits") > 0).alias("present"), F.sum("hits").alias("hits"), F.sum("n").alias("messages"), (1000 * F.sum("hits") / F.sum("n")).alias("per_1000"),
+    )
+
+
 def stratified_sample(ev: DataFrame, most: int = 20) -> DataFrame:
     """A fixed number of sessions of each fleet and size band, by the md5 of their names. The limit is the feature."""
     per = operator_messages(ev).groupBy(*KEY).agg(F.count("*").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import panels, scans, sessions, stores, summaries
+from tracewell.operators import panels, scans, sessions, stores, summaries, timings
 from tracewell.plans.event_queries import _KEYED, NOW_MS
 from tracewell.plans.registry import ORACLES, query
-from tracewell.plans.scan_queries import _FRUSTRATION
+from tracewell.plans.scan_queries import _FRUSTRATION, _TALK, _invocations
+from tracewell.sources.adapters import EPOCH_MS
 from tracewell.plans.store_queries import _MARKS, _VERDICT_SQL, _marks, _verdicts
 
 _MODEL_OF = "max_by(model, ts * 1000000 + id) AS {} FROM ev WHERE kind = 'task_telemetry' AND model IS NOT NULL"
@@ -212,3 +213,28 @@ def _(t):
     """The month's first half as the store, the second as what is scanned anew; one path is gone."""
     found = t.ev.where("kind = 'callout'").select(F.col("daemon").alias("path"), "id", "ts")
     return stores.replace_by_source(found.where(F.col("ts") < _HALF).select("path", "id"), found.where(F.col("ts") >= _HALF).select("path", "id"), t.ev.where("daemon <> 'd3'").select(F.col("daemon").alias("path")).distinct())
+
+
+_CALLS = f"""tk AS (SELECT *, CAST(NULL AS VARCHAR) AS state, length(content) AS output_tokens FROM talk), {_invocations("cc").replace("FROM ev ", "FROM tk ")}"""
+_OPEN, _SHUT, _LEAST = EPOCH_MS + 20 * 7_200_000, EPOCH_MS + 90 * 7_200_000, 60
+
+
+@query("P08_talk_timing_stats", f"""
+WITH {_CALLS}, ok AS (SELECT *, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, CASE WHEN duration_ms > 1 THEN tokens * 1000.0 / duration_ms END AS speed FROM iv
+  WHERE duration_ms BETWEEN 0 AND 1800000 AND end_ms >= {_OPEN} AND start_ms <= {_SHUT} AND tokens >= {_LEAST})
+SELECT fleet, day, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, min(start_ms) AS first_ms, max(end_ms) AS last_ms, round(quantile_cont(duration_ms, 0.5), 6) AS duration_p50, round(quantile_cont(duration_ms, 0.9), 6) AS duration_p90,
+  CAST(NULL AS DOUBLE) AS ttft_p50, CAST(NULL AS DOUBLE) AS ttft_p90, round(quantile_cont(speed, 0.5), 6) AS speed_p50, round(quantile_cont(speed, 0.9), 6) AS speed_p90 FROM ok GROUP BY GROUPING SETS ((fleet), (fleet, day))
+""", dates=("day",))
+def _(t):
+    """Answers in conversations that overlap a window and have a least length (characters stand for tokens)."""
+    talk = t.talk.withColumns({"state": F.lit(None).cast("string"), "output_tokens": F.length("content").cast("long")})
+    calls = timings.within(timings.invocations(talk, "cc"), _OPEN, _SHUT)
+    return timings.timing_stats(timings.workload(calls, tokens=(_LEAST, None)))
+
+
+@query("A47_overall_rates", f"""
+WITH {_TALK}, p AS (SELECT fleet, session, count(*) AS n, CAST(sum(neg) AS BIGINT) AS hits FROM said GROUP BY fleet, session)
+SELECT fleet, count(*) AS sessions, count(*) FILTER (hits > 0) AS present, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS messages, 1000 * sum(hits) / sum(n) AS per_1000 FROM p GROUP BY ROLLUP (fleet)
+""")
+def _(t):
+    return scans.overall_rates(t.talk)
