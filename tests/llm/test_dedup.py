@@ -255,3 +255,24 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.decontaminated(df, bench).columns == df.columns
     assert decontaminate.decontaminated(df, bench.limit(0)).count() == len(docs)
     assert decontaminate.matches(df.limit(0), bench).count() == 0
+
+
+def test_bytes_are_compared_in_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    a, b, size = rng.integers(0, 3900, 1000), rng.integers(0, 3900, 1000), rng.integers(1, 8, 1000)
+    expected = [bytes(data[x : x + n]) == bytes(data[y : y + n]) for x, y, n in zip(a, b, size, strict=True)]
+    assert any(expected) and not all(expected)
+    for rows in (1, 7, 1 << 15):
+        monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", rows)
+        assert suffix_dedup._alike(data, a, b, size).tolist() == expected
+
+
+def test_groups_stay_whole(monkeypatch):
+    group, size = np.repeat(np.arange(50), np.arange(50)), np.full(1225, 10)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 300)
+    parts = list(suffix_dedup._by_groups(group, size))
+    assert np.concatenate(parts).tolist() == list(range(1225)) and len(parts) > 10
+    seen = [set(group[p]) for p in parts]
+    assert sum(map(len, seen)) == len(set().union(*seen))
+    assert list(suffix_dedup._by_groups(group[:0], size[:0])) == []
