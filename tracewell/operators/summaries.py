@@ -162,3 +162,8 @@ def flagged_by_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
     by_ref, by_id = names.select(F.col("session_ref").alias("ref"), F.lit(True).alias("_a")), names.select(F.col("session_ref").alias("display_id"), F.lit(True).alias("_b"))
     out = rows.withColumn("ref", session_ref(F.col("fleet"), F.col("session"))).join(by_ref, "ref", "left").join(by_id, "display_id", "left")
     return out.select("fleet", "session", F.coalesce("_a", "_b", F.lit(False)).alias("flagged"))
+
+
+def restricted(ev: DataFrame, candidates: DataFrame, *key: str) -> DataFrame:
+    """Events of the candidates alone. Left to the planner, which sends candidates to all tasks only where they are few."""
+    return ev.join(candidates.select(*key), list(key), "left_semi")

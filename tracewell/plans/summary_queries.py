@@ -9,7 +9,7 @@ from tracewell.plans.event_queries import _KEYED, NOW_MS
 from tracewell.plans.registry import ORACLES, query
 from tracewell.plans.scan_queries import _FRUSTRATION, _TALK, _invocations
 from tracewell.sources.adapters import EPOCH_MS
-from tracewell.plans.store_queries import _MARKS, _VERDICT_SQL, _marks, _verdicts
+from tracewell.plans.store_queries import _MARKS, _VERDICT_SQL, _current, _ledger, _marks, _verdicts
 
 _MODEL_OF = "max_by(model, ts * 1000000 + id) AS {} FROM ev WHERE kind = 'task_telemetry' AND model IS NOT NULL"
 
@@ -238,3 +238,14 @@ SELECT fleet, count(*) AS sessions, count(*) FILTER (hits > 0) AS present, CAST(
 """)
 def _(t):
     return scans.overall_rates(t.talk)
+
+
+@query("J05_candidate_asks", f"SELECT a.* FROM {_duck('A62_per_ask')} AS a SEMI JOIN {_duck('T04_ask_candidates')} AS c USING (daemon, session_id)")
+def _(t):
+    return panels.per_ask(summaries.restricted(t.ev, summaries.ask_candidates(t.ev), *summaries.MU_KEY))
+
+
+@query("J06_changed_events", f"SELECT fleet, session, count(*) AS n FROM ev WHERE fleet || ':' || session IN (SELECT path FROM {_duck('J18_changed_sources')} AS c) GROUP BY fleet, session")
+def _(t):
+    rows = t.ev.withColumn("path", sessions.session_ref(F.col("fleet"), F.col("session")))
+    return panels.histogram(summaries.restricted(rows, stores.changed(_current(t), _ledger(t)), "path"), "fleet", "session")
