@@ -15,8 +15,8 @@ def test_query_equals_its_sql(spark, name):
     same(spark, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @needs_data

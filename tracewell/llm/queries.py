@@ -15,6 +15,9 @@ _MODULES = {
     "op8_neighbours": "neighbours",
     "op9_quality": "quality",
     "op10_toxicity": "toxicity",
+    "op11_super_kmers": "superkmers",
+    "op12_fill_middle": "fill_middle",
+    "op13_source_divergence": "source_divergence",
 }
 
 
