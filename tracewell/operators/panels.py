@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.dims import READ, WRITE_1H, WRITE_5M, list_price, to_grid, with_rates
 from tracewell.operators.costs import cost_sum
 from tracewell.functions.text import tool_family
+from tracewell.operators.quantiles import by_metric, counted, quantiles, stacked
 from tracewell.operators.sessions import KEY
 
 #: How a task may end badly, recall sources' names, and what compaction decides.
@@ -90,14 +91,15 @@ def saving(gap: Column) -> Column:
 
 def cache_econ(ev: DataFrame) -> DataFrame:
     inside = F.col("gap").between(0, 120)
-    gaps = ask_gaps(ev).agg(
-        F.round(F.coalesce(F.percentile(F.when(inside, F.col("gap")), F.lit(0.5)), F.lit(0.0)), 2).alias("median_gap_min"),
-        F.round(F.coalesce(F.percentile(F.when(inside, F.col("gap")), F.lit(0.9)), F.lit(0.0)), 2).alias("p90_gap_min"),
+    rows = ask_gaps(ev)
+    middle = quantiles(counted(rows.where(inside), [], "gap"), [], [0.5, 0.9]).agg(*[F.round(F.coalesce(F.max(F.col("q")[i]), F.lit(0.0)), 2).alias(n) for i, n in enumerate(("median_gap_min", "p90_gap_min"))])
+    gaps = rows.agg(
         F.count_if(inside).alias("gap_count"), F.count_if((F.col("gap") > 5) & (F.col("gap") <= 60)).alias("expired_5m_count"),
         F.count_if(F.col("gap").between(4, 6)).alias("near_miss_4_6m_count"), F.count_if(F.col("gap") > 60).alias("over_60m_count"),
     )
     volume = ev.where("kind = 'task_telemetry'").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("cache_write_5m_tokens", "w5_tokens"), ("cache_write_1h_tokens", "w1_tokens"), ("cache_read_tokens", "read_tokens"))])
-    out = gaps.withColumn("one", F.lit(1)).join(volume.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+    one = F.lit(1).alias("one")
+    out = middle.select("*", one).join(gaps.select("*", one), "one").join(volume.select("*", one), "one").drop("one")  # one row each
     return out.withColumns({"save_pct": saving(F.col("median_gap_min")), "save_pct_p90": saving(F.col("p90_gap_min"))})
 
 
@@ -162,13 +164,12 @@ def context_trajectory(ev: DataFrame, cap: int = 80) -> DataFrame:
 def context_disparity(ev: DataFrame) -> DataFrame:
     """Each fleet's first and largest context: medians, nearest-rank p90, maximum and median growth, over sessions of two or more."""
     per = ev.where("token_count > 0").groupBy(*KEY).agg(F.min_by("token_count", "id").alias("first"), F.max("token_count").alias("most"), F.count("*").alias("n")).where("n >= 2")
-    rank = Window.partitionBy("fleet").orderBy("most", "session")
-    per = per.withColumns({"i": F.row_number().over(rank) - 1, "of": F.count("*").over(Window.partitionBy("fleet"))})
-    p90 = F.max(F.when(F.col("i") == F.least(F.col("of") - 1, F.floor(0.9 * F.col("of"))), F.col("most")))
-    return per.groupBy("fleet").agg(
-        F.count("*").alias("sessions"), F.percentile("first", F.lit(0.5)).alias("first_median"), F.percentile("most", F.lit(0.5)).alias("max_median"), p90.alias("max_p90"),
-        F.max("most").alias("max_max"), F.round(F.percentile(F.col("most") / F.col("first"), F.lit(0.5)), 6).alias("growth_median"),
-    )
+    counts = counted(stacked(per, ["fleet"], {"first": F.col("first"), "most": F.col("most"), "growth": F.col("most") / F.col("first")}), ["fleet", "metric"])
+    by = ["fleet", "metric"]
+    middle = by_metric(quantiles(counts, by, [0.5]), ["fleet"], {"first": ["first_median"], "most": ["max_median"], "growth": ["growth_median"]})
+    p90 = by_metric(quantiles(counts.where("metric = 'most'"), by, [0.9], nearest=True), ["fleet"], {"most": ["max_p90"]})
+    whole = per.groupBy("fleet").agg(F.count("*").alias("sessions"), F.max("most").alias("max_max"))
+    return whole.join(middle, "fleet").join(p90, "fleet").select("fleet", "sessions", "first_median", "max_median", F.col("max_p90").cast("long").alias("max_p90"), "max_max", F.round("growth_median", 6).alias("growth_median"))
 
 
 def compactions(ev: DataFrame, drop_abs: int = 20_000, drop_share: float = 0.3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import ANNOUNCE, CLAIM, NEGATIVE, POSITIVE, REDIRECT, ending, found_marks, has, marks, tool_of, verifies
+from tracewell.operators.quantiles import by_metric, counted, quantiles, stacked
 from tracewell.operators.sessions import KEY, session_ref
 
 ZONE = "America/New_York"
@@ -110,7 +111,11 @@ def halves(ev: DataFrame, least: int = 6) -> DataFrame:
     rows = _talk(ev).withColumns({"i": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy(*KEY))}).where(F.col("n") >= least)
     first = F.col("i") <= F.floor(F.col("n") / 2)
     per = rows.groupBy(*KEY).agg(F.avg(F.when(first, F.col("neg"))).alias("a"), F.avg(F.when(~first, F.col("neg"))).alias("b"))
-    return per.agg(F.count("*").alias("sessions"), F.percentile("a", F.lit(0.5)).alias("first_median"), F.percentile("b", F.lit(0.5)).alias("second_median"), F.count_if(F.col("b") > F.col("a")).alias("rising"))
+    counts = counted(stacked(per, [], {"a": F.col("a"), "b": F.col("b")}), ["metric"])
+    middle = by_metric(quantiles(counts, ["metric"], [0.5]), [], {"a": ["first_median"], "b": ["second_median"]})
+    one = F.lit(1).alias("one")
+    whole = per.agg(F.count("*").alias("sessions"), F.count_if(F.col("b") > F.col("a")).alias("rising"))
+    return whole.select("*", one).join(middle.select("*", one), "one").select("sessions", "first_median", "second_median", "rising")  # one row each
 
 
 def marker_rates(ev: DataFrame) -> DataFrame:
@@ -134,3 +139,15 @@ def stratified_sample(ev: DataFrame, most: int = 20) -> DataFrame:
     band = F.when(F.col("n") < 3, "S").when(F.col("n") < 6, "M").otherwise("L")
     ranked = per.withColumn("band", band).withColumn("rank", F.row_number().over(Window.partitionBy("fleet", "band").orderBy(F.md5("session"), "session")).cast("long"))
     return ranked.where(F.col("rank") <= most)
+
+
+#: How the rows of each scan are listed.
+ORDERS = {
+    "frustration": lambda: [F.desc(F.col("hits") / F.greatest("n_user", F.lit(1))), F.desc("hits"), F.asc("session_ref")],
+    "sentiment": lambda: [F.asc("rate"), F.asc("net"), F.asc("session_ref")],
+    "behavior": lambda: [F.desc("claim_no_tool"), F.asc("session_ref")],
+}
+
+
+def in_order(scan: DataFrame, kind: str) -> DataFrame:
+    return scan.orderBy(*ORDERS[kind]())

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.dims import model_family
+from tracewell.operators.quantiles import by_metric, counted, quantiles, stacked
 from tracewell.operators.sessions import KEY
 
 MOST_MS = 30 * 60_000
 
 
-def with_models(ev: DataFrame) -> DataFrame:
-    """Events with their session's model, the one that is most frequent in its telemetry."""
-    return ev.withColumn("session_model", F.mode(F.when(F.col("kind") == "task_telemetry", F.col("model")), True).over(Window.partitionBy(*KEY)))
+def with_models(calls: DataFrame, ev: DataFrame) -> DataFrame:
+    """Calls with the family of their session's model, the one that is most frequent in its telemetry."""
+    models = ev.where("kind = 'task_telemetry'").groupBy(*KEY).agg(F.mode("model", True).alias("session_model"))
+    return calls.join(models, list(KEY), "left").withColumn("model", model_family(F.col("session_model"))).drop("session_model")
 
 
 def invocations(ev: DataFrame, fleet: str = "mu") -> DataFrame:
@@ -68,20 +70,42 @@ def workload(calls: DataFrame, **bounds: tuple[float | None, float | None]) -> D
 
 
 def throughput() -> Column:
-    """Tokens a second of what was generated, where that took more than a millisecond."""
+    """Tokens a second of what was generated, where there were any and it took more than a millisecond."""
     took = F.col("duration_ms") - F.coalesce("ttft_ms", F.lit(0))
-    return F.when(took > 1, F.col("tokens") * 1000.0 / took)
+    return F.when((took > 1) & (F.col("tokens") > 0), F.col("tokens") * 1000.0 / took)
+
+
+#: What calls are grouped by, and the percentiles that are told of them.
+GRAINS = {"fleet": ("fleet",), "fleet_model": ("fleet", "model"), "day": ("day",), "fleet_day": ("fleet", "day")}
+PERCENTILES = (50, 75, 90, 99)
+
+
+def _grains(df: DataFrame, rest: list[str]) -> DataFrame:
+    """Rows by (fleet, model, day) once for each grain, with nulls for what it doesn't tell apart."""
+    of = lambda keys: [(F.col(c) if c in keys else F.lit(None).cast("date" if c == "day" else "string")).alias(c) for c in ("fleet", "model", "day")]
+    each = F.array(*[F.struct(F.lit(name).alias("grain"), *of(keys)) for name, keys in GRAINS.items()])
+    return df.select(F.explode(each).alias("x"), *rest).select("x.*", *rest)
 
 
 def timing_stats(calls: DataFrame) -> DataFrame:
-    """Counts and percentiles of calls of all, and of each fleet and day: grains of one scan."""
-    calls = calls.withColumns({"day": F.to_date(F.timestamp_millis("start_ms")), "speed": throughput()})
-    at = F.array(*map(F.lit, (0.5, 0.9)))
-    g = calls.groupingSets([("fleet",), ("fleet", "day")], "fleet", "day").agg(
-        F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.percentile("duration_ms", at).alias("d"), F.percentile("ttft_ms", at).alias("t"), F.percentile("speed", at).alias("s"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"),
+    """Calls by fleet, fleet and model, day, and fleet and day: how many, tokens, invocations, time, and percentiles of duration,
+    time to the first token and throughput. calls may have a model. The finest grain is summed first; the others add it up."""
+    model = F.col("model") if "model" in calls.columns else F.lit(None).cast("string")
+    calls = calls.withColumns({"model": model, "day": F.to_date(F.timestamp_millis("start_ms")), "speed": throughput(), "ttft": F.col("ttft_ms") if "ttft_ms" in calls.columns else F.lit(None).cast("long")})
+    finest, by = ["fleet", "model", "day"], ["grain", "fleet", "model", "day"]
+    sums = calls.groupBy(*finest).agg(
+        F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.sum("invocations").alias("invocations"), F.max("invocations").alias("invocations_max"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"),
+    )
+    whole = _grains(sums, ["calls", "tokens", "invocations", "invocations_max", "first_ms", "last_ms"]).groupBy(*by).agg(
+        F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), (F.sum("invocations") / F.sum("calls")).alias("invocations_mean"), F.max("invocations_max").alias("invocations_max"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"),
     )
-    parts = {f"{n}_p{p}": F.round(F.col(c)[i], 6) for n, c in (("duration", "d"), ("ttft", "t"), ("speed", "s")) for i, p in enumerate((50, 90))}
-    return g.select("fleet", "day", "calls", "tokens", "first_ms", "last_ms", *[v.alias(k) for k, v in parts.items()])
+    metrics = {"duration": F.col("duration_ms"), "ttft": F.col("ttft"), "speed": F.col("speed")}
+    counts = counted(stacked(calls, finest, metrics), [*finest, "metric"])
+    counts = _grains(counts, ["metric", "v", "n"]).groupBy(*by, "metric", "v").agg(F.sum("n").alias("n"))
+    names = {m: [f"{m}_p{p}" for p in PERCENTILES] for m in metrics}
+    q = by_metric(quantiles(counts, [*by, "metric"], [p / 100 for p in PERCENTILES]), by, names)
+    same = whole.withColumn("_k", F.struct(*by)).join(q.select(F.struct(*by).alias("_k"), *[c for ns in names.values() for c in ns]), "_k", "left").drop("_k")
+    return same.withColumns({c: F.round(c, 6) for ns in names.values() for c in ns})
 
 
 def by_family(tasks: DataFrame) -> DataFrame:

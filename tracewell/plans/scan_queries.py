@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracewell.functions.text import ANNOUNCE, CLAIM, CODE_HEREDOC, DANGER, EDITS, FORCE, GOODBYE, HEREDOC, LOOKING, NEGATIVE, POSITIVE, REDIRECT, SHELLS, TOOL_ALIASES, VERIFY_TOOLS
 from tracewell.operators import receipts, scans, timings, toolstream
 from tracewell.plans.event_queries import _TASKS
 from tracewell.plans.registry import query
+from tracewell.sources.adapters import EPOCH_MS
 
 
 def _text(pattern: str) -> str:
@@ -188,13 +191,27 @@ def _(t):
     return timings.turns(t.ev)
 
 
+def _stats(calls: str, ttft: bool = True) -> str:
+    """The statistics of calls(fleet, model, day, ...) by the four grains."""
+    cols = {"duration": "duration_ms", "ttft": "ttft_ms" if ttft else None, "speed": "speed"}
+    qs = ", ".join(f"round(quantile_cont({c}, {p / 100}), 6) AS {m}_p{p}" if c else f"CAST(NULL AS DOUBLE) AS {m}_p{p}" for m, c in cols.items() for p in (50, 75, 90, 99))
+    return f"""SELECT CASE WHEN grouping(fleet) = 1 THEN 'day' WHEN grouping(model) = 0 THEN 'fleet_model' WHEN grouping(day) = 0 THEN 'fleet_day' ELSE 'fleet' END AS grain, fleet, model, day, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens,
+  sum(invocations) / count(*) AS invocations_mean, max(invocations) AS invocations_max, min(start_ms) AS first_ms, max(end_ms) AS last_ms, {qs} FROM {calls} GROUP BY GROUPING SETS ((fleet), (fleet, model), (day), (fleet, day))"""
+
+
+#: The family of a model, in SQL.
+_FAMILY = "CASE WHEN contains(lower(model), 'fable') THEN 'fable' WHEN contains(lower(model), 'opus') THEN 'opus' WHEN contains(lower(model), 'sonnet') THEN 'sonnet' WHEN contains(lower(model), 'haiku') THEN 'haiku' WHEN contains(lower(model), 'gpt') THEN 'gpt' WHEN contains(lower(model), 'gemini') THEN 'gemini' WHEN contains(lower(model), 'qwen') THEN 'qwen' ELSE 'other' END"
+
+
 @query("A36_timing_stats", f"""
-WITH {_invocations('mu')}, ok AS (SELECT *, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, CASE WHEN duration_ms - coalesce(ttft_ms, 0) > 1 THEN tokens * 1000.0 / (duration_ms - coalesce(ttft_ms, 0)) END AS speed FROM iv WHERE duration_ms BETWEEN 0 AND 1800000)
-SELECT fleet, day, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, min(start_ms) AS first_ms, max(end_ms) AS last_ms, round(quantile_cont(duration_ms, 0.5), 6) AS duration_p50, round(quantile_cont(duration_ms, 0.9), 6) AS duration_p90,
-  round(quantile_cont(ttft_ms, 0.5), 6) AS ttft_p50, round(quantile_cont(ttft_ms, 0.9), 6) AS ttft_p90, round(quantile_cont(speed, 0.5), 6) AS speed_p50, round(quantile_cont(speed, 0.9), 6) AS speed_p90 FROM ok GROUP BY GROUPING SETS ((fleet), (fleet, day))
-""", dates=("day",))
-def _(t):
-    return timings.timing_stats(timings.within(timings.invocations(t.ev, "mu")))
+WITH {_invocations("mu").replace("FROM ev", "FROM ev2")}, sm AS (SELECT fleet, session, arg_min(model, (-n, model)) AS model FROM (SELECT fleet, session, model, count(*) AS n FROM ev WHERE kind = 'task_telemetry' GROUP BY ALL) AS c GROUP BY fleet, session),
+ok AS (SELECT fleet, {_FAMILY} AS model, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, start_ms, end_ms, duration_ms, ttft_ms, tokens, invocations, CASE WHEN duration_ms - coalesce(ttft_ms, 0) > 1 AND tokens > 0 THEN tokens * 1000.0 / (duration_ms - coalesce(ttft_ms, 0)) END AS speed FROM iv LEFT JOIN sm USING (fleet, session) WHERE duration_ms BETWEEN 0 AND 1800000)
+{_stats("ok")}
+""".replace("WITH ", f"WITH ev2 AS (SELECT * REPLACE ({EPOCH_MS} + (ts - {EPOCH_MS}) // 1000 AS ts) FROM ev), ", 1), dates=("day",))
+def _(t):
+    """The events' clock is slowed down a thousandfold, as a model call is no matter of days."""
+    ev = t.ev.withColumn("ts", F.lit(EPOCH_MS) + F.expr(f"(ts - {EPOCH_MS}) div 1000"))
+    return timings.timing_stats(timings.within(timings.with_models(timings.invocations(ev, "mu"), ev)))
 
 
 @query("F23_model_families", f"WITH {_TASKS} SELECT CASE WHEN contains(lower(model), 'fable') THEN 'fable' WHEN contains(lower(model), 'opus') THEN 'opus' WHEN contains(lower(model), 'sonnet') THEN 'sonnet' WHEN contains(lower(model), 'haiku') THEN 'haiku' WHEN contains(lower(model), 'gpt') THEN 'gpt' WHEN contains(lower(model), 'gemini') THEN 'gemini' WHEN contains(lower(model), 'qwen') THEN 'qwen' ELSE 'other' END AS family, count(*) AS tasks, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM tasks GROUP BY 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import panels, scans, sessions, stores, summaries, timings
 from tracewell.plans.event_queries import _KEYED, NOW_MS
 from tracewell.plans.registry import ORACLES, query
-from tracewell.plans.scan_queries import _FRUSTRATION, _TALK, _invocations
+from tracewell.plans.scan_queries import _FRUSTRATION, _TALK, _invocations, _stats
 from tracewell.sources.adapters import EPOCH_MS
 from tracewell.plans.store_queries import _MARKS, _VERDICT_SQL, _current, _ledger, _marks, _verdicts
 
@@ -220,10 +220,9 @@ _OPEN, _SHUT, _LEAST = EPOCH_MS + 20 * 7_200_000, EPOCH_MS + 90 * 7_200_000, 60
 
 
 @query("P08_talk_timing_stats", f"""
-WITH {_CALLS}, ok AS (SELECT *, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, CASE WHEN duration_ms > 1 THEN tokens * 1000.0 / duration_ms END AS speed FROM iv
+WITH {_CALLS}, ok AS (SELECT *, CAST(NULL AS VARCHAR) AS model, CAST(make_timestamp(start_ms * 1000) AS DATE) AS day, CASE WHEN duration_ms > 1 AND tokens > 0 THEN tokens * 1000.0 / duration_ms END AS speed FROM iv
   WHERE duration_ms BETWEEN 0 AND 1800000 AND end_ms >= {_OPEN} AND start_ms <= {_SHUT} AND tokens >= {_LEAST})
-SELECT fleet, day, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, min(start_ms) AS first_ms, max(end_ms) AS last_ms, round(quantile_cont(duration_ms, 0.5), 6) AS duration_p50, round(quantile_cont(duration_ms, 0.9), 6) AS duration_p90,
-  CAST(NULL AS DOUBLE) AS ttft_p50, CAST(NULL AS DOUBLE) AS ttft_p90, round(quantile_cont(speed, 0.5), 6) AS speed_p50, round(quantile_cont(speed, 0.9), 6) AS speed_p90 FROM ok GROUP BY GROUPING SETS ((fleet), (fleet, day))
+{_stats("ok", ttft=False)}
 """, dates=("day",))
 def _(t):
     """Answers in conversations that overlap a window and have a least length (characters stand for tokens)."""
