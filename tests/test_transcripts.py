@@ -22,14 +22,14 @@ def test_a_tool_round_trip_keeps_everything(spark):
     df = spark.createDataFrame(rows, "session_id string, pos long, type string, timestamp string, isMeta boolean, message string")
     got = [(r["session_id"], r["id"], r["kind"], r["content"], r["name"], r["stop_reason"]) for r in transcripts.normalised(df).orderBy("session_id", "id").collect()]
     assert got == [
-        ("s", 1, "user_message", "do it", None, None), ("s", 2, "assistant_message_event", "let me look", None, "tool_use"), ("s", 3, "tool_call", None, "Read", None), ("s", 4, "tool_result", "A\nB", "Read", None),
-        ("s", 5, "assistant_message_event", "done", None, "end_turn"), ("s", 6, "done", None, None, "end_turn"), ("s", 7, "user_message", "<system-reminder>x", None, None), ("s", 8, "task_telemetry", None, None, None), ("t", 1, "user_message", "hello", None, None),
+        ("s", 1, "session_created", None, None, None), ("s", 2, "user_message", "do it", None, None), ("s", 3, "assistant_message_event", "let me look", None, "tool_use"), ("s", 4, "tool_call", None, "Read", None), ("s", 5, "tool_result", "A\nB", "Read", None),
+        ("s", 6, "assistant_message_event", "done\n[cc-unmapped-block:image]", None, "end_turn"), ("s", 7, "done", None, None, "end_turn"), ("s", 8, "user_message", "<system-reminder>x", None, None), ("s", 9, "task_telemetry", None, None, None),
     ]
     last = transcripts.normalised(df).where("kind = 'task_telemetry'").first()
     assert (last["prompt_tokens"], last["completion_tokens"], last["model"]) == (12, 24, "x-1")  # the streamed record counts once
     assert {r["type"]: r["n"] for r in transcripts.skipped(df).collect()} == {"summary": 1}
     assert {r["type"]: r["n"] for r in transcripts.unmapped(df).collect()} == {"image": 1}
-    assert [r["meta"] for r in transcripts.normalised(df).where("kind = 'user_message'").orderBy("session_id", "id").collect()] == [None, "true", "true"]
+    assert [r["meta"] for r in transcripts.normalised(df).where("kind = 'user_message'").orderBy("session_id", "id").collect()] == [None, "true"]
 
 
 def test_reports_of_files(spark):
@@ -47,3 +47,40 @@ def test_billed_usage(spark):
 
     got = {r["model"]: (round(r["list_usd"], 6), r["billed_usd"]) for r in reports.billed_usage(day).collect()}
     assert got == {"opus-x": (46.75, 12.34), "other": (0.0, 0.0)}
+
+
+def test_asks_are_timed(spark):
+    """An ask begins with the last operator text that has a time; without one, with the session's first time."""
+    at = lambda sec: None if sec is None else f"2026-01-01T00:00:{sec:02d}Z"
+    say = lambda k, stop="end_turn": json.dumps({"id": f"m{k}", "model": "x-1", "stop_reason": stop, "content": "ok", "usage": {"input_tokens": 1, "cache_creation": {"ephemeral_5m_input_tokens": k, "ephemeral_1h_input_tokens": 10 * k}}})
+    user = lambda text: json.dumps({"role": "user", "content": text})
+    rows = [
+        ("s", 0, "summary", at(1), False, "{}"), ("s", 1, "assistant", at(4), False, say(1)), ("s", 2, "user", at(10), False, user("go")), ("s", 3, "assistant", at(12), False, say(2, "tool_use")),
+        ("s", 4, "user", at(13), False, user([{"type": "tool_result", "tool_use_id": "?", "content": [{"type": "image", "x": 1}]}])), ("s", 5, "assistant", at(15), False, say(3)), ("s", 6, "user", None, False, user([{"type": "text", "text": ""}, {"type": "text", "text": "more"}])),
+        ("s", 7, "assistant", at(20), False, say(4, "max_tokens")), ("s", 8, "assistant", None, False, say(5)), ("s", 9, "system", at(59), False, "{}"), ("u", 0, "user", at(1), False, user("nobody answers")),
+    ]
+    df = spark.createDataFrame(rows, "session_id string, pos long, type string, timestamp string, isMeta boolean, message string")
+    out = transcripts.normalised(df).persist()
+    assert [(r["elapsed_ms"], r["turn_count"], r["stop_reason"]) for r in out.where("kind = 'done'").orderBy("id").collect()] == [(3000, 1, "end_turn"), (5000, 2, "end_turn"), (10000, 1, "max_tokens"), (None, 2, "end_turn")]
+    t = out.where("kind = 'task_telemetry'").collect()
+    assert [(r["session_id"], r["wall_clock_ms"], r["cache_write_5m_tokens"], r["cache_write_1h_tokens"], r["provider_kind"], r["task_id"]) for r in t] == [("s", 58_000, 15, 150, "claude_code", "cc-s")]
+    assert [(r["name"], r["content"]) for r in out.where("kind = 'tool_result'").collect()] == [("unknown", '{"type":"image","x":1}')]
+    assert out.where("kind = 'user_message'").count() == 2
+
+
+def test_transcripts_are_read_from_files(spark, tmp_path):
+    """The path tells the provider, lines keep their numbers, broken lines are left out."""
+    for folder, name in ((".claude-openrouter/projects/p", "a"), ("work/projects/p", "b")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / f"{name}.jsonl").write_text('\nnot json\n{"type": "user", "timestamp": "2026-01-01T00:00:01Z", "message": {"role": "user", "content": "hi"}}\n{"broken\n{"type": "assistant", "message": {"id": "m", "model": "x-1", "content": "yes"}}\n')
+    records = transcripts.read_records(spark, f"{tmp_path}/*/projects", recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    assert sorted((r["session_id"], r["pos"], r["type"], r["provider"]) for r in records.collect()) == [("a", 2, "user", "openrouter"), ("a", 4, "assistant", "openrouter"), ("b", 2, "user", "claude_code"), ("b", 4, "assistant", "claude_code")]
+    made = transcripts.normalised(records).where("kind = 'session_created'").collect()
+    assert sorted((r["session_id"], r["provider_kind"], r["model"]) for r in made) == [("a", "openrouter", "x-1"), ("b", "claude_code", "x-1")]
+
+
+def test_thinking_is_shown_as_such(spark):
+    from pyspark.sql import functions as F
+
+    content = json.dumps([{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "A"}, {"type": "text", "text": ""}, {"type": "image"}, {"type": "thinking"}])
+    assert [r[0] for r in spark.createDataFrame([(content,), ("plain",), (None,)], "c string").select(transcripts.shown(F.col("c"))).collect()] == ["(thinking) hm\nA", "plain", ""]

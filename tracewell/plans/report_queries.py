@@ -112,8 +112,9 @@ def _(t):
 WITH e AS (SELECT conv_id, turn AS pos, 0 AS rank, 'user_message' AS kind FROM conversations WHERE role = 'user'
   UNION ALL SELECT conv_id, turn, 2, 'assistant_message_event' FROM conversations WHERE role = 'assistant'
   UNION ALL SELECT conv_id, turn, 4, 'done' FROM conversations WHERE role = 'assistant' AND turn % 3 <> 0
+  UNION ALL SELECT conv_id, -1, 5, 'session_created' FROM conversations WHERE role = 'assistant' GROUP BY conv_id
   UNION ALL SELECT conv_id, 1000000000, 5, 'task_telemetry' FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
-SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, rank) AS id, kind FROM e
+SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos, rank) AS id, kind FROM e WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'assistant')
 """)
 def _(t):
     """Conversations as raw transcript records, each assistant message streamed in two records."""
