@@ -82,11 +82,6 @@ def test_streams_equal_batches(spark, tmp_path):
     log(tmp_path / "in" / "d1", "s3.jsonl", rows[:2])
     jobs.run_once(stream(), f"{tmp_path}/ev", f"{tmp_path}/c1")  # takes up where it ended
     assert spark.read.parquet(f"{tmp_path}/ev").count() == 13
-    for version in ("a", "b"):
-        log(tmp_path / "kv", f"{version}.jsonl", [{"kind": version}])
-        rows_ = jobs.event_stream(spark, f"{tmp_path}/kv", "mu").select(F.lit("k").alias("k"), "kind", "ts")
-        jobs.upsert_stream(rows_, f"{tmp_path}/store", ["k"], ["ts", "kind"], f"{tmp_path}/c2").awaitTermination()
-    assert [r["kind"] for r in jobs.current_version(spark, f"{tmp_path}/store").collect()] == ["b"]
 
 
 def test_daily_metrics_and_inactivity_stream(spark, tmp_path):
@@ -97,14 +92,34 @@ def test_daily_metrics_and_inactivity_stream(spark, tmp_path):
     q.awaitTermination()
     assert {(r["n"], r["rate"]) for r in spark.table("daily").collect()} == {(2, 0.5), (1, None)}
     jobs.run_once(jobs.inactivity_sessions(jobs.event_stream(spark, f"{tmp_path}/in", "mu")), f"{tmp_path}/quiet", f"{tmp_path}/c")
-    assert [(r["session_id"], r["events"]) for r in spark.read.parquet(f"{tmp_path}/quiet").collect()] == [("s1", 2)]
+    assert [(r["session"], r["events"]) for r in spark.read.parquet(f"{tmp_path}/quiet").collect()] == [("d:s1", 2)]
 
 
 def test_turns_stream(spark, tmp_path):
     rows = [{"kind": "user_message"}, {"kind": "assistant_message_event"}, {"kind": "assistant_message_event"}, {"kind": "done"}, {"kind": "user_message"}, {"kind": "assistant_message_event"}, {"kind": "user_message"}]
     log(tmp_path / "in" / "d", "s1.jsonl", rows)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    log(tmp_path / "in" / "e", "s1.jsonl", rows[:2])  # another daemon's session of the same id
     jobs.run_once(jobs.turns(jobs.event_stream(spark, f"{tmp_path}/in", "mu")), f"{tmp_path}/turns", f"{tmp_path}/c")
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    got = sorted((r["start_ms"] - BASE, r["end_ms"] - BASE, r["invocations"]) for r in spark.read.parquet(f"{tmp_path}/turns").collect())
-    assert got == [(0, 180_000, 2), (240_000, 300_000, 1)]
+    got = sorted((r["session"], r["start_ms"] - BASE, r["end_ms"] - BASE, r["invocations"]) for r in spark.read.parquet(f"{tmp_path}/turns").collect())
+    assert got == [("d:s1", 0, 180_000, 2), ("d:s1", 240_000, 300_000, 1)]
+
+
+def test_quantiles_equal_numpy(spark):
+    """Ties, negative numbers, one value, nulls in the group, values of one bin; no task sorts a whole group."""
+    import random
+
+    import numpy as np
+    from tracewell.operators import quantiles as qs
+
+    r = random.Random(4)
+    rows = [(g, r.choice((r.gauss(0, 1000), float(r.randrange(5)), -7.5, 1e12 + r.random()))) for g in ("a", None, "c") for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    got = {x["g"]: x["q"] for x in qs.quantiles(qs.counted(df, ["g"]), ["g"], ps).collect()}
+    near = {x["g"]: x["q"] for x in qs.quantiles(qs.counted(df, ["g"]), ["g"], ps, nearest=True).collect()}
+    assert set(got) == {"a", None, "c", "one"} == set(near)
+    for g in got:
+        values = sorted(v for k, v in rows if k == g)
+        assert got[g] == pytest.approx(np.quantile(values, ps)) and near[g] == [values[min(len(values) - 1, int(p * len(values)))] for p in ps]
+    whole = qs.quantiles(qs.counted(df, []), [], [0.5]).collect()
+    assert whole[0]["q"] == pytest.approx([np.median([v for _, v in rows if v is not None])])

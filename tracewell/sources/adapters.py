@@ -115,9 +115,16 @@ SPARK_MILLIS, SPARK_K = "unix_millis(CAST(ts AS TIMESTAMP))", "CAST(get_json_obj
 DUCK_MILLIS, DUCK_K = "(epoch_us(ts) // 1000)", "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(events_sql(SPARK_MILLIS, SPARK_K).replace("FROM events\n", "FROM {events}\n"), events=table)
+def table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A table, or a stream of its rows."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # A stream takes a single file by a glob only.
+    return spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{name}.parque[t]") if stream else rows
+
+
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    table_ = table(spark, sf_dir, "events", stream)
+    return spark.sql(events_sql(SPARK_MILLIS, SPARK_K).replace("FROM events\n", "FROM {events}\n"), events=table_)
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:

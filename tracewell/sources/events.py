@@ -37,6 +37,11 @@ def read_events(spark: SparkSession, paths: list[str] | str, fleet: str) -> Data
         if "PATH_NOT_FOUND" in str(e):
             return empty_events(spark)
         raise
+    return shaped(raw, fleet)
+
+
+def shaped(raw: DataFrame, fleet: str) -> DataFrame:
+    """Rows of log files as events, in a stream or not."""
     daemon = F.regexp_extract("_metadata.file_path", r".*/([^/]+)/[^/]+$", 1)
     out = raw.withColumn("daemon", daemon).withColumn("fleet", F.lit(fleet))
     session = F.concat_ws(":", "daemon", "session_id") if fleet == "mu" else F.col("session_id")

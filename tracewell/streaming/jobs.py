@@ -1,22 +1,25 @@
-"""Streams over event logs: ingest, daily metrics, sessions by inactivity, turns, and stores fed batch by batch."""
+"""Streams over event logs: ingest, daily metrics, sessions by inactivity, turns."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.operators.panels import BAD_STOPS
-from tracewell.sources.events import ENVELOPE
+from tracewell.sources.events import ENVELOPE, shaped
+
+DAY_MS = 86_400_000
 
 
 def event_stream(spark: SparkSession, path: str, fleet: str, files_per_trigger: int = 1000) -> DataFrame:
     """New log files as events. Which files were read is kept in the checkpoint, so a restart reads none twice."""
     raw = spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).json(path)
-    return raw.select("id", "session_id", F.col("timestamp_unix_ms").alias("ts"), F.get_json_object("payload", "$.kind").alias("kind"), "payload", F.lit(fleet).alias("fleet"))
+    return shaped(raw, fleet)
 
 
 def timed(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -32,72 +35,76 @@ def daily_degradation(events: DataFrame, late: str = "1 day") -> DataFrame:
 def inactivity_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """Stretches of a session without a pause longer than gap."""
     w = F.session_window("at", gap)
-    return timed(events, late).groupBy("fleet", "session_id", w).agg(F.count("*").alias("events")).select("fleet", "session_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+    return timed(events, late).groupBy("fleet", "session", w).agg(F.count("*").alias("events")).select("fleet", "session", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+
+
+def by_arrival(rows: DataFrame) -> DataFrame:
+    """Rows with the time of their batch as their event time, `at`: none is ever late, and timers tell how long ago state changed.
+    They fire when later batches come in; while none does, state doesn't grow either."""
+    return rows.withColumn("at", F.current_timestamp()).withWatermark("at", "0 seconds")
 
 
 class TurnAssembly(StatefulProcessor):
-    """Joins an operator's message with the answers that follow it, until the next message or `done`."""
+    """Joins an operator's message with the answers that follow it, until the next message or `done`. An open turn is dropped
+    when ttl_ms have gone by since it last changed."""
 
-    SCHEMA = "session_id string, start_ms long, end_ms long, invocations long"
+    SCHEMA = "fleet string, session string, start_ms long, end_ms long, invocations long"
+
+    def __init__(self, ttl_ms: int = 7 * DAY_MS):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.turn = handle.getValueState("turn", "start_ms long, end_ms long, invocations long")
+        self.handle = handle
+        self.turn = handle.getValueState("turn", "start_ms long, end_ms long, invocations long, changed_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.turn.get() if self.turn.exists() else None
-        start, end, n = state if state else (None, None, 0)
-        out = []
-        for r in pd.concat(rows).sort_values("id").itertuples():
+        start, end, n, _ = self.turn.get() if self.turn.exists() else (None, None, 0, 0)
+        out, batch = [], pd.concat(rows).sort_values("id")
+        for r in batch.itertuples():
             if r.kind == "user_message" or r.kind == "done":
                 if r.kind == "done" and start is not None:
                     end = r.ts
                 if start is not None and n:
-                    out.append((key[0], start, end, n))
+                    out.append((*key, start, end, n))
                 start, end, n = (r.ts, None, 0) if r.kind == "user_message" else (None, None, 0)
             elif start is not None:
                 end, n = r.ts, n + 1
         if start is None:
             self.turn.clear()
         else:
-            self.turn.update((start, end if end is not None else start, n))
-        yield pd.DataFrame(out, columns=["session_id", "start_ms", "end_ms", "invocations"])
+            now = int(batch["arrived_ms"].max())
+            self.turn.update((start, end if end is not None else start, n, now))
+            self.handle.registerTimer(now + self.ttl_ms)
+        yield pd.DataFrame(out, columns=["fleet", "session", "start_ms", "end_ms", "invocations"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.turn.exists() and self.turn.get()[3] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.turn.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def turns(events: DataFrame) -> DataFrame:
-    keep = events.where(F.col("kind").isin("user_message", "assistant_message_event", "done")).select("session_id", "id", "ts", "kind")
-    return keep.groupBy("session_id").transformWithStateInPandas(TurnAssembly(), TurnAssembly.SCHEMA, "Append", "None")
+def turns(events: DataFrame, ttl_ms: int = 7 * DAY_MS) -> DataFrame:
+    """A session is told by its fleet and its session key, which holds the daemon where session ids repeat."""
+    keep = by_arrival(events.where(F.col("kind").isin("user_message", "assistant_message_event", "done")))
+    rows = keep.select("fleet", "session", "id", "ts", "kind", "at", F.unix_millis("at").alias("arrived_ms"))
+    return rows.groupBy("fleet", "session").transformWithStateInPandas(TurnAssembly(ttl_ms), TurnAssembly.SCHEMA, "Append", "EventTime")
 
 
-def upsert_stream(rows: DataFrame, path: str, key: list[str], ties: list[str], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keeps a keyed table: each batch's rows take the place of the table's rows of the same key. Versions of the table are
-    written beside each other and the newest complete one counts, so a batch that is run again changes nothing."""
-    from tracewell.operators.stores import latest, upsert
-
-    def merge(batch: DataFrame, number: int) -> None:
-        now = current_version(batch.sparkSession, path, number)
-        new = latest(batch, key, *[F.desc_nulls_last(t) for t in ties])
-        (upsert(now, new, key, *ties) if now is not None else new).write.mode("overwrite").parquet(f"{path}/version={number:08d}")
-
-    writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if once else writer.start()
-
-
-def current_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a kept table, or the newest before a batch's own."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    found = [s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    found = sorted(v for v in found if v.startswith("version=") and (before is None or int(v[8:]) < before))
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams that start in this block keep their state in RocksDB, which timers and expiring state need."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Writes all that is there, and ends."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
+    with state_on_disk(stream.sparkSession):
+        stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
