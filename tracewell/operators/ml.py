@@ -88,8 +88,24 @@ def _path(n: int) -> float:
 
 
 def worklist(scores: DataFrame, marked: DataFrame, limit: int = 30) -> DataFrame:
-    """The most anomalous sessions without a mark. The limit is the feature."""
-    return scores.join(marked.select("session_ref"), "session_ref", "left_anti").orderBy(F.desc("score"), "session_ref").limit(limit)
+    """The most anomalous sessions without a mark, each with its rank among all. The limit is the feature.
+
+    A session's rank is its place in the list plus the marked sessions before it: marked ones, which are few, are compared with
+    the list alone, so that no task ranks all sessions."""
+    known = marked.select("session_ref").distinct()
+    top = scores.join(known, "session_ref", "left_anti").orderBy(F.desc("score"), "session_ref").limit(limit)
+    place = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "session_ref")  # over `limit` rows
+    top = top.withColumn("place", F.row_number().over(place).cast("long"))
+    rest = scores.join(known, "session_ref", "left_semi").select(F.col("session_ref").alias("r"), F.col("score").alias("s"))
+    before = (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("r") < F.col("session_ref")))
+    ahead = rest.join(F.broadcast(top), before).groupBy("session_ref").agg(F.count("*").alias("ahead"))
+    return top.join(ahead, "session_ref", "left").select("session_ref", "score", "place", (F.col("place") + F.coalesce("ahead", F.lit(0))).alias("rank"))
+
+
+def by_mark(scores: DataFrame, marked: DataFrame) -> DataFrame:
+    """All scores, with whether the session is marked."""
+    known = marked.select("session_ref").distinct().withColumn("_m", F.lit(True))
+    return scores.join(known, "session_ref", "left").withColumn("marked", F.col("_m").isNotNull()).drop("_m")
 
 
 def feature_pipeline() -> list:
@@ -135,7 +151,7 @@ def scored_unlabelled(joined: DataFrame, rest: DataFrame, seed: int = 42) -> Dat
     return out.orderBy("pred", "session_ref")
 
 
-def importance(joined: DataFrame, repeats: int = 3, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
+def importance(joined: DataFrame, repeats: int = 10, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
     """How much the squared error grows when one feature's values are shuffled: feature, importance. All features and repeats
     are rows of one plan; values are shuffled within blocks of about block_rows sessions, so that no task orders them all."""
     model = _fitted(joined, seed)
@@ -151,3 +167,8 @@ def importance(joined: DataFrame, repeats: int = 3, block_rows: int = 10_000, se
     error = model.transform(mixed).groupBy("f").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("e"))
     plain = F.max(F.when(F.col("f") == "", F.col("e"))).over(Window.partitionBy())  # over one row a feature
     return error.withColumn("importance", F.col("e") - plain).where("f <> ''").select(F.col("f").alias("feature"), "importance")
+
+
+def top_importances(found: DataFrame, most: int = 12) -> DataFrame:
+    """The features that matter most. The limit is the feature."""
+    return found.orderBy(F.desc("importance"), "feature").limit(most)

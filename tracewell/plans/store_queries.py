@@ -120,6 +120,15 @@ def _(t):
     return z.select("session_ref", "provider", "model", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in ml.NUMERIC])
 
 
+_Z = f"SELECT session_ref, provider, model, {', '.join(f'{_moments(c)} AS z_{c}' for c in ml.NUMERIC)} FROM ({_FEATURES}) AS f"
+_EACH = ", ".join(f"{{'name': '{c}', 'z': round(z_{c}, 2)}}" for c in ml.NUMERIC)
+ORACLES["M08_deviations"] = f"""
+WITH z AS ({_Z}), u AS (SELECT session_ref, unnest([{_EACH}]) AS x FROM z), r AS (SELECT session_ref, x.name AS name, row_number() OVER (PARTITION BY session_ref ORDER BY -abs(x.z), x.name) AS k FROM u WHERE abs(x.z) >= 0.5),
+w AS (SELECT session_ref, string_agg(name, ',' ORDER BY k) AS why FROM r WHERE k <= 3 GROUP BY session_ref)
+SELECT session_ref, coalesce(why, '') AS why, count(*) OVER (PARTITION BY provider) < 0.1 * count(*) OVER () AS rare_provider, count(*) OVER (PARTITION BY model) < 0.1 * count(*) OVER () AS rare_model FROM z LEFT JOIN w USING (session_ref)
+"""
+
+
 @query("M08_deviations")
 def _(t):
     return ml.deviations(ml.standardised(_features(t)))
@@ -166,3 +175,52 @@ def _(t):
 @query("M03_importance")
 def _(t):
     return ml.importance(_joined(t))
+
+
+@query("T14_top_importances")
+def _(t):
+    return ml.top_importances(ml.importance(_joined(t)))
+
+
+#: A score that engines work out alike stands for the forest's, whose own is tested by itself.
+_SCORED = f"sc AS (SELECT session_ref, round(n_tasks * 3 + n_tools % 7 + cost, 2) AS score FROM ({_FEATURES}) AS f)"
+
+
+@query("W15_ranked_worklist", f"""
+WITH {_MARKS}, {_SCORED}, rk AS (SELECT session_ref, score, row_number() OVER (ORDER BY score DESC, session_ref) AS rank FROM sc), un AS (SELECT * FROM rk WHERE session_ref NOT IN (SELECT session_ref FROM mk))
+SELECT session_ref, score, row_number() OVER (ORDER BY rank) AS place, rank FROM un ORDER BY rank LIMIT 30
+""")
+def _(t):
+    """The worklist's ranks, among all sessions and among those without a mark."""
+    scored = _features(t).select("session_ref", F.round(F.col("n_tasks") * 3 + F.col("n_tools") % 7 + F.col("cost"), 2).alias("score"))
+    return ml.worklist(scored, _marks(t, "true"))
+
+
+@query("M09_marked_scores", f"WITH {_MARKS}, {_SCORED} SELECT session_ref, score, session_ref IN (SELECT session_ref FROM mk) AS marked FROM sc")
+def _(t):
+    scored = _features(t).select("session_ref", F.round(F.col("n_tasks") * 3 + F.col("n_tools") % 7 + F.col("cost"), 2).alias("score"))
+    return ml.by_mark(scored, _marks(t, "true"))
+
+
+_PREDICTED = "pr AS (SELECT fleet || ':' || session AS session_ref, CAST(count(*) FILTER (kind = 'tool_call') * 7 % 41 - 20 AS DOUBLE) AS y, CAST(count(*) % 31 - 15 AS DOUBLE) AS pred FROM ev GROUP BY 1)"
+
+
+def _predicted(t):
+    """Numbers that stand for targets and predictions, so that what is made of them can be compared."""
+    ref = sessions.session_ref(F.col("fleet"), F.col("session")).alias("session_ref")
+    return t.ev.groupBy(ref).agg((F.count_if(F.col("kind") == "tool_call") * 7 % 41 - 20).cast("double").alias("y"), (F.count("*") % 31 - 15).cast("double").alias("pred"))
+
+
+@query("M04_quality_of_given", f"""
+WITH {_PREDICTED}, m AS (SELECT count(*) AS n, avg(y) AS mean, stddev_pop(y) AS sd, avg(abs(y - pred)) AS mae, avg((y - pred) * (y - pred)) AS mse FROM pr) SELECT n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mae, 6) AS mae, round(1 - mse / (sd * sd), 6) AS r2 FROM m
+""")
+def _(t):
+    return ml.regression_quality(_predicted(t)).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "mae", "r2")])
+
+
+@query("W25_tails_of_given", f"""
+WITH {_PREDICTED}, r AS (SELECT *, round(pred - y, 1) AS residual FROM pr)
+SELECT * FROM (SELECT *, 'unnoticed' AS tail FROM r ORDER BY residual DESC, session_ref LIMIT 12) UNION ALL SELECT * FROM (SELECT *, 'overnoticed' AS tail FROM r ORDER BY residual, session_ref LIMIT 12)
+""")
+def _(t):
+    return ml.residual_tails(_predicted(t))
