@@ -123,27 +123,25 @@ def per_ask_sessions(ev: DataFrame, sessions: int = 12) -> DataFrame:
 
 
 def flags(ev: DataFrame) -> DataFrame:
-    """(daemon, sid, reason, why): every sign that a session wants a look."""
-    done, tel = ev.where("kind = 'done'"), ev.where("kind = 'task_telemetry'")
-    errors = ev.where("kind = 'tool_result' and is_error").groupBy("daemon", "session_id").agg(F.count("*").alias("n")).where("n >= 5")
-    parts = [
-        done.where(F.col("stop_reason").isin("degraded_eof", "max_tokens", "iteration_cap", "aborted")).select("daemon", "session_id", F.lit("deg").alias("reason"), F.format_string("stop_reason=%s mid-task", "stop_reason").alias("why")),
-        tel.where(F.col("exit_reason").isin("error", "cancelled")).select("daemon", "session_id", F.lit("err").alias("reason"), F.concat(F.lit("exit_reason="), "exit_reason").alias("why")),
-        errors.select("daemon", "session_id", F.lit("err").alias("reason"), F.concat(F.col("n").cast("string"), F.lit(" tool_result.is_error in session")).alias("why")),
-        ev.where("kind = 'callout'").select("daemon", "session_id", F.lit("callout").alias("reason"), F.concat(F.lit("self-flag: "), F.coalesce("content", F.lit("(callout)"))).alias("why")),
-        ev.where("kind = 'autonomous_terminated'").select("daemon", "session_id", F.lit("deg").alias("reason"), F.concat(F.lit("autonomous_terminated: "), F.coalesce("content", F.lit("?"))).alias("why")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(daemon, session_id, model, reason, why): the signs that a session wants a look, one row for each reason, and its latest
+    model. All of it is one aggregate over one scan."""
+    kind = F.col("kind")
+    bad = (kind == "done") & F.col("stop_reason").isin("degraded_eof", "max_tokens", "iteration_cap", "aborted")
+    failed = (kind == "task_telemetry") & F.col("exit_reason").isin("error", "cancelled")
+    stamped = (kind == "task_telemetry") & F.col("model").isNotNull()
+    deg = F.when(bad, F.format_string("stop_reason=%s mid-task", "stop_reason")).when(kind == "autonomous_terminated", F.concat(F.lit("autonomous_terminated: "), F.coalesce("content", F.lit("?"))))
+    said = F.when(kind == "callout", F.concat(F.lit("self-flag: "), F.coalesce("content", F.lit("(callout)"))))
+    per = ev.where(bad | failed | stamped | kind.isin("autonomous_terminated", "callout") | ((kind == "tool_result") & F.col("is_error"))).groupBy("daemon", "session_id").agg(
+        F.min(deg).alias("deg"), F.min(F.when(failed, F.concat(F.lit("exit_reason="), "exit_reason"))).alias("failed"), F.count_if(kind == "tool_result").alias("errors"), F.min(said).alias("callout"), F.max_by(F.when(stamped, F.col("model")), F.when(stamped, F.struct("ts", "id"))).alias("model"),
+    )
+    err = F.least("failed", F.when(F.col("errors") >= 5, F.concat(F.col("errors").cast("string"), F.lit(" tool_result.is_error in session"))))
+    each = F.array(*[F.struct(F.lit(name).alias("reason"), why.alias("why")) for name, why in (("deg", F.col("deg")), ("err", err), ("callout", F.col("callout")))])
+    return per.select("daemon", "session_id", "model", F.explode(F.filter(each, lambda x: x["why"].isNotNull())).alias("x")).select("daemon", "session_id", "model", "x.reason", "x.why")
 
 
 def flagged_queue(ev: DataFrame, fleet: str = "mu", limit: int = 12) -> DataFrame:
     """One row for each session and reason, the reasons taking turns in order of severity."""
-    mine = ev.where(F.col("fleet") == fleet)
-    latest = mine.where("kind = 'task_telemetry' and model is not null").groupBy("daemon", "session_id").agg(F.max_by("model", F.struct("ts", "id")).alias("model"))
-    found = flags(mine).groupBy("daemon", "session_id", "reason").agg(F.min("why").alias("why")).join(latest, ["daemon", "session_id"], "left")
+    found = flags(ev.where(F.col("fleet") == fleet))
     confidence = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("reason"))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("reason")).cast("long")
     turn = F.row_number().over(Window.partitionBy("reason").orderBy("daemon", "session_id")).cast("long")
