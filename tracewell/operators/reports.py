@@ -138,3 +138,31 @@ def explicit_windows(ev: DataFrame, windows: list[tuple[str, int, int]]) -> Data
 def parsed_verdict(reply: Column, schema: str = "occurred boolean, severity string, confidence string, summary string") -> Column:
     """What stands between a reply's outermost braces."""
     return F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), schema)
+
+
+def gap_messages(ev: DataFrame, hours: float = 3.0, cap: int = 400) -> DataFrame:
+    """The messages around a pause of `hours` or more: the two before it, oldest first, and the one after it."""
+    order = Window.partitionBy(*KEY).orderBy("id")
+    text = F.left(F.coalesce("content", F.lit("")), F.lit(cap))
+    rows = operator_messages(ev).select(*KEY, "id", "ts", text.alias("after"))
+    rows = rows.withColumns({"left_ms": F.lag("ts").over(order), "before_1": F.lag("after", 2).over(order), "before_2": F.lag("after").over(order)})
+    gap = (F.col("ts") - F.col("left_ms")) / 3_600_000.0
+    return rows.where(gap >= hours).select(*KEY, "id", gap.alias("hours"), "before_1", "before_2", "after")
+
+
+def context_bands(ev: DataFrame, bounds: tuple[int, int] = (2_000, 4_000)) -> DataFrame:
+    """Markers of operator messages by bands of a session's largest context; sessions without one are band `?`."""
+    talk = (F.col("kind") == "user_message") & F.col("meta").isNull()
+    hits = F.when(talk, marks(F.coalesce("content", F.lit("")), NEGATIVE)).otherwise(0)
+    per = ev.groupBy(*KEY).agg(F.count_if(talk).alias("messages"), F.sum(hits).alias("hits"), F.max("token_count").alias("context")).where("messages > 0")
+    band = F.when(F.col("context").isNull(), "?").when(F.col("context") < bounds[0], "S").when(F.col("context") < bounds[1], "M").otherwise("L")
+    return per.groupBy(band.alias("band")).agg(F.count("*").alias("sessions"), F.avg((F.col("hits") > 0).cast("double")).alias("presence"), (1000.0 * F.sum("hits") / F.sum("messages")).alias("per_1000"))
+
+
+def spend(plans: DataFrame, since: Column, until: Column) -> DataFrame:
+    """plans(name, usd, from_day, to_day inclusive): what subscriptions cost in a window of days, by the calendar (whole, if they
+    begin in it) and spread over the days that they overlap it."""
+    days = F.datediff("to_day", "from_day") + 1
+    over = F.greatest(F.lit(0), F.datediff(F.least("to_day", until), F.greatest("from_day", since)) + 1)
+    rows = plans.select("name", F.when(F.col("from_day").between(since, until), F.col("usd")).otherwise(0.0).alias("calendar_usd"), F.when(days > 0, F.col("usd") * over / days).otherwise(0.0).alias("amortised_usd"))
+    return rows.groupBy("name").agg(F.sum("calendar_usd").alias("calendar_usd"), F.sum("amortised_usd").alias("amortised_usd"))

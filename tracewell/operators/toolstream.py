@@ -43,10 +43,13 @@ def prevalence(flags: DataFrame) -> DataFrame:
     return unpivoted(flags).groupBy("fleet", "predicate").agg(F.count("*").alias("sessions"), F.count_if("fired").alias("fired"), (100 * F.avg(F.col("fired").cast("double"))).alias("percent"))
 
 
-def at_risk_rates(flags: DataFrame) -> DataFrame:
-    """Rates over those sessions that could fire a predicate: of all, and of each fleet."""
-    g = unpivoted(flags).where("exposed").groupingSets([("predicate",), ("predicate", "fleet")], "predicate", "fleet")
-    return g.agg(F.count("*").alias("sessions"), F.count_if("fired").alias("fired"), F.avg(F.col("fired").cast("double")).alias("rate"))
+def at_risk_rates(flags: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Rates over those sessions that could fire a predicate: of all, of each fleet and, with hosts(fleet, session, host), of
+    each fleet's hosts."""
+    rows, sets, keys = unpivoted(flags).where("exposed"), [("predicate",), ("predicate", "fleet")], ["predicate", "fleet"]
+    if hosts is not None:
+        rows, sets, keys = rows.join(hosts, list(KEY), "left"), [*sets, ("predicate", "fleet", "host")], [*keys, "host"]
+    return rows.groupingSets(sets, *keys).agg(F.count("*").alias("sessions"), F.count_if("fired").alias("fired"), F.avg(F.col("fired").cast("double")).alias("rate"))
 
 
 def rate_lift(flags: DataFrame, language: DataFrame) -> DataFrame:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators import reports, scans, shapes
+from tracewell.dims import to_grid
+from tracewell.operators import reports, scans, sessions, shapes, toolstream
+from tracewell.functions.text import NEGATIVE
+from tracewell.plans.event_queries import _TASKS
 from tracewell.plans.registry import Tables, query
+from tracewell.plans.scan_queries import _FLAGS, _UNPIVOT, _any
 from tracewell.plans.store_queries import _MARKS, _marks
-from tracewell.sources import artifacts, discovery, transcripts
+from tracewell.sources import artifacts, discovery, events, transcripts
 from tracewell.sources.shared import new_folder
+from tracewell.streaming import jobs
 
 
 def _tree(t: Tables) -> str:
@@ -176,3 +181,121 @@ def _(t):
 def _(t):
     """Sessions in the order of the dumps, the least pleased first."""
     return scans.in_order(scans.sentiment(t.talk), "sentiment").select("session_ref", "n_user")
+
+
+_LOGGED = """
+SELECT session, kind, count(*) AS events, min(ts) AS first_ms, max(model) AS model, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM ev WHERE fleet = 'mu' AND id % 50 <> 0 GROUP BY session, kind
+"""
+
+
+def _logs(t: Tables) -> str:
+    """mu's events as log files, each fiftieth as a line that is cut off."""
+    root = new_folder(t.spark, "logs")
+    mine = t.ev.where("fleet = 'mu'")
+    events.write_logs(mine.where("id % 50 <> 0"), root)
+    mine.where("id % 50 = 0").select(F.lit('{"id": 1, "session_id"').alias("value"), F.col("daemon").alias("d")).write.partitionBy("d").mode("append").text(root)
+    return root
+
+
+def _of_logs(rows: DataFrame) -> DataFrame:
+    wide = events.typed(rows.withColumns({c: F.regexp_replace(c, "^d=", "") for c in ("daemon", "session")}))
+    return wide.groupBy("session", "kind").agg(F.count("*").alias("events"), F.min("ts").alias("first_ms"), F.max("model").alias("model"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
+@query("S01_read_logs", _LOGGED)
+def _(t):
+    """Log files read back, broken lines left out, the daemon from the path (S02)."""
+    return _of_logs(events.read_events(t.spark, f"{_logs(t)}/*/*", "mu"))
+
+
+@query("R01_ingested_logs", _LOGGED)
+def _(t):
+    """The same files taken in by a stream, whose checkpoint knows what was read (R02)."""
+    at = new_folder(t.spark, "ingest")
+    stream = jobs.event_stream(t.spark, _logs(t), "mu").where("id is not null")
+    for _ in range(2):  # the second run finds nothing new
+        jobs.run_once(stream, f"{at}/rows", f"{at}/checkpoint")
+    return _of_logs(t.spark.read.schema(stream.schema).parquet(f"{at}/rows"))
+
+
+@query("S10_task_sinks", f"WITH {_TASKS} SELECT fleet, count(*) AS tasks, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens FROM tasks GROUP BY fleet")
+def _(t):
+    """The task table written as a sink and read back by label, one label having no sink."""
+    at = new_folder(t.spark, "sink")
+    events.write_tasks(sessions.tasks(t.ev), at)
+    found = events.read_tasks(t.spark, {"mu": f"{at}/fleet=mu", "cc": f"{at}/fleet=cc", "none": f"{at}/fleet=none"}, "task_id string, prompt_tokens long")
+    return found.groupBy("fleet").agg(F.count("*").alias("tasks"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
+def _billed(t: Tables) -> DataFrame:
+    """Telemetry as days of billed usage: a result for each task, its amount in cents as text."""
+    cache = F.struct(F.col("cache_write_5m_tokens").alias("ephemeral_5m_input_tokens"), F.col("cache_write_1h_tokens").alias("ephemeral_1h_input_tokens"))
+    result = F.struct("model", F.col("prompt_tokens").alias("uncached_input_tokens"), F.col("completion_tokens").alias("output_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"), cache.alias("cache_creation"), F.when(F.col("k") % 9 == 0, "n/a").otherwise(F.col("k").cast("string")).alias("amount"))
+    days = t.ev.where("kind = 'task_telemetry'").withColumn("hour", F.date_format(F.date_trunc("hour", F.timestamp_millis("ts")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return days.groupBy(F.col("hour").alias("starting_at")).agg(F.collect_list(result).alias("results"))
+
+
+_USAGE = """bu AS (SELECT CAST(CAST(make_timestamp(ts * 1000) AS DATE) AS VARCHAR) AS day, model, prompt_tokens AS i, completion_tokens AS o, cache_read_tokens AS r, cache_write_5m_tokens AS w5, cache_write_1h_tokens AS w1, CASE WHEN k % 9 = 0 THEN 0.0 ELSE k / 100.0 END AS usd,
+  CASE WHEN contains(lower(model), 'opus') THEN 5.0 WHEN contains(lower(model), 'sonnet') THEN 3.0 WHEN contains(lower(model), 'haiku') THEN 1.0 ELSE 0.0 END AS price FROM ev WHERE kind = 'task_telemetry')"""
+
+
+@query("A61_billed_usage", f"""
+WITH {_USAGE} SELECT day, model, CAST(sum(i) AS BIGINT) AS uncached_input, CAST(sum(o) AS BIGINT) AS output, round(sum(((i + 1.25 * w5 + 2.0 * w1 + 0.1 * r) * price + o * price * 5) / 1e6), 9) AS list_usd, round(sum(usd), 6) AS billed_usd FROM bu GROUP BY day, model
+""")
+def _(t):
+    """Billed usage by day and model, at list price and as billed (S23)."""
+    return reports.billed_usage(_billed(t)).select(F.col("day").cast("string").alias("day"), "model", "uncached_input", "output", F.round("list_usd", 9).alias("list_usd"), F.round("billed_usd", 6).alias("billed_usd"))
+
+
+@query("J23_billed_and_computed", f"""
+WITH {_USAGE}, {_TASKS}, b AS (SELECT day, sum(usd) AS usd FROM bu GROUP BY day), c AS (SELECT CAST(day AS VARCHAR) AS day, sum(cost) AS cost FROM tasks GROUP BY 1)
+SELECT coalesce(b.day, c.day) AS day, round(coalesce(usd, 0.0), 6) AS billed_usd, round(coalesce(cost, 0.0), 4) AS cost FROM b FULL JOIN c ON b.day = c.day
+""")
+def _(t):
+    tasks = sessions.tasks(t.ev).withColumn("cost", to_grid(F.col("cost")))
+    out = reports.reconciled(reports.billed_usage(_billed(t)), tasks)
+    return out.select(F.col("day").cast("string").alias("day"), F.round("billed_usd", 6).alias("billed_usd"), F.round("cost", 4).alias("cost"))
+
+
+@query("F31_judges_replies", "SELECT session, id, CASE k % 3 WHEN 0 THEN v % 2 = 0 END AS occurred, CASE k % 3 WHEN 0 THEN 'high' END AS severity FROM ev WHERE kind = 'tool_result'")
+def _(t):
+    """Replies with an object in prose, cut off, or without one."""
+    good = F.format_string('Sure:\n{"occurred": %s, "severity": "high", "summary": "a {b} c"}\nDone.', (F.col("v") % 2 == 0).cast("string"))
+    reply = F.when(F.col("k") % 3 == 0, good).when(F.col("k") % 3 == 1, '{"occurred": tru').otherwise("no idea")
+    rows = t.ev.where("kind = 'tool_result'").select("session", "id", reports.parsed_verdict(reply).alias("r"))
+    return rows.select("session", "id", "r.occurred", "r.severity")
+
+
+@query("W12_gap_messages", """
+WITH m AS (SELECT fleet, session, id, ts, left(coalesce(content, ''), 400) AS after FROM ev WHERE kind = 'user_message' AND meta IS NULL),
+g AS (SELECT fleet, session, id, (ts - lag(ts) OVER w) / 3600000.0 AS hours, lag(after, 2) OVER w AS before_1, lag(after) OVER w AS before_2, after FROM m WINDOW w AS (PARTITION BY fleet, session ORDER BY id)) SELECT * FROM g WHERE hours >= 3.0
+""")
+def _(t):
+    return reports.gap_messages(t.ev)
+
+
+@query("A48_context_bands", f"""
+WITH p AS (SELECT fleet, session, count(*) FILTER (kind = 'user_message' AND meta IS NULL) AS messages, coalesce(sum(len(regexp_extract_all(coalesce(content, ''), {_any(NEGATIVE)}))) FILTER (kind = 'user_message' AND meta IS NULL), 0) AS hits, max(token_count) AS context FROM ev GROUP BY ALL)
+SELECT CASE WHEN context IS NULL THEN '?' WHEN context < 2000 THEN 'S' WHEN context < 4000 THEN 'M' ELSE 'L' END AS band, count(*) AS sessions, avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END) AS presence, 1000.0 * sum(hits) / sum(messages) AS per_1000 FROM p WHERE messages > 0 GROUP BY 1
+""")
+def _(t):
+    return reports.context_bands(t.ev)
+
+
+@query("A44_host_rates", f"WITH {_FLAGS}, {_UNPIVOT}, ho AS (SELECT DISTINCT fleet, session, 'h' || right(daemon, 1) AS host FROM ev) SELECT predicate, fleet, host, count(*) AS sessions, count(*) FILTER (fired) AS fired, avg(CAST(fired AS DOUBLE)) AS rate FROM un LEFT JOIN ho USING (fleet, session) WHERE exposed GROUP BY GROUPING SETS ((predicate), (predicate, fleet), (predicate, fleet, host))")
+def _(t):
+    """At-risk rates down to the host of a session's log."""
+    hosts = t.ev.select("fleet", "session", F.concat(F.lit("h"), F.right("daemon", F.lit(1))).alias("host")).distinct()
+    return toolstream.at_risk_rates(toolstream.violations(t.ev), hosts)
+
+
+@query("A60_subscription_spend", """
+WITH p AS (SELECT daemon AS name, CAST(20 AS DOUBLE) AS usd, CAST(make_timestamp(min(ts) * 1000) AS DATE) AS a, CAST(make_timestamp(max(ts) * 1000) AS DATE) AS b FROM ev GROUP BY daemon, session)
+SELECT name, round(sum(CASE WHEN a BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' THEN usd ELSE 0.0 END), 6) AS calendar_usd, round(sum(usd * greatest(0, datediff('day', greatest(a, DATE '2024-01-08'), least(b, DATE '2024-01-21')) + 1) / (datediff('day', a, b) + 1)), 6) AS amortised_usd FROM p GROUP BY name
+""")
+def _(t):
+    """Each session's span as a subscription of 20 USD, over two weeks."""
+    day = lambda c: F.to_date(F.timestamp_millis(c))
+    plans = t.ev.groupBy(F.col("daemon").alias("name"), "session").agg(F.lit(20.0).alias("usd"), day(F.min("ts")).alias("from_day"), day(F.max("ts")).alias("to_day"))
+    out = reports.spend(plans, F.lit("2024-01-08").cast("date"), F.lit("2024-01-21").cast("date"))
+    return out.select("name", F.round("calendar_usd", 6).alias("calendar_usd"), F.round("amortised_usd", 6).alias("amortised_usd"))

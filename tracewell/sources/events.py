@@ -65,3 +65,27 @@ def write_events(ev: DataFrame, path: str) -> None:
     """The silver table, laid out by fleet and day."""
     day = F.to_date(F.timestamp_millis("ts"))
     ev.withColumn("event_date", day).write.partitionBy("fleet", "event_date").mode("overwrite").parquet(path)
+
+
+def write_logs(ev: DataFrame, path: str) -> None:
+    """Events as logs of lines, a folder for each daemon."""
+    payload = F.to_json(F.struct("kind", *[c for c in ev.columns if c in PAYLOAD_FIELDS]))
+    line = F.to_json(F.struct("id", "session_id", F.col("ts").alias("timestamp_unix_ms"), F.lit("agent").alias("actor"), payload.alias("payload")))
+    ev.select(F.col("daemon").alias("d"), line.alias("value")).repartition("d").write.partitionBy("d").mode("overwrite").text(path)
+
+
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """The sink of the task table, by fleet."""
+    tasks.write.partitionBy("fleet").mode("overwrite").parquet(path)
+
+
+def read_tasks(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+    """Tasks of several sinks (label -> path); a sink that isn't there has none."""
+    found = spark.createDataFrame([], f"{schema}, fleet string")
+    for label, path in paths.items():
+        try:
+            found = found.unionByName(spark.read.schema(schema).parquet(path).withColumn("fleet", F.lit(label)))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return found
