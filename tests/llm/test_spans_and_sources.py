@@ -252,3 +252,19 @@ def test_counts_beyond_64_bits_stay_exact(spark):
 @pytest.mark.parametrize("report", [superkmers.report, fill_middle.report, source_divergence.report])
 def test_empty_tables(spark, report):
     assert report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pages_without_boxes_or_names():
+    """Pages that the templates don't make: bare paragraphs, no tags at all, boxes of unseen names, readers' responses."""
+    from tracewell.llm import html_text
+
+    field = html_text.train(html_text.labelled_pages())
+    pages = {
+        "<p>Just a paragraph.</p><p>And one more.</p>": "Just a paragraph.\nAnd one more.",
+        "Just some text without a tag at all.": "Just some text without a tag at all.",
+        '<div class="wrapper"><div class="bar"><a href=/l>Login</a> <a href=/r>Register</a></div><h1>Title here</h1><p>The first paragraph of the article is long enough to read.</p><p>Second one follows it.</p><div>All rights reserved 2020</div></div>': "Title here\nThe first paragraph of the article is long enough to read.\nSecond one follows it.",
+        '<article><h1>T</h1><p>Body text of the article, some words.</p></article><section class="responses"><p>Nice post, thank you</p></section>': "T\nBody text of the article, some words.",
+        None: "",
+        "<nav><a href=x>Home</a></nav>": "",
+    }
+    assert {h: html_text.main_text(h, field) for h in pages} == pages

@@ -130,6 +130,14 @@ def features(page: list[Block]) -> list[list[str]]:
     return out
 
 
+#: Of the training pages, those whose boxes' names the field doesn't see, so that it learns to do without them.
+NAMELESS = 0.15
+
+
+def without_names(page: list[list[str]]) -> list[list[str]]:
+    return [[f for f in block if not f.startswith(("word:", "box:"))] for block in page]
+
+
 class Field:
     """Weights of features by label, and of steps between labels (0: not the article, 1: article)."""
 
@@ -161,7 +169,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(pages: list[tuple[str, list[int]]], rounds: int = 250, rate: float = 0.1, decay: float = 1e-5) -> Field:
     """The field of the greatest likelihood of pages' labels, one label for each block; by Adam, all pages at a time."""
-    found = [(features(blocks(h)), np.array(y)) for h, y in pages]
+    drop = random.Random(len(pages))
+    found = [(without_names(features(blocks(h))) if drop.random() < NAMELESS else features(blocks(h)), np.array(y)) for h, y in pages]
     if any(len(f) != len(y) for f, y in found):
         raise ValueError("a label for each block is needed")
     found = [x for x in found if len(x[1])]
@@ -214,6 +223,7 @@ ASIDE = [
     ("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<section class="widget">', "</section>"), ('<div class="related">', "</div>"), ('<div class="ad">', "</div>"), ('<div class="advert">', "</div>"), ('<div class="ads banner">', "</div>"), ('<div class="sponsored promo">', "</div>"), ('<p class="advertisement">', "</p>"),
     ('<div class="cookie-notice">', "</div>"), ('<div class="notice">', "</div>"), ('<div role="alert">', "</div>"), ('<div class="consent popup">', "</div>"), ("<form>", "</form>"), ('<div class="newsletter subscribe">', "</div>"), ('<div class="share social">', "</div>"),
     ('<section class="comments">', "</section>"), ('<div id="comments">', "</div>"), ('<div class="comment">', "</div>"), ('<ol class="comment-list">', "</ol>"), ('<div role="navigation">', "</div>"), ('<div class="login">', "</div>"), ('<dialog>', "</dialog>"),
+    ('<section class="responses">', "</section>"), ('<div class="gdpr">', "</div>"), ('<div class="tags">', "</div>"), ('<div class="topbar">', "</div>"), ('<div class="legal copyright">', "</div>"),
 ]
 #: Mark-ups of what holds the article. Fixed values.
 MAIN = [
@@ -222,6 +232,11 @@ MAIN = [
 ]
 
 
+#: Of the pages made for training, those whose article stands in the body without a box of its own, and those that have no
+#: body, menus or anything else about it.
+BOXLESS, BARE = 0.12, 0.04
+
+
 def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages made from the templates, with a label for each of their blocks."""
     r = random.Random(seed)
@@ -245,14 +260,21 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]
 
     pages = []
     for _ in range(n):
-        html, y = ["<!DOCTYPE html><html><head><title>x</title></head><body>"], []
-        for _ in range(r.randint(0, 5)):
+        kind = r.random()
+        bare, boxless = kind < BARE, kind < BARE + BOXLESS
+        html, y = [] if bare else ["<!DOCTYPE html><html><head><title>x</title></head><body>"], []
+        for _ in range(0 if bare else r.randint(0, 5)):
             h, k = side()
             html.append(h)
             y += [0] * k
-        a, b = r.choice(MAIN)
+        a, b = ("", "") if boxless else r.choice(MAIN)
         html.append(a)
         for tag in [*r.choice([["h1"], ["h2"], []]), *r.choices(["p", "p", "p", "p", "p", "h2", "h3", "blockquote", "pre", "li", "td", "div", "side", "side", "open"], k=r.randint(1, 12))]:
+            tag = "p" if boxless and tag == "open" else tag
+            if tag == "side" and bare:
+                y.append(1)
+                html.append(f"{words(4, 40)}.<hr>")  # text outside any element
+                continue
             if tag == "side":
                 h, k = side()
                 html.append(h)
@@ -264,11 +286,11 @@ def labelled_pages(n: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]
             wrap = {"li": "<ul><li>{}</li></ul>", "td": "<table><tr><td>{}</td></tr></table>", "open": "<p><b>{}<br>"}.get(tag, f"<{tag}>{{}}</{tag}>")
             html.append(wrap.format(text if r.random() < 0.7 else f"<a href=x>{words(1, 2)}</a> {text}"))
         html.append(b)
-        for _ in range(r.randint(0, 5)):
+        for _ in range(0 if bare else r.randint(0, 5)):
             h, k = side()
             html.append(h)
             y += [0] * k
-        pages.append(("".join([*html, "</body></html>"]), y))
+        pages.append(("".join(html if bare else [*html, "</body></html>"]), y))
     return pages
 
 
