@@ -4,8 +4,9 @@ Each Arrow batch of documents is a shard. Words become integers, those of no ben
 benchmark words that are too short for any window are left out, as no window can be in them. A suffix array is built over
 what stays (prefix doubling, numpy), and every benchmark suffix is searched in it by bisection, all at once; the interval
 found holds each place where its window occurs, and matches are then lengthened as far as they go. Documents never move:
-the whole is one pass without a shuffle. The benchmark goes to the tasks in parts of at most PART_WORDS words, one pass
-over the shard for each, so what is broadcast is bounded whatever the benchmark's size.
+a pass has no shuffle. The benchmark goes to the tasks in parts of about PART_WORDS words: a pass over the documents for each,
+with what it found written to the shared folder before the next one. The driver and the tasks hold one part at a time, so
+that what is broadcast is bounded whatever the benchmark's size. Most benchmarks are one part, and one pass.
 
 Words: A-Z lower-cased, then runs of anything but ASCII characters other than letters and digits. A window is WINDOW
 consecutive words of an item; an item with fewer, but not none, is one window.
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import UPPER, map_texts, read_table
+from tracewell.llm.common import UPPER, durable, map_texts, read_table
 
 WINDOW = 10
 #: Words of the benchmark that are searched in one pass.
@@ -136,39 +138,52 @@ class Part:
         return length
 
 
-def parts(benchmark: DataFrame, part_words: int = PART_WORDS, window: int = WINDOW) -> list[Part]:
-    """The benchmark in parts of about part_words words. Items are read one after the other, and a part is closed when it is
-    full: the driver holds words of benchmark items only."""
-    made, items, n = [], [], 0
+def parts(benchmark: DataFrame, part_words: int = PART_WORDS, window: int = WINDOW) -> Iterator[Part]:
+    """The benchmark in parts of about part_words words, one at least. Items are read one after the other, and a part is closed
+    when it is full."""
+    items, n, made = [], 0, False
     for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         ws = words(r["text"])
         items.append((r["item"], ws))
         n += len(ws)
         if n >= part_words:
-            made.append(Part(items, window))
-            items, n = [], 0
-    return [*made, Part(items, window)] if items or not made else made
+            yield Part(items, window)
+            items, n, made = [], 0, True
+    if items or not made:
+        yield Part(items, window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS, window: int = WINDOW) -> DataFrame:
-    """row (docs' columns), n_words, spans (stretches of hit words), items (ids, sorted as strings), longest."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(p) for p in parts(benchmark, part_words, window)]
+def _found(part) -> Callable:
+    """A pass: what a broadcast part finds in texts, beside what earlier passes found."""
 
     def make():
-        def work(texts: list[str | None]) -> list[list]:
-            found = [words(t) for t in texts]
-            per = [b.value.search(found) for b in shared]
+        def work(values: list[dict]) -> list[list]:
+            texts = [words(v["text"]) for v in values]
+            found = part.value.search(texts)
+            before = [[(x["start"], x["length"]) for x in v.get("spans") or ()] for v in values]
             return [
-                [len(ws) for ws in found],
-                [[{"start": a, "length": n} for a, n in merge([x for p in per for x in p[i][0]])] for i in range(len(found))],
-                [sorted(set().union(*[p[i][1] for p in per])) for i in range(len(found))],
-                [max((p[i][2] for p in per), default=0) for i in range(len(found))],
+                [len(ws) for ws in texts],
+                [[{"start": a, "length": n} for a, n in merge([*old, *f[0]])] for old, f in zip(before, found, strict=True)],
+                [sorted({*(v.get("items") or ()), *f[1]}) for v, f in zip(values, found, strict=True)],
+                [max(v.get("longest") or 0, f[2]) for v, f in zip(values, found, strict=True)],
             ]
 
         return work
 
-    return map_texts(docs, "text", COLUMNS, make)
+    return make
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS, window: int = WINDOW) -> DataFrame:
+    """row (docs' columns), n_words, spans (stretches of hit words), items (ids, sorted as strings), longest."""
+    seen, shared = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.struct("text").alias("seen")), None
+    for part in parts(benchmark, part_words, window):
+        if shared:
+            done = durable(done, "parts")
+            shared.destroy()
+            seen = done.select(F.col("row").alias("own"), F.struct("row.text", "spans", "items", "longest").alias("seen"))
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+        done = map_texts(seen, "seen", COLUMNS, _found(shared)).select(F.col("row.own").alias("row"), "n_words", "spans", "items", "longest")
+    return done
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
