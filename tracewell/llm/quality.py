@@ -5,10 +5,10 @@ PIECE bytes with either, and the difference of the two sizes, over the text's le
 pieces keep the dictionaries in play over the whole of a long text. A logistic curve fitted on labelled rows turns the
 difference into a calibrated score. Scoring is one pass over whole texts without a shuffle.
 
-Fitting uses a sample of at most MAX_TRAIN labelled rows, half of them of each label. One half of the sample gives pieces from
-anywhere in its whole texts, at most MAX_PIECES of each label, those of the least hash; a dictionary is DICTIONARY bytes, or a
-tenth of its pieces' bytes if that is less (LEAST at least). The other half's whole texts are compressed in Spark tasks, and the curve is fitted
-on their differences: the quantity that scoring works out too.
+Fitting uses a sample of at most MAX_TRAIN labelled rows, half of them of each label. One half of the sample is for the
+dictionaries: of each label as many rows, by hash, as hold MAX_BYTES of text, one at least, and all pieces of their whole
+texts; a dictionary is DICTIONARY bytes, or a tenth of its pieces' bytes if that is less (LEAST at least). The other half's
+whole texts are compressed in Spark tasks, and the curve is fitted on their differences, the quantity that scoring works out.
 
 Defined results: a null or empty text has difference 0 and gets the curve's value there; repeated rows get equal scores; a
 null doc_id is not held out and not learned from; null labels are not learned; with labels of one class only the score is
@@ -32,9 +32,10 @@ DICTIONARY = 64 * 1024
 LEVEL = 3
 #: The smallest dictionary that is trained, in bytes.
 LEAST = 256
-#: Labelled documents that dictionaries and curve are fitted on, at most, and pieces of text for a dictionary, at most.
+#: Labelled documents that dictionaries and curve are fitted on, at most, and bytes of text after which a dictionary takes no
+#: more of them.
 MAX_TRAIN = 4_000
-MAX_PIECES = 8_192
+MAX_BYTES = 32 << 20
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -45,8 +46,18 @@ def pieces(raw: bytes, piece: int = PIECE) -> list[bytes]:
     return [raw[i : i + piece] for i in range(0, len(raw), piece)]
 
 
-def drawn_pieces(rows: DataFrame, most: int = MAX_PIECES) -> list[bytes]:
-    """Of the pieces of rows' whole texts those of the least hash, at most `most`, in order of hash."""
+def within_bytes(rows: DataFrame, most: int = MAX_BYTES) -> DataFrame:
+    """Of a sample's rows those of the least hash of the id, as many as it takes to hold `most` bytes of text."""
+    h, total = F.xxhash64("doc_id", F.lit(31)), 0
+    for r in rows.select(h.alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("h").collect():  # MAX_TRAIN at most
+        total += r["size"]
+        if total >= most:
+            return rows.where(h <= r["h"])
+    return rows
+
+
+def drawn_pieces(rows: DataFrame) -> list[bytes]:
+    """All pieces of rows' whole texts, in order of hash."""
 
     def run(batches):
         for b in batches:
@@ -54,7 +65,7 @@ def drawn_pieces(rows: DataFrame, most: int = MAX_PIECES) -> list[bytes]:
             hashes = [xxhash.xxh3_64_intdigest(p) >> 1 for p in found]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], names=["h", "piece"])
 
-    found = rows.select("text").mapInArrow(run, "h long, piece binary").orderBy("h", "piece").limit(most)
+    found = within_bytes(rows).select("text").mapInArrow(run, "h long, piece binary").orderBy("h", "piece")
     return [bytes(r["piece"]) for r in found.collect()]
 
 
