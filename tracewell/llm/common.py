@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words as maximal runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that map_texts gives to a function at once.
+PIECE = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +82,16 @@ def map_texts(docs: DataFrame, column: str, ddl: str, make) -> DataFrame:
     new = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(new)
 
+    def pieces(batches):
+        """Batches of about PIECE bytes, so that what work() makes of a batch is bounded too."""
+        for batch in batches:
+            step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
     def run(batches):
         work = make()
-        for batch in batches:
+        for batch in pieces(batches):
             values = work(pa.RecordBatch.from_struct_array(batch.column(0)).column(column).to_pylist() if batch.num_rows else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)]], names=["row", *arrow.names])
 

@@ -2,11 +2,12 @@
 
 A text is the set of its WORDS-word shingles. Texts with equal sets are one node. Each set is sketched by BANDS x ROWS minimum
 hashes; nodes that agree in a whole band share a bucket, which two sets of similarity s do with probability
-1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. In each bucket one node is its representative, a different one from band to band, and
-is compared with the others by their whole sets. Those of SIMILARITY or more are linked to it; the others take a new
-representative among themselves, until no bucket has two. So pairs grow with the nodes, not with a bucket's square, and what is
-linked is exact; two near copies that meet only in buckets where one of them is linked to another's representative are found
-through that one or not at all. Links make components.
+1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. In each bucket one node is its representative, by one of several orders, and is compared
+with the others by their whole sets. Those of SIMILARITY or more are linked to it; the others take new representatives among
+themselves, in a few rounds of LEADS, after which a bucket of up to 30 nodes has been compared whole. So pairs grow with the
+nodes, not with a bucket's square, and what is linked is alike by its sets (of 32-bit hashes). Two near copies may be missed
+that meet only in buckets where one of them is linked to another's representative, or that have more than 30 nodes which are
+no near copies of each other; at 0.8 two texts meet in six or seven buckets. Links make components.
 
 Defined results: words are those of simhash; a text of fewer than WORDS words is one shingle; null and empty texts, and those
 without words, are copies of each other. Repeated rows get the same result. A null doc_id is passed over in component ids; a
@@ -28,6 +29,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
+#: Buckets of up to SMALL nodes take their representatives by an order of their own; larger ones share ORDERS orders, so that
+#: a node of a large group is compared with a few. LEADS: how many representatives a bucket takes in each round.
+SMALL = 16
+ORDERS = 3
+LEADS = (1, 1, 2, 2, 4, 4, 8, 8)
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,25 +66,33 @@ def _sketches():
 def _sets():
     def work(texts):
         sets = [shingles(t) for t in texts]
-        return [[key(s) for s in sets], [s.view(np.int64).tolist() for s in sets]]
+        return [[key(s) for s in sets], [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]]
 
     return work
 
 
 def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """members(bucket, id), sets(id, hashes) -> u, v: nodes and representatives of a bucket with that similarity at least."""
+    """members(bucket, id, n: nodes of the bucket), sets(id, hashes) -> u, v: nodes and representatives of a bucket with that similarity at least."""
     found, left = sets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), members
     one, other = sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("y"))
-    while True:
-        lead = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("lead")).select("bucket", F.col("lead.id").alias("v"))
+    for leads in LEADS:
+        own = F.when(F.col("n") <= SMALL, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(ORDERS)))
+        order = F.struct(F.xxhash64("id", own).alias("h"), "id")
+        # The least of each of `leads` parts of a bucket: summed up in each task before the exchange.
+        part = F.pmod(F.xxhash64("id", F.lit(leads)), F.lit(leads))
+        lead = left.groupBy("bucket", part.alias("part")).agg(F.min(order).alias("lead")).select("bucket", F.col("lead.id").alias("v"))
         pairs = durable(left.withColumnRenamed("id", "u").join(lead, "bucket").where("u <> v"), "pairs")
         if pairs.isEmpty():
-            return found
+            break
         both = F.size(F.array_intersect("x", "y"))
         alike = both >= similarity * (F.size("x") + F.size("y") - both)
-        near = durable(pairs.select("u", "v").distinct().join(one, "u").join(other, "v").where(alike).select("u", "v"), "near")
+        asked = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        near = durable(asked.join(one, "u").join(other, "v").where(alike).select("u", "v"), "near")
         found = found.union(near)
-        left = durable(pairs.join(near, ["u", "v"], "left_anti").select("bucket", F.col("u").alias("id")), "left")
+        both_ways = near.union(near.select("v", "u"))
+        gone = pairs.join(both_ways, ["u", "v"], "left_semi").select("bucket", F.col("u").alias("id")).union(lead.select("bucket", F.col("v").alias("id")))
+        left = durable(left.join(gone.distinct(), ["bucket", "id"], "left_anti"), "left")
+    return found
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -87,9 +101,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     prints = durable(map_texts(texts, "text", "key binary, bands array<long>", _sketches).select("row.doc_id", "key", "bands"), "sketches")
     nodes = durable(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("id", F.explode("bands").alias("bucket"))
-    members = durable(members.join(members.groupBy("bucket").count().where("count > 1"), "bucket", "left_semi").select("bucket", "id"), "members")
+    members = durable(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "id", "n"), "members")
     asked = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key")
-    whole = map_texts(texts, "text", "key binary, hashes array<long>", _sets).select("key", "hashes")
+    whole = map_texts(texts, "text", "key binary, hashes array<int>", _sets).select("key", "hashes")
     sets = durable(whole.join(asked, "key").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
     edges = components(links(members, sets))
     root = nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("key", "least", F.coalesce("root", "id").alias("root"))
