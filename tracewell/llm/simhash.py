@@ -11,7 +11,8 @@ Equal fingerprints are one row throughout, so groups of copies are never paired.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0; such texts are linked like any other. A text
 of fewer than 4 words is one shingle. Repeated rows get the same result. A null doc_id is passed over in component ids; a
-component of null ids alone has a null id. An empty table gives an empty result. Other columns are carried as they are.
+component of null ids alone has a null id. An empty table gives an empty result. grouped gives these columns alone,
+deduplicated keeps all of docs'.
 """
 
 from __future__ import annotations
