@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,16 +32,15 @@ class WorkerWatch(StatefulProcessor):
         self.open = handle.getMapState("open", "n long", "ts long, model string, stale boolean")
         self.early = handle.getMapState("early", "n long", "kind string, took long")
 
-    def _rows(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        if rows:
-            out = pd.DataFrame([(*key, *r) for r in rows], columns=["fleet", "session", "n", "ts", "model", "outcome", "took"])
-            yield out.astype({"took": "Int64"})
+    def _rows(self, key, rows: list[tuple]) -> Iterator[Row]:
+        for n, ts, model, outcome, took in rows:
+            yield Row(fleet=key[0], session=key[1], n=n, ts=ts, model=model, outcome=outcome, took=took)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         spawned, ended, seen = self.counts.get() if self.counts.exists() else (0, 0, 0)
         out = []
-        for r in pd.concat(rows).sort_values("id").itertuples():
-            took = None if pd.isna(r.elapsed_ms) else int(r.elapsed_ms)
+        for r in sorted(rows, key=lambda r: r.id):
+            took = r.elapsed_ms
             seen = max(seen, r.ts)
             if r.kind == SPAWNED:
                 spawned += 1
@@ -65,7 +63,7 @@ class WorkerWatch(StatefulProcessor):
         self.handle.registerTimer(seen + self.keep_ms)
         yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
         for (n,), (ts, model, stale) in list(self.open.iterator()):
             if not stale and ts + self.stale_ms <= now:
@@ -84,7 +82,7 @@ def outcomes(events: DataFrame, late: str = "1 hour", stale_ms: int = 6 * HOUR_M
     """Rows of workers as they end or go stale, from a stream with fleet, session, id, ts, kind, model and elapsed_ms. The clock
     is the time of the workers' events, less `late`."""
     rows = events.where(F.col("kind").isin(SPAWNED, *ENDS)).select("fleet", "session", "id", "ts", "kind", "model", "elapsed_ms", F.timestamp_millis("ts").alias("at"))
-    return rows.withWatermark("at", late).groupBy("fleet", "session").transformWithStateInPandas(WorkerWatch(stale_ms, keep_ms), WorkerWatch.SCHEMA, "Append", "EventTime")
+    return rows.withWatermark("at", late).groupBy("fleet", "session").transformWithState(WorkerWatch(stale_ms, keep_ms), WorkerWatch.SCHEMA, "Append", "EventTime")
 
 
 def latest_outcomes(rows: DataFrame) -> DataFrame:
