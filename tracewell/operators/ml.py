@@ -6,11 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 HEAVY = ("prompt_tokens", "completion_tokens", "cache_read_tokens", "cache_write_tokens", "n_tasks", "n_asks", "n_tools", "n_gaps", "latency_p50", "latency_p95", "max_context", "cost")
 LIGHT = ("hour", "weekday")
@@ -152,19 +154,31 @@ def scored_unlabelled(joined: DataFrame, rest: DataFrame, seed: int = 42) -> Dat
 
 
 def importance(joined: DataFrame, repeats: int = 10, block_rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """How much the squared error grows when one feature's values are shuffled: feature, importance. All features and repeats
-    are rows of one plan; values are shuffled within blocks of about block_rows sessions, so that no task orders them all."""
+    """How much the squared error grows when one feature's values are shuffled: feature, importance. Values are shuffled within
+    blocks of about block_rows sessions, each of them a group, so that no task orders them all; a session travels once, with
+    the hashes that give its place in each shuffle, and becomes a row for each feature and repeat after that."""
     model = _fitted(joined, seed)
     rows = joined.fillna(0, subset=list(NUMERIC)).select("session_ref", "provider", "model", "y", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
     blocks = max(1, rows.count() // block_rows)
-    case = F.explode(F.expr(f"flatten(transform(array({', '.join(repr(c) for c in ('', *NUMERIC))}), f -> transform(sequence(1, {repeats}), r -> struct(f, r))))"))
-    long = rows.withColumn("x", case).select("*", "x.f", "x.r", F.pmod(F.xxhash64(F.lit(seed), "session_ref"), F.lit(blocks)).alias("block")).drop("x")
-    group = ["block", "f", "r"]
-    own = F.coalesce(*[F.when(F.col("f") == c, F.col(c)) for c in NUMERIC])
-    long = long.withColumns({"n": F.row_number().over(Window.partitionBy(*group).orderBy("session_ref")), "m": F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), "r", "f", "session_ref"), "session_ref"))})
-    other = long.select(*group, F.col("m").alias("n"), own.alias("v"))
-    mixed = long.join(other, [*group, "n"]).withColumns({c: F.when(F.col("f") == c, F.col("v")).otherwise(F.col(c)) for c in NUMERIC})
-    error = model.transform(mixed).groupBy("f").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("e"))
+    rows = PipelineModel(model.stages[:2]).transform(rows)  # what no shuffle changes
+    cases = [(f, r) for f in NUMERIC for r in range(1, repeats + 1)]
+    places = F.array(*[F.xxhash64(F.lit(seed), F.lit(r), F.lit(f), "session_ref") for f, r in cases])
+    kept = ["session_ref", "y", "provider_v", "model_v", *NUMERIC]
+    blocked = rows.select(*kept, places.alias("places"), F.pmod(F.xxhash64(F.lit(seed), "session_ref"), F.lit(blocks)).alias("block"))
+
+    def shuffled(block: pa.Table) -> pa.Table:
+        names = block.column("session_ref").to_pandas().str.encode("utf-8").to_numpy()
+        block = block.take(pa.array(np.argsort(names, kind="stable")))
+        places = block.column("places").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
+        values = np.column_stack([block.column(f).to_numpy()[np.argsort(places[:, i], kind="stable")] for i, (f, _) in enumerate(cases)])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(block.num_rows + 1, dtype=np.int32) * len(cases)), pa.array(values.ravel()))
+        return block.select(kept).append_column("values", lists)
+
+    mixed = blocked.groupBy("block").applyInArrow(shuffled, StructType([*blocked.select(*kept).schema.fields, StructField("values", ArrayType(DoubleType()))]))
+    # The last case leaves all as it is.
+    long = mixed.select(*kept, F.posexplode(F.concat("values", F.array(F.lit(0.0)))).alias("i", "v")).withColumn("f", F.element_at(F.array(*[F.lit(f) for f in (*NUMERIC, "")]), F.floor(F.col("i") / repeats).cast("int") + 1))
+    long = long.withColumns({c: F.when(F.col("f") == c, F.col("v")).otherwise(F.col(c)) for c in NUMERIC})
+    error = PipelineModel(model.stages[2:]).transform(long).groupBy("f").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("e"))
     plain = F.max(F.when(F.col("f") == "", F.col("e"))).over(Window.partitionBy())  # over one row a feature
     return error.withColumn("importance", F.col("e") - plain).where("f <> ''").select(F.col("f").alias("feature"), "importance")
 
