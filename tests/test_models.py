@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.oracle import SF_DIR
+from tests.test_queries import needs_data
 from tracewell.operators import ml
 
 
@@ -72,3 +74,13 @@ def test_ranks_of_the_worklist(spark):
     expected = [(f"s{i}", k + 1) for k, i in enumerate(order) if i not in (3, 4, 9)][:6]
     assert [(r["session_ref"], r["rank"]) for r in ml.worklist(scores, marked, 6).orderBy("place").collect()] == expected
     assert ml.by_mark(scores, marked).where("marked").count() == 3
+
+
+@needs_data
+def test_labelled_sessions_are_worked_out_once(spark):
+    """Fits read what was written, not the events again."""
+    from tracewell.plans import store_queries
+    from tracewell.plans.registry import Tables
+
+    rows = store_queries._joined(Tables(spark, SF_DIR))
+    assert rows.count() and not any("events.parquet" in f for f in rows.inputFiles())

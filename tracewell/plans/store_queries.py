@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import ml, scans, sessions, stores
 from tracewell.plans.registry import ORACLES, query
+from tracewell.sources.shared import new_folder
 
 _MID = 1_705_276_800_000
 
@@ -145,8 +146,11 @@ def _(t):
 
 
 def _joined(t):
+    """Sessions with a label. They are written once, as every fit reads them many times."""
     label = scans.sentiment(t.ev, 1).select("session_ref", F.col("rate").alias("y"))
-    return _features(t).join(label, "session_ref")
+    rows, at = _features(t).join(label, "session_ref"), new_folder(t.spark, "labelled")
+    rows.write.parquet(at)
+    return t.spark.read.schema(rows.schema).parquet(at)
 
 
 @query("M02_out_of_fold")
