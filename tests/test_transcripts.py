@@ -1,5 +1,7 @@
 import json
 
+from tests.oracle import SF_DIR
+from tests.test_queries import needs_data
 from tracewell.sources import transcripts
 
 
@@ -84,3 +86,16 @@ def test_thinking_is_shown_as_such(spark):
 
     content = json.dumps([{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "A"}, {"type": "text", "text": ""}, {"type": "image"}, {"type": "thinking"}])
     assert [r[0] for r in spark.createDataFrame([(content,), ("plain",), (None,)], "c string").select(transcripts.shown(F.col("c"))).collect()] == ["(thinking) hm\nA", "plain", ""]
+
+
+@needs_data
+def test_conversations_share_transcript_files(spark, tmp_path):
+    """As many sessions as before, in far fewer files."""
+    from tracewell.plans import source_queries
+    from tracewell.plans.registry import Tables
+
+    t = Tables(spark, SF_DIR)
+    files = spark.read.text(source_queries._raw(t), wholetext=True, recursiveFileLookup=True).count()
+    conversations = t.table("conversations").select("conv_id").distinct().count()
+    assert files < conversations / 2
+    assert source_queries._normalised(t).select("session_id").distinct().count() == t.table("conversations").where("role = 'assistant'").select("conv_id").distinct().count()

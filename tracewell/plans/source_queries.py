@@ -49,28 +49,32 @@ def _(t):
     return discovery.with_layout(files, "/root").groupBy("plane", "host").agg(F.count("*").alias("files"))
 
 
+#: How many conversations a transcript file holds at most.
+BUNDLE = 256
+
+
 def _raw(t: Tables) -> str:
-    """Conversations as transcript files, one for each: operator texts with times, answers with usage, some broken lines. Every
-    third conversation is in a folder of the provider that bills tokens."""
+    """Conversations as transcript files of BUNDLE each, so that there are not as many files as conversations: operator texts
+    with times, answers with usage, some broken lines. Every third conversation is in a folder of the provider that bills
+    tokens."""
     root = new_folder(t.spark, "raw")
     ms = 1_767_225_600_000
     at = F.when((F.col("turn") % 5 != 4) | (F.col("role") != "user"), F.date_format(F.timestamp_millis(F.lit(ms) + F.col("conv_id") * 1000 + F.col("turn") * 10_000), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     usage = F.struct((F.col("turn") + 1).alias("input_tokens"), F.lit(2).alias("output_tokens"), F.struct(F.col("turn").alias("ephemeral_5m_input_tokens"), (F.col("conv_id") % 3).alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
     said = F.struct(F.format_string("m%d", "turn").alias("id"), F.lit("claude-opus-4-8").alias("model"), F.when(F.col("turn") % 3 == 0, "tool_use").otherwise("end_turn").alias("stop_reason"), F.lit("ok").alias("content"), usage.alias("usage"))
-    user = F.struct(F.lit("user").alias("role"), F.lit("go on").alias("content"))
-    line = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("type"), at.alias("timestamp"), said.alias("message")))).otherwise(F.to_json(F.struct(F.col("role").alias("type"), at.alias("timestamp"), user.alias("message"))))
+    user, session = F.struct(F.lit("user").alias("role"), F.lit("go on").alias("content")), F.format_string("c%d", "conv_id").alias("sessionId")
+    line = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("type"), session, at.alias("timestamp"), said.alias("message")))).otherwise(F.to_json(F.struct(F.col("role").alias("type"), session, at.alias("timestamp"), user.alias("message"))))
     rows = t.table("conversations").select("conv_id", F.struct("turn", F.when(F.col("turn") % 4 == 3, F.concat(line, F.lit('\n{"broken'))).otherwise(line).alias("line")).alias("x"))
     whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("value"))
     home = F.when(F.col("conv_id") % 3 == 0, transcripts.BILLED_PATH.strip("/")).otherwise("home")
-    whole.withColumns({"home": home, "conv": F.col("conv_id")}).repartition("home", "conv").select("home", "conv", "value").write.partitionBy("home", "conv").text(root)
+    whole.select(home.alias("home"), "value").write.option("maxRecordsPerFile", BUNDLE).partitionBy("home").text(root)
     return root
 
 
 def _normalised(t: Tables) -> DataFrame:
     records = transcripts.read_records(t.spark, _raw(t), recursiveFileLookup=True)
-    session = F.concat(F.lit("c"), F.regexp_extract("path", r"/conv=(\d+)/", 1))
     provider = transcripts.provider_of(F.regexp_replace("path", "/home=", "/"))
-    return transcripts.normalised(records.withColumns({"session_id": session, "provider": provider}))
+    return transcripts.normalised(records.withColumns({"session_id": F.col("named_session"), "provider": provider}))
 
 
 _TURNS = """r AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 <> 4 OR role <> 'user' THEN 1767225600000 + conv_id * 1000 + turn * 10000 END AS ts FROM conversations),

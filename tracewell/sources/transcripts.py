@@ -24,7 +24,7 @@ FIELDS = {
 }
 #: What marks a path of the provider that bills each token, and the providers' names.
 BILLED_PATH, BILLED, SUBSCRIBED = "/.claude-openrouter/", "openrouter", "claude_code"
-RECORD = "type string, timestamp string, isMeta boolean, message string"
+RECORD = "type string, timestamp string, isMeta boolean, message string, sessionId string"
 
 
 def provider_of(path: Column) -> Column:
@@ -33,15 +33,16 @@ def provider_of(path: Column) -> Column:
 
 
 def read_records(spark, paths, stream: bool = False, **options) -> DataFrame:
-    """Transcript files (JSON lines, a file for each session) as records: session_id, pos (the line), type, timestamp, isMeta,
-    message, provider and path. Lines that are no JSON object are left out. A file is read as one text, so that lines keep
+    """Transcript files (JSON lines) as records: session_id, pos (the line), type, timestamp, isMeta, message, provider, path and
+    named_session. A file is one session, which its name tells; where several share a file, named_session, which the records
+    hold, tells them apart. Lines that are no JSON object are left out. A file is read as one text, so that lines keep
     their numbers; files of transcripts are small, and there are many."""
     reader = (spark.readStream if stream else spark.read).options(**options)
     files = reader.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.regexp_replace("_metadata.file_name", r"\.jsonl$", "").alias("session_id"))
     lines = files.select("session_id", "path", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line").startswith("{"))
     r = F.from_json("line", RECORD + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
     parsed = lines.select("session_id", "path", F.col("pos").cast("long").alias("pos"), r.alias("r")).where("r._broken is null")
-    return parsed.select("session_id", "pos", "r.type", "r.timestamp", "r.isMeta", "r.message", provider_of(F.col("path")).alias("provider"), "path")
+    return parsed.select("session_id", "pos", "r.type", "r.timestamp", "r.isMeta", "r.message", provider_of(F.col("path")).alias("provider"), "path", F.col("r.sessionId").alias("named_session"))
 
 
 def iso_ms(c: Column) -> Column:
