@@ -28,7 +28,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies have a Jaccard similarity of 0.8 or more in shingles of five words; op2's measure is that query's alone."""
+    """Near copies have a Jaccard similarity of 0.8 or more in shingles of five words. Candidates are SimHash fingerprints of those
+    shingles within four bits, and for texts farther apart bands of minimum hashes; op2's own measure is that query's alone."""
     return simhash.deduplicated(docs, near_copies.grouped)
 
 

@@ -276,3 +276,14 @@ def test_groups_stay_whole(monkeypatch):
     seen = [set(group[p]) for p in parts]
     assert sum(map(len, seen)) == len(set().union(*seen))
     assert list(suffix_dedup._by_groups(group[:0], size[:0])) == []
+
+
+def test_pipeline_links_near_copies_by_fingerprints_too(spark, monkeypatch):
+    """Without any bucket the fingerprints still find near copies, and pairs that are near by bits alone are no links."""
+    from tracewell.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "links", lambda members, sets: sets.selectExpr("id AS u", "id AS v").limit(0))
+    base = [f"w{i}" for i in range(400)]
+    texts = {1: base, 2: [*base[:399], "x"], 3: [f"v{i}" for i in range(400)]}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.grouped(df).collect()} == {1: 1, 2: 1, 3: 3}

@@ -7,7 +7,11 @@ with the others by their whole sets. Those of SIMILARITY or more are linked to i
 themselves, in a few rounds of LEADS, after which a bucket of up to 30 nodes has been compared whole. So pairs grow with the
 nodes, not with a bucket's square, and what is linked is alike by its sets (of 32-bit hashes). Two near copies may be missed
 that meet only in buckets where one of them is linked to another's representative, or that have more than 30 nodes which are
-no near copies of each other; at 0.8 two texts meet in six or seven buckets. Links make components.
+no near copies of each other; at 0.8 two texts meet in six or seven buckets.
+
+The SimHash fingerprints of the sets, linked at 4 or fewer differing bits by simhash's pigeonring chains, are the other way to
+candidates: nodes of linked fingerprints (of equal ones the least stands for all) that the buckets have not brought together are
+compared by their sets too. Alone these would not do: of 64 bits about ten differ at 0.8. Links make components.
 
 Defined results: words are those of simhash; a text of fewer than WORDS words is one shingle; null and empty texts, and those
 without words, are copies of each other. Repeated rows get the same result. A null doc_id is passed over in component ids; a
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import durable, map_texts
 from tracewell.llm.components import components
-from tracewell.llm.simhash import shingle_hashes
+from tracewell.llm import simhash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -41,7 +45,7 @@ _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+    return np.unique(np.array(simhash.shingle_hashes(text, words), np.uint64))
 
 
 def key(hashes: np.ndarray) -> bytes:
@@ -58,7 +62,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 def _sketches():
     def work(texts):
         sets = [shingles(t) for t in texts]
-        return [[key(s) for s in sets], [bands(s) for s in sets]]
+        return [[key(s) for s in sets], [bands(s) for s in sets], [simhash.fingerprint_of(s) for s in sets]]
 
     return work
 
@@ -71,10 +75,16 @@ def _sets():
     return work
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs(u, v) whose sets(id, hashes) have that similarity at least."""
+    one, other = sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "u").join(other, "v").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
 def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """members(bucket, id, n: nodes of the bucket), sets(id, hashes) -> u, v: nodes and representatives of a bucket with that similarity at least."""
     found, left = sets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), members
-    one, other = sets.select(F.col("id").alias("u"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("v"), F.col("hashes").alias("y"))
     for leads in LEADS:
         own = F.when(F.col("n") <= SMALL, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(ORDERS)))
         order = F.struct(F.xxhash64("id", own).alias("h"), "id")
@@ -84,10 +94,8 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
         pairs = durable(left.withColumnRenamed("id", "u").join(lead, "bucket").where("u <> v"), "pairs")
         if pairs.isEmpty():
             break
-        both = F.size(F.array_intersect("x", "y"))
-        alike = both >= similarity * (F.size("x") + F.size("y") - both)
         asked = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        near = durable(asked.join(one, "u").join(other, "v").where(alike).select("u", "v"), "near")
+        near = durable(alike(asked, sets, similarity), "near")
         found = found.union(near)
         both_ways = near.union(near.select("v", "u"))
         gone = pairs.join(both_ways, ["u", "v"], "left_semi").select("bucket", F.col("u").alias("id")).union(lead.select("bucket", F.col("v").alias("id")))
@@ -95,17 +103,29 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return found
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """nodes(id, fp) -> u, v: nodes whose fingerprints are equal (each with the least of them) or linked (the least of either)."""
+    distinct = durable(nodes.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
+    same = nodes.select("id", "fp").join(distinct.select("fp", F.col("id").alias("v")), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    return same.union(simhash.links(distinct.select("fp", "id")).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by links): one row for each of docs."""
     texts = docs.select("doc_id", "text")
-    prints = durable(map_texts(texts, "text", "key binary, bands array<long>", _sketches).select("row.doc_id", "key", "bands"), "sketches")
-    nodes = durable(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    prints = durable(map_texts(texts, "text", "key binary, bands array<long>, fp long", _sketches).select("row.doc_id", "key", "bands", "fp"), "sketches")
+    nodes = durable(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     members = nodes.select("id", F.explode("bands").alias("bucket"))
     members = durable(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "id", "n"), "members")
-    asked = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key")
+    close = durable(fingerprint_links(nodes), "close")
+    alone = members.select("id").union(close.select("u")).union(close.select("v")).distinct()
+    asked = nodes.join(alone, "id", "left_semi").select("id", "key")
     whole = map_texts(texts, "text", "key binary, hashes array<int>", _sets).select("key", "hashes")
     sets = durable(whole.join(asked, "key").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
-    edges = components(links(members, sets))
+    met = components(links(members, sets))
+    of = lambda c: met.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
+    apart = close.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    edges = components(met.select("u", "v").union(alike(apart, sets)))
     root = nodes.join(edges.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("key", "least", F.coalesce("root", "id").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "key").join(root.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

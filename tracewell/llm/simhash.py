@@ -49,8 +49,12 @@ def shingle_hashes(text: str | None, size: int = WORDS) -> list[int]:
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit fingerprint, as a signed integer."""
-    hashes = shingle_hashes(text)
-    if not hashes:
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes) -> int:
+    """The 64-bit fingerprint of shingles' hashes, as a signed integer; 0 for none."""
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
