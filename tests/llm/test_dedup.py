@@ -287,3 +287,17 @@ def test_pipeline_links_near_copies_by_fingerprints_too(spark, monkeypatch):
     texts = {1: base, 2: [*base[:399], "x"], 3: [f"v{i}" for i in range(400)]}
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in near_copies.grouped(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 300])
+def test_pipeline_loses_no_near_copy_of_a_large_bucket(spark, monkeypatch, block):
+    """One bucket of 100 texts, of which each two are near copies and all others half alike, and one whose nodes link in a chain."""
+    from tracewell.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block, raising=False)
+    sets = {2 * i + j: [*range(50), *range(100 + 60 * i, 148 + 60 * i), 10_000 + j] for i in range(50) for j in range(2)}
+    sets |= {200 + i: list(range(20_000 + 10 * i, 20_100 + 10 * i)) for i in range(40)}
+    members = [(7, k, 100) if k < 200 else (8, k, 40) for k in sets]
+    found = near_copies.links(spark.createDataFrame(members, "bucket long, id long, n long"), spark.createDataFrame(list(sets.items()), "id long, hashes array<int>"))
+    met = [(r["u"], r["v"]) for r in components(found).collect()]
+    assert sorted(met) == sorted([(2 * i + 1, 2 * i) for i in range(50)] + [(200 + i, 200) for i in range(1, 40)])

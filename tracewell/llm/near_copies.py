@@ -2,12 +2,16 @@
 
 A text is the set of its WORDS-word shingles. Texts with equal sets are one node. Each set is sketched by BANDS x ROWS minimum
 hashes; nodes that agree in a whole band share a bucket, which two sets of similarity s do with probability
-1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. In each bucket one node is its representative, by one of several orders, and is compared
-with the others by their whole sets. Those of SIMILARITY or more are linked to it; the others take new representatives among
-themselves, in a few rounds of LEADS, after which a bucket of up to 30 nodes has been compared whole. So pairs grow with the
-nodes, not with a bucket's square, and what is linked is alike by its sets (of 32-bit hashes). Two near copies may be missed
-that meet only in buckets where one of them is linked to another's representative, or that have more than 30 nodes which are
-no near copies of each other; at 0.8 two texts meet in six or seven buckets.
+1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8. All nodes of a bucket that no links join yet are compared by their whole sets (of 32-bit
+hashes); those of SIMILARITY or more are linked:
+
+1. In a few ROUNDS each bucket takes one node as its representative, by one of several orders, and compares the others with it.
+   Those that are linked to it leave the bucket's round, not the later steps.
+2. Buckets whose nodes are all in one component by now can add nothing, and are done with.
+3. In the others all pairs from different components are compared: pair by pair in buckets of up to SMALL nodes, in larger ones
+   block by block. A block holds about BLOCK shingles; each two blocks of a bucket are one group, so memory is bounded and a
+   large bucket is dealt out. Two blocks of one component are not compared. The time of this step grows with the square of a
+   bucket's nodes if these are alike but not near copies; nothing is left out for it.
 
 The SimHash fingerprints of the sets, linked at 4 or fewer differing bits by simhash's pigeonring chains, are the other way to
 candidates: nodes of linked fingerprints (of equal ones the least stands for all) that the buckets have not brought together are
@@ -21,6 +25,7 @@ component of null ids alone has a null id. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +39,13 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 #: Buckets of up to SMALL nodes take their representatives by an order of their own; larger ones share ORDERS orders, so that
-#: a node of a large group is compared with a few. LEADS: how many representatives a bucket takes in each round.
+#: a node of a large group is compared with a few. ROUNDS: how many representatives a bucket takes.
 SMALL = 16
 ORDERS = 3
-LEADS = (1, 1, 2, 2, 4, 4, 8, 8)
+ROUNDS = 2
+#: Shingles in a block of a large bucket; shingles that are counted at once when two blocks are compared.
+BLOCK = 1 << 16
+COLUMNS = 1 << 12
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,15 +90,13 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     return pairs.join(one, "u").join(other, "v").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
 
 
-def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def represented(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """members(bucket, id, n: nodes of the bucket), sets(id, hashes) -> u, v: nodes and representatives of a bucket with that similarity at least."""
     found, left = sets.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0), members
-    for leads in LEADS:
+    for _ in range(ROUNDS):
         own = F.when(F.col("n") <= SMALL, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(ORDERS)))
         order = F.struct(F.xxhash64("id", own).alias("h"), "id")
-        # The least of each of `leads` parts of a bucket: summed up in each task before the exchange.
-        part = F.pmod(F.xxhash64("id", F.lit(leads)), F.lit(leads))
-        lead = left.groupBy("bucket", part.alias("part")).agg(F.min(order).alias("lead")).select("bucket", F.col("lead.id").alias("v"))
+        lead = left.groupBy("bucket").agg(F.min(order).alias("lead")).select("bucket", F.col("lead.id").alias("v"))
         pairs = durable(left.withColumnRenamed("id", "u").join(lead, "bucket").where("u <> v"), "pairs")
         if pairs.isEmpty():
             break
@@ -103,6 +109,82 @@ def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -
     return found
 
 
+def _near_in_blocks(similarity: float):
+    """Of one block (side 0) or two (0 and 1), rows id, root, side, hashes: each node that near copies across roots join to a
+    lesser one, and the least that it is joined to. Only the joins count, so a dense group gives a row for each node."""
+
+    def run(table: pa.Table) -> pa.Table:
+        id_, root, side = (table.column(c).to_numpy() for c in ("id", "root", "side"))
+        sets = table.column("hashes").combine_chunks()
+        size = np.diff(sets.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        _, token, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        number = np.cumsum(times > 1) - 1  # of the shingles that several have
+        row, token = row[times[token] > 1], number[token[times[token] > 1]]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+            a, b = np.searchsorted(token, [at, at + COLUMNS])
+            has = np.zeros((len(size), COLUMNS), np.float32)
+            has[row[a:b], token[a:b] - at] = 1
+            both += has[left] @ has[right].T
+        both = both.astype(np.float64)
+        near = (both >= similarity * (size[left][:, None] + size[right] - both)) & (root[left][:, None] != root[right])
+        x, y = np.nonzero(near)
+        x, y = left[x], right[y]
+        order = np.argsort(id_)
+        least = np.argsort(order)  # ranks of ids
+        while True:
+            before = least.copy()
+            np.minimum.at(least, x, before[y])
+            np.minimum.at(least, y, before[x])
+            least = least[order[least]]
+            if (least == before).all():
+                break
+        u, v = id_, id_[order[least]]
+        return pa.table({"u": u[u != v], "v": v[u != v]})
+
+    return run
+
+
+def compared(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """members(bucket, id, n), roots(u, v: the root of u's component; none: itself) -> u, v: joins of all nodes that share a
+    bucket, have that similarity at least and different roots."""
+    known = members.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    several = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    still = durable(known.join(several, "bucket", "left_semi").select("bucket", "id", "root", "n"), "still")
+
+    few = still.where(F.col("n") <= SMALL).select("bucket", "id", "root")
+    one, other = few.select("bucket", F.col("id").alias("u"), F.col("root").alias("ru")), few.select("bucket", F.col("id").alias("v"), F.col("root").alias("rv"))
+    found = alike(one.join(other, "bucket").where("u < v and ru <> rv").select("u", "v").distinct(), sets, similarity)
+
+    # Components of over BLOCK shingles in a bucket have blocks of their own (whose: the root), the others share blocks (-1).
+    many = still.where(F.col("n") > SMALL).join(sets.select("id", F.size("hashes").alias("size")), "id")
+    own = many.groupBy("bucket", "root").agg(F.sum("size").alias("sum")).withColumn("whose", F.when(F.col("sum") > BLOCK, F.col("root")).otherwise(F.lit(-1)))
+    parts = own.groupBy("bucket", "whose").agg(F.ceil(F.sum("sum") / BLOCK).alias("parts"))
+    place = own.select("bucket", "root", "whose").join(parts, ["bucket", "whose"])
+    part = F.pmod(F.xxhash64(F.when(F.col("whose") < 0, F.col("root")).otherwise(F.col("id"))), F.greatest("parts", F.lit(1)))
+    dealt = durable(many.join(place, ["bucket", "root"]).select("bucket", "id", "root", F.struct("whose", part.alias("part")).alias("block")), "dealt")
+    blocks = dealt.select("bucket", "block").distinct()
+    meet = blocks.withColumnRenamed("block", "a").join(blocks.withColumnRenamed("block", "b"), "bucket").where("a <= b and (a.whose < 0 or a.whose <> b.whose)")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
+    )
+    sent = meet.select("bucket", "a", "b", F.explode(sides).alias("s")).select("bucket", "a", "b", "s.block", "s.side")
+    rows = dealt.join(sent, ["bucket", "block"]).join(sets, "id").select("bucket", "a", "b", "id", "root", "side", "hashes")
+    return found.union(rows.groupBy("bucket", "a", "b").applyInArrow(_near_in_blocks(similarity), "u long, v long"))
+
+
+def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """members(bucket, id, n: nodes of the bucket), sets(id, hashes) -> u, v: each node that isn't the least of its component, and
+    that least node; components are those of all pairs that share a bucket and have that similarity at least."""
+    roots = components(represented(members, sets, similarity))
+    return components(roots.union(compared(members, roots, sets, similarity)))
+
+
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """nodes(id, fp) -> u, v: nodes whose fingerprints are equal (each with the least of them) or linked (the least of either)."""
     distinct = durable(nodes.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
@@ -122,7 +204,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     asked = nodes.join(alone, "id", "left_semi").select("id", "key")
     whole = map_texts(texts, "text", "key binary, hashes array<int>", _sets).select("key", "hashes")
     sets = durable(whole.join(asked, "key").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
-    met = components(links(members, sets))
+    met = links(members, sets)
     of = lambda c: met.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
     apart = close.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     edges = components(met.select("u", "v").union(alike(apart, sets)))
