@@ -301,3 +301,31 @@ def test_pipeline_loses_no_near_copy_of_a_large_bucket(spark, monkeypatch, block
     found = near_copies.links(spark.createDataFrame(members, "bucket long, id long, n long"), spark.createDataFrame(list(sets.items()), "id long, hashes array<int>"))
     met = [(r["u"], r["v"]) for r in components(found).collect()]
     assert sorted(met) == sorted([(2 * i + 1, 2 * i) for i in range(50)] + [(200 + i, 200) for i in range(1, 40)])
+
+
+def test_suffix_dedup_sends_less_than_it_reads(spark):
+    """Texts are compressed before they are dealt out, and come back as they were; an anchor takes few bytes."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    texts = [None, "", "é" * 10, *(" ".join(rng.choice(words) for _ in range(2000)) for _ in range(60))]
+    own = spark.createDataFrame(list(enumerate(texts)), "number long, text string").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    dealt = suffix_dedup._with_bucket(own, 12).toArrow()
+    assert sum(len(t.as_py() or b"") for t in dealt.column("text")) < 0.6 * sum(map(len, raw))
+    assert dict(zip(dealt.column("number").to_pylist(), suffix_dedup._texts(dealt), strict=True)) == dict(enumerate(raw))
+
+    class Hot:
+        value = np.empty(0, np.uint64)
+
+    blobs = list(suffix_dedup._send_anchors(12, 12, Hot)(iter(own.selectExpr("number ord", "number", "text").toArrow().to_batches())))
+    sent = sum(len(x.as_py()) for b in blobs if b.num_rows and b.column("kind")[0].as_py() == suffix_dedup.ANCHOR for x in b.column("blob"))
+    stop = np.cumsum([len(t) for t in raw])
+    assert 0 < sent < 8.5 * len(suffix_dedup.anchors(np.frombuffer(b"".join(raw), np.uint8), stop - np.diff(np.r_[0, stop]), stop)[0])
+
+
+def test_contexts_of_anchors_with_equal_numbers_are_told_apart():
+    """Anchors that meet by the short hashes that are sent, as if they were one: only equal bytes count."""
+    a, b, c = (bytes(random.Random(i).choices(range(97, 123), k=76)) for i in range(3))
+    data, mid, side = np.frombuffer(a + b + c + a, np.uint8), np.arange(4) * 76 + 26, np.full(4, 26)
+    row, before, runs = suffix_dedup.covered(data, mid, side, side, np.array([5, 6, 7, 8]), np.zeros(4, np.int64))
+    assert [row.tolist(), before.tolist(), runs.tolist()] == [[3], [26], [27]]

@@ -38,7 +38,7 @@ import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tracewell.llm.common import durable, read_table
 from tracewell.llm.grouping_sort import _ranges, suffix_arrays
@@ -62,6 +62,8 @@ CHUNK_ROWS = 1 << 15
 #: most frequent, are dealt out by windows.
 SAMPLED, HOT, MOST_HOT = 64, 16_384, 100_000
 SIDE = SPAN - GRAM
+#: Bits of an anchor's hash that are sent: with about half a million anchors in a bucket few meet that are not equal.
+GRAM_BITS = 28
 LAST = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(99)
@@ -242,7 +244,7 @@ def _send_anchors(buckets: int, doc_buckets: int, hot):
                 row, before, runs = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield _covered_batch(number[row], at[row] - before, runs + SPAN - 1, doc_buckets)
                 left_out[row[runs == left[row] + right[row] - SIDE + 1]] = True
-            rows = [x[~left_out] for x in (gram >> np.uint64(24), who, number ^ who, at, left, right)]
+            rows = [x[~left_out] for x in (gram >> np.uint64(64 - GRAM_BITS), who, number ^ who, at, left, right)]
             yield _blob_batch(ANCHOR, list(_by_bucket((gram[~left_out] % np.uint64(buckets)).astype(np.int64), rows, (rows[0],))))
 
     return run
@@ -259,6 +261,7 @@ def _match_contexts(doc_buckets: int):
         gram, who, differ, at, left, right = (x[sort] for x in (gram, who, differ, at, left, right))
         pick = _several(gram, who=who)
         number, bucket = (who ^ differ)[pick], np.full(int(pick.sum()), table.column("bucket")[0].as_py(), np.uint64)
+        gram = np.cumsum(np.r_[True, gram[1:] != gram[:-1]][: len(gram)] & pick)  # from here on a number in the bucket
         rows = [number, *[x[pick] for x in (differ, at, left, right, gram)], bucket]
         return pa.Table.from_batches([_blob_batch(WANTED, list(_by_bucket(_doc_bucket(number, doc_buckets), rows, (rows[2], rows[0]))))])
 
@@ -284,9 +287,15 @@ def _fetch_contexts(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_batch(CONTEXT, rows)])
 
 
+def _texts(docs: pa.Table) -> list[bytes]:
+    """The bytes of the texts that _with_bucket compressed."""
+    whole = zstd.ZstdDecompressor().decompress
+    return [b"" if t is None else whole(t) for t in docs.column("text").to_pylist()]
+
+
 def _joined(docs: pa.Table):
     """The texts of a bucket of documents end to end, and a function from (row number, place in the text) to places in them."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
+    texts = _texts(docs)
     size = np.array([len(t) for t in texts], np.int64)
     number = docs.column("number").to_numpy().astype(np.int64)
     order = np.argsort(number)
@@ -472,7 +481,7 @@ def _compare_contexts(doc_buckets: int):
 
 def _cut(docs: pa.Table, covered: pa.Table, as_text: bool) -> pa.Table:
     """A bucket of documents and what is covered in them -> removed stretches and kept bytes, as text or as they are."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in docs.column("text").to_pylist()]
+    texts = _texts(docs)
     spans: list = [[] for _ in texts]
     kept = list(texts)
     if docs.num_rows and covered.num_rows:
@@ -528,13 +537,18 @@ def removals(docs: DataFrame, as_text: bool = False, sampled: int = SAMPLED, hot
 
 
 def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
-    """The documents with the number that _doc_bucket gives them."""
+    """The documents with the number that _doc_bucket gives them, and with compressed texts: these are shuffled twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstd.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_doc_bucket(b.column("number").to_numpy(), buckets), pa.int64())], names=[*b.schema.names, "bucket"])
+            texts = pa.array([None if (t := x.as_py()) is None else small(t.encode("utf-8", "surrogatepass")) for x in b.column("text")], pa.binary())
+            columns = {n: texts if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True)}
+            columns["bucket"] = pa.array(_doc_bucket(b.column("number").to_numpy(), buckets), pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("bucket", LongType())]))
+    kept = [StructField("text", BinaryType()) if f.name == "text" else f for f in own.schema.fields]
+    return own.mapInArrow(run, StructType([*kept, StructField("bucket", LongType())]))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
