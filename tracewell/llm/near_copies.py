@@ -43,9 +43,11 @@ ROWS = 5
 SMALL = 16
 ORDERS = 3
 ROUNDS = 2
-#: Shingles in a block of a large bucket; shingles that are counted at once when two blocks are compared.
+#: Shingles in a block of a large bucket, a text counting as LEAST at least, so that a block's texts are bounded too; shingles
+#: that are counted at once when two blocks are compared.
 BLOCK = 1 << 16
-COLUMNS = 1 << 12
+LEAST = 128
+COLUMNS = 1 << 10
 
 _rng = np.random.default_rng(5)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,7 +164,7 @@ def compared(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity:
     found = alike(one.join(other, "bucket").where("u < v and ru <> rv").select("u", "v").distinct(), sets, similarity)
 
     # Components of over BLOCK shingles in a bucket have blocks of their own (whose: the root), the others share blocks (-1).
-    many = still.where(F.col("n") > SMALL).join(sets.select("id", F.size("hashes").alias("size")), "id")
+    many = still.where(F.col("n") > SMALL).join(sets.select("id", F.greatest(F.size("hashes"), F.lit(LEAST)).alias("size")), "id")
     own = many.groupBy("bucket", "root").agg(F.sum("size").alias("sum")).withColumn("whose", F.when(F.col("sum") > BLOCK, F.col("root")).otherwise(F.lit(-1)))
     parts = own.groupBy("bucket", "whose").agg(F.ceil(F.sum("sum") / BLOCK).alias("parts"))
     place = own.select("bucket", "root", "whose").join(parts, ["bucket", "whose"])

@@ -62,6 +62,8 @@ CHUNK_ROWS = 1 << 15
 #: most frequent, are dealt out by windows.
 SAMPLED, HOT, MOST_HOT = 64, 16_384, 100_000
 SIDE = SPAN - GRAM
+#: Documents whose texts are compressed at once.
+BUCKET_ROWS = 1000
 #: Bits of an anchor's hash that are sent: with about half a million anchors in a bucket few meet that are not equal.
 GRAM_BITS = 28
 LAST = np.iinfo(np.int64).max
@@ -541,7 +543,7 @@ def _with_bucket(own: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstd.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in (b.slice(at, BUCKET_ROWS) for b in batches for at in range(0, b.num_rows, BUCKET_ROWS)):
             texts = pa.array([None if (t := x.as_py()) is None else small(t.encode("utf-8", "surrogatepass")) for x in b.column("text")], pa.binary())
             columns = {n: texts if n == "text" else c for n, c in zip(b.schema.names, b.columns, strict=True)}
             columns["bucket"] = pa.array(_doc_bucket(b.column("number").to_numpy(), buckets), pa.int64())
