@@ -266,6 +266,28 @@ def test_neighbours_recall_with_blocks_far_smaller_than_the_table(spark, n):
     assert len(got & best) >= 0.93 * len(best)
 
 
+def test_neighbours_send_a_row_for_each_pair_of_parts_not_for_each_edge(spark):
+    def sent():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    n = 3_000
+    x = np.random.default_rng(1).standard_normal((n, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    before = sent()
+    assert neighbours.nearest(df, df.where("vec_id % 50 = 0"), 5, block=256, orders=2).count() == 5 * n // 50
+    assert sent() - before < 40 * n
+
+
+def test_what_is_sent_to_one_node_has_a_bound(spark):
+    m, degree = 500, 4
+    graph = neighbours._packed(neighbours.GRAPH, 3, ids=np.tile(7 << neighbours.PLACE | np.arange(degree), m), d=np.repeat(np.arange(m) / m, degree), flag=np.ones(m * degree))
+    edges = neighbours._edges(degree, 9)(3, neighbours._table([graph]))
+    assert [e["part"] for e in edges] == [7] and len(edges[0]["at"]) == 4 * 9 * degree  # 9 for each of the four nodes
+    assert set(np.frombuffer(edges[0]["ids"], np.int64)) == {3 << neighbours.PLACE | i for i in range(9)}
+
+
 def test_urls(spark):
     urls = [
         (1, "https://Blog.Example.ORG/es/1?x=1"), (2, "http://example.org/en/1x"), (3, "http://a.com/de/x"), (4, "http://a.com/fr/"), (5, "http://casino-win.example.net/a"), (6, "http://plain.example.net/b"),
